@@ -1,10 +1,14 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from . import bpe, exact_dedup, mixing
+from . import bpe, embedding_dedup, exact_dedup, language, mixing, quality, simhash
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
+    "op3_quality_neighbours": quality.op3_quality_neighbours,
     "op5_mixing": mixing.op5_mixing,
+    "op6_simhash_golay": simhash.op6_simhash_golay,
+    "op7_embedding_lattice": embedding_dedup.op7_embedding_lattice,
+    "op8_language_crf": language.op8_language_crf,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
