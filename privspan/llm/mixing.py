@@ -23,12 +23,16 @@ LEVELS = 4
 BROADCAST_SOURCES = 100_000
 
 
+def id_hash() -> F.Column:
+    """52 bits of the id's MD5, null as empty."""
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
+
+
 def with_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words, and the 52-bit hash of the id (null as empty)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10)
-    size = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"), h.cast("long").alias("h"))
+    """doc_id, source, size in words, and h, the hash of the id."""
+    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    return docs.select("doc_id", "source", size.alias("size"), id_hash().alias("h"))
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
@@ -61,15 +65,11 @@ def _by_source(df: DataFrame, small: DataFrame, few: bool) -> DataFrame:
     return df.join(F.broadcast(small) if few else small, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
-    """A row for every row of docs: doc_id, size, source_size, target, taken, times.
+def thresholds(sized: DataFrame, weights=WEIGHTS, most: int = MOST) -> tuple[DataFrame, bool]:
+    """source, source_size, target, times, cut, a row a source; and if they are few enough to broadcast.
 
-    times is how often the mix takes the document (0 to `most`), taken its words with repeats.
-    Empty documents count no words; a source without words has target 0 and takes nothing.
-    Rows that repeat a doc_id share a hash and are taken alike. A source misses its target by
-    at most half of the rows that share one hash. Reruns agree.
+    A document is taken `times` times, and once more if its hash is at most `cut` (null: never).
     """
-    sized = materialize(with_sizes(docs), "sizes")
     plan = targets(sized, weights, most).withColumn("ratio", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
     plan = plan.withColumn("times", F.least(F.floor(F.col("ratio") + 1e-12), F.lit(most)).cast("long"))
     plan = plan.withColumn("budget", F.greatest(F.col("target") - F.col("times") * F.col("source_size"), F.lit(0.0)))
@@ -91,12 +91,38 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
         at = materialize(over.select("source", "c.budget", F.col("c.cell").alias("prefix"), "c.below", "c.words"), f"cells{level}")
     # The rows of the last cell share one hash; they are taken if that comes nearer to the budget.
     nearer = (F.col("below") + F.col("words") - F.col("budget")) < (F.col("budget") - F.col("below"))
-    cut = at.select("source", (F.col("prefix") - F.when(nearer, F.lit(0)).otherwise(F.lit(1))).alias("cut"))
-    plan = plan.join(cut.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    out = _by_source(sized, plan, few)
-    extra = F.when((F.col("budget") > 0) & (F.col("times") < most) & (F.col("h") <= F.coalesce("cut", F.lit(2**52))), 1).otherwise(0)
-    times = F.col("times") + extra
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"))
+    cut = at.select(F.col("source").alias("_s"), (F.col("prefix") - F.when(nearer, F.lit(0)).otherwise(F.lit(1))).alias("cut"))
+    plan = plan.join(cut, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    cut = F.when((F.col("budget") > 0) & (F.col("times") < most), F.coalesce("cut", F.lit(2**52)))
+    return materialize(plan.select("source", "source_size", "target", "times", cut.alias("cut")), "thresholds"), few
+
+
+def _times() -> F.Column:
+    return F.col("times") + F.when(F.col("h") <= F.col("cut"), 1).otherwise(0)
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
+    """A row for every row of docs: doc_id, size, source_size, target, taken, times.
+
+    times is how often the mix takes the document (0 to `most`), taken its words with repeats.
+    Empty documents count no words; a source without words has target 0 and takes nothing.
+    Rows that repeat a doc_id share a hash and are taken alike. A source misses its target by
+    at most half of the rows that share one hash. Reruns agree.
+    """
+    sized = materialize(with_sizes(docs), "sizes")
+    plan, few = thresholds(sized, weights, most)
+    out = _by_source(sized, plan, few).withColumn("_times", _times())
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("_times")).alias("taken"), F.col("_times").alias("times"))
+
+
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
+    """Each row of docs as often as the mix takes it; the columns stay as they are. Texts are not shuffled."""
+    plan, few = thresholds(materialize(with_sizes(docs), "sizes"), weights, most)
+    plan = plan.select(F.col("source").alias("_source"), F.col("times").alias("_base"), F.col("cut").alias("_cut"))
+    rows = docs.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("_source")))
+    times = F.col("_base") + F.when(id_hash() <= F.col("_cut"), 1).otherwise(0)
+    rows = rows.withColumn("_times", times.cast("int")).where("_times > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,17 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from . import bpe, embedding_dedup, exact_dedup, language, mixing, quality, simhash
+from . import bpe, embedding_dedup, exact_dedup, language, licenses, mixing, quality, simhash, suffix_dedup, warc
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
+    "op2_warc_derivatives": warc.op2_warc_derivatives,
     "op3_quality_neighbours": quality.op3_quality_neighbours,
+    "op4_suffix_repeats": suffix_dedup.op4_suffix_repeats,
     "op5_mixing": mixing.op5_mixing,
     "op6_simhash_golay": simhash.op6_simhash_golay,
     "op7_embedding_lattice": embedding_dedup.op7_embedding_lattice,
     "op8_language_crf": language.op8_language_crf,
+    "op9_license_minhash": licenses.op9_license_minhash,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
