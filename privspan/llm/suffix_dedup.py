@@ -248,8 +248,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     shuffled = fragments.repartition(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "anchor", "part")
     found = materialize(_compared(shuffled.sortWithinPartitions("anchor", "part", "around")), "found")
     strings = found.where("spans is null")
-    twice = strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
-    across = strings.where("alone").join(twice, "string").select("anchor", "around", F.array(F.struct((-F.col("d")).alias("lo"), (F.lit(LENGTH) - F.col("d")).cast("int").alias("hi"))).alias("spans"))
+    # At one anchor a place has one fragment, so rows that agree in all three are different places.
+    twice = strings.groupBy("anchor", "d", "string").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    across = strings.where("alone").join(twice, ["anchor", "d", "string"]).select("anchor", "around", F.array(F.struct((-F.col("d")).alias("lo"), (F.lit(LENGTH) - F.col("d")).cast("int").alias("hi"))).alias("spans"))
     covers = kinds.where("n > 1").select("anchor", "around", whole.alias("spans"))
     alone = kinds.where("n = 1").select("anchor", "around")
     partly = found.where("spans is not null").select("anchor", "around", "spans").unionByName(across).join(alone, ["anchor", "around"], "left_semi")
