@@ -80,15 +80,14 @@ def exact_groups(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 def deduplicate(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """docs with one row of each text, that with the largest doc_id; all columns stay."""
     rows, winners = heavy_split(docs, counters)
-    winners = F.broadcast(winners.select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_heavy"), F.lit(True).alias("_is_heavy")))
-    texts = docs.withColumn("_digest", digest()).join(winners, "_digest", "left")
-    texts = texts.where(F.col("_is_heavy").isNull() | F.col("doc_id").eqNullSafe(F.col("_heavy")))
-    light = rows.join(winners.withColumnRenamed("_digest", "digest"), "digest", "left_anti")
-    light = light.groupBy(F.col("digest").alias("_digest")).agg(F.max("doc_id").alias("_light"))
-    texts = texts.join(light, "_digest", "left")
-    texts = texts.where(F.col("doc_id").eqNullSafe(F.coalesce("_heavy", "_light")))
-    one = Window.partitionBy("_digest").orderBy("_digest")
-    return texts.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(docs.columns)
+    heavy = F.broadcast(winners.select("digest", F.col("keep_id").alias("heavy_id"), F.lit(True).alias("heavy")))
+    # The row travels as one column, so that no column of docs can clash with these.
+    texts = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", digest().alias("digest")).join(heavy, "digest", "left")
+    texts = texts.where(F.col("heavy").isNull() | F.col("doc_id").eqNullSafe(F.col("heavy_id")))
+    light = rows.join(heavy, "digest", "left_anti").groupBy("digest").agg(F.max("doc_id").alias("light_id"))
+    texts = texts.join(light, "digest", "left").where(F.col("doc_id").eqNullSafe(F.coalesce("heavy_id", "light_id")))
+    one = Window.partitionBy("digest").orderBy("digest")
+    return texts.withColumn("n", F.row_number().over(one)).where("n = 1").select("row.*")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,11 +118,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """Each row of docs as often as the mix takes it; the columns stay as they are. Texts are not shuffled."""
     plan, few = thresholds(materialize(with_sizes(docs), "sizes"), weights, most)
-    plan = plan.select(F.col("source").alias("_source"), F.col("times").alias("_base"), F.col("cut").alias("_cut"))
-    rows = docs.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("_source")))
-    times = F.col("_base") + F.when(id_hash() <= F.col("_cut"), 1).otherwise(0)
-    rows = rows.withColumn("_times", times.cast("int")).where("_times > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    # The row travels as one column, so that no column of docs can clash with these.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "source", id_hash().alias("h"))
+    rows = _by_source(rows, plan.select("source", "times", "cut"), few).select("row", _times().cast("int").alias("times"))
+    return rows.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,33 +156,34 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tup
     return x, np.asarray(rows["label"].to_pylist(), dtype=np.int64)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
-    """docs with score (0 to 1, higher: label 1 likelier) in place of a column of that name.
-
-    Whole texts are scored, null and empty ones too, in one pass without a shuffle; doc_id, lang,
-    source and the labels are no inputs. Without usable labels every score is 0.5. Repeated rows
-    stay and score alike.
-    """
-    spark = docs.sparkSession
-    docs = docs.drop("score")
-    model = spark.sparkContext.broadcast(fit(*sample(docs, labels, most)))
-    where = docs.columns.index("text")
+def _scored(rows: DataFrame, docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """rows, whose last column is a text, with score in its place."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(*sample(docs, labels, most)))
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
-                score = model.value.score(count_features(_texts(part.column(where))))
-                columns = [*part.columns, pa.array(score, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "score"])
+                score = model.value.score(count_features(_texts(part.columns[-1])))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score, pa.float64())], names=[*part.schema.names[:-1], "score"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1]]).add("score", DoubleType()))
 
-    schema = StructType([*docs.schema.fields]).add("score", DoubleType())
-    return docs.mapInArrow(run, schema)
+
+def score_documents(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
+    """doc_id and score (0 to 1, higher: label 1 likelier) of each row of docs, in one pass without a shuffle.
+
+    Whole texts are scored, null and empty ones too; doc_id, lang, source and the labels are no
+    inputs. Without usable labels every score is 0.5. Repeated rows stay and score alike.
+    """
+    return _scored(docs.select("doc_id", "text"), docs, labels, most)
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = MOST_LABELLED) -> DataFrame:
     """The documents that score at least the threshold; the columns stay as they are."""
-    return score_documents(docs, labels).where(F.col("score") >= threshold).select(docs.columns)
+    # The row travels as one column, so that no column of docs can clash with the score.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return _scored(rows, docs, labels, most).where(F.col("score") >= threshold).select("row.*")
 
 
 def op3_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -321,11 +321,13 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 
 def first_of_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one document of each group, that with the smallest doc_id; null ids stay. Columns as they are."""
-    kept = similar_documents(docs, shingle, similarity).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    own = docs.where("doc_id is not null").join(materialize(kept, "kept"), F.col("doc_id").cast("long") == F.col("_id"))
-    one = Window.partitionBy("_id").orderBy("_id")
-    own = own.withColumn("_n", F.row_number().over(one)).where("_n = 1")
-    return own.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    kept = similar_documents(docs, shingle, similarity).where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    # The row travels as one column, so that no column of docs can clash with these.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    own = rows.where("id is not null").join(materialize(kept, "kept"), F.col("id") == F.col("kept"))
+    one = Window.partitionBy("id").orderBy("id")
+    own = own.withColumn("n", F.row_number().over(one)).where("n = 1")
+    return own.select("row.*").unionByName(rows.where("id is null").select("row.*"))
 
 
 def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
