@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from privspan.functions.special import ERF_P, ERF_Q, ERFC_P, ERFC_Q, SQRT_PI, TAIL_P, TAIL_Q
+from privspan.functions.special import ERF_P, ERF_Q, ERFC_P, ERFC_Q, INV_A, INV_B, INV_C, INV_D, SQRT_PI, TAIL_P, TAIL_Q
 
 
 def erfc(x):
@@ -26,6 +26,16 @@ def normal_cdf(x):
     return 0.5 * erfc(-np.asarray(x) / math.sqrt(2))
 
 
+def normal_quantile(u):
+    """Inverse normal distribution function: a rational start and one step of Halley's method."""
+    u = np.clip(np.asarray(u, np.float64), 1e-300, 1 - 2.0**-53)
+    low, high, q = np.sqrt(-2 * np.log(u)), np.sqrt(-2 * np.log1p(-u)), u - 0.5
+    mid = q * np.polyval(INV_A, q * q) / np.polyval(INV_B, q * q)
+    x = np.where(u < 0.02425, np.polyval(INV_C, low) / np.polyval(INV_D, low), np.where(u > 1 - 0.02425, -np.polyval(INV_C, high) / np.polyval(INV_D, high), mid))
+    step = (normal_cdf(x) - u) * math.sqrt(2 * math.pi) * np.exp(x * x / 2)
+    return x - step / (1 + x * step / 2)
+
+
 def gamma_q(nu: float, x):
     """Q(nu, x) for whole and half nu: terms are summed in logarithms, so large nu does not overflow."""
     x = np.maximum(np.asarray(x, np.float64), 0)
@@ -100,9 +110,13 @@ def cut_points(l1, l3, c):
     return np.stack([np.full_like(ends[0], -LIMIT), np.minimum(*ends), np.maximum(*ends), np.full_like(ends[0], LIMIT)], axis=-1)
 
 
-def integrate(f, l1, l3, c, nodes: int = 64):
-    """Integral of the normal density times f over [-LIMIT, LIMIT], piece by piece. f takes x of shape (..., nodes)."""
+def integrate(f, l1, l3, c, nodes: int = 64, by_probability: bool = False):
+    """Integral of the normal density times f over [-LIMIT, LIMIT], piece by piece. f takes x of shape (..., nodes).
+
+    by_probability integrates f over u, the normal distribution function of x.
+    """
     cuts = cut_points(l1, l3, c)
+    cuts = normal_cdf(cuts) if by_probability else cuts
     x, w = legendre(nodes)
     total = np.zeros(cuts.shape[0])
     for piece in range(3):
@@ -111,8 +125,11 @@ def integrate(f, l1, l3, c, nodes: int = 64):
             continue
         for part in range(PIECES):
             at = (lo + (part + 0.5) * width)[:, None] + (width / 2)[:, None] * x
-            total += (f(at) * np.exp(-at * at / 2) * w).sum(1) * width / 2
-    return total / math.sqrt(2 * math.pi)
+            if by_probability:
+                total += (f(normal_quantile(at)) * w).sum(1) * width / 2
+            else:
+                total += (f(at) * np.exp(-at * at / 2) * w).sum(1) * width / 2 / math.sqrt(2 * math.pi)
+    return total
 
 
 def _columns(*values):
@@ -149,7 +166,7 @@ def delta_left(p, q, d: int, r: float, eps, nodes: int = 64):
     return np.clip(integrate(f, l1, l3, c, nodes), 0, 1)
 
 
-def slope_left(p, s, d: int, r: float, eps, nodes: int = 64):
+def slope_left(p, s, d: int, r: float, eps, nodes: int = 64, by_probability: bool = False):
     """d/dp of delta_left(p, p + s).
 
     The integrand vanishes where a = 0, so only its inside counts. With z = -a / l2 and the gamma
@@ -170,7 +187,7 @@ def slope_left(p, s, d: int, r: float, eps, nodes: int = 64):
         p2 = gamma_p(nu, (1 - m2) * z) if nu else 1.0
         return np.where(a < 0, g * d2 / (1 - m2) - np.exp(np.minimum(a, 0) - nu * np.log1p(-m2)) * (da + nu * d2 / (1 - m2)) * p2, 0.0)
 
-    return integrate(f, l1, l3, c, nodes)
+    return integrate(f, l1, l3, c, nodes, by_probability)
 
 
 def bisect(f, low: float, high: float, target: float, tol: float = 1e-6, increasing: bool = True) -> float:

@@ -31,6 +31,7 @@ def worse(p: str, q: str, d: int, r: int, eps: float, nodes: int = 32) -> Column
     return F.greatest(left(p, q, d, r, eps, nodes), right(p, q, d, r, eps, nodes))
 
 
-def left_slope(p: str, share: str, d: int, r: int, eps: float, nodes: int = 32) -> Column:
-    """Derivative of left(p, p + share) in p."""
-    return _row_function(numeric.slope_left, d, r, eps, nodes)(p, share)
+def left_slope(p: str, share: str, d: int, r: int, eps: float, nodes: int = 32, by_probability: bool = False) -> Column:
+    """Derivative of left(p, p + share) in p; by_probability integrates over the distribution function instead."""
+    slope = lambda p, s, *rest: numeric.slope_left(p, s, *rest, by_probability=by_probability)
+    return _row_function(slope, d, r, eps, nodes)(p, share)

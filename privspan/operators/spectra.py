@@ -27,6 +27,16 @@ def gaussian_mechanism(eps, c) -> Column:
     return clamp(normal_cdf(c / 2 - eps / c) - F.exp(eps) * normal_cdf(-c / 2 - eps / c))
 
 
+def minimal_c(eps, delta, low: float = 1e-6, high: float = 1e2, steps: int = 40) -> Column:
+    """Sensitivity over noise at which the Gaussian mechanism reaches delta, for each row: a fixed number of halvings."""
+    start = F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        return let((s["lo"] + s["hi"]) / 2, lambda mid: F.when(gaussian_mechanism(eps, mid) < col(delta), F.struct(mid.alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi"))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: (s["lo"] + s["hi"]) / 2)
+
+
 def two_sided_tail(a, t) -> Column:
     """P(|Z - a| >= t)."""
     return normal_cdf(col(a) - col(t)) + normal_cdf(-col(a) - col(t))

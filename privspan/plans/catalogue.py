@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from privspan.functions import gx2
 from privspan.operators import accuracy, blackbox, calibrate, kernels, linear, mechanisms, quadrature, relational, rng, spectra
 from privspan.sources.tables import complete_rows, keyed_counties, table
 
@@ -470,6 +472,26 @@ def accuracy_to_delta(spark, d):
     return e.select("label", (F.round(spectra.accuracy_to_delta("acc", 0.01), 9) + 0.0).alias("delta"))
 
 
+@query()
+def minimal_c_rows(spark, d):
+    n = table(spark, d, "nation").select("n_nationkey", (0.1 + F.col("n_nationkey") / 10).alias("eps"))
+    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg((1 / (1000 * F.count("*"))).alias("delta"))
+    return rounded(n.join(c, "n_nationkey").select("n_nationkey", spectra.minimal_c("eps", "delta").alias("c")), 9, "c")
+
+
+@query()
+def quadratic_form_cdf(spark, d):
+    """P(form <= balance / 1000) of a fixed indefinite form of two normals, for every supplier."""
+    s = table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1000).alias("x"))
+
+    @F.pandas_udf("double")
+    def at(x: pd.Series) -> pd.Series:
+        found = gx2.parameters([0.5, -1.0], [[2.0, 0.3], [0.3, 1.0]], [[1.0, 0.2], [0.2, -1.5]])
+        return pd.Series(gx2.cdf(x.to_numpy(), *found))
+
+    return rounded(s.select("s_suppkey", at("x").alias("p")), 8, "p")
+
+
 # Quadrature: d = 3, so nu = 1 and Q(1, z) = e^-z.
 
 
@@ -521,6 +543,14 @@ def fprime_p(spark, d):
     return rounded(rows.select(KEY, quadrature.left_slope("p", "share", 3, 20, 0.01).alias("slope")), 8, "slope")
 
 
+@query()
+def fprime_u(spark, d):
+    """The same derivative, integrated over probabilities."""
+    m, f = fitted(spark, d)
+    rows = f.rows(m).withColumn("share", F.col("q") - F.col("p"))
+    return rounded(rows.select(KEY, quadrature.left_slope("p", "share", 3, 20, 0.01, by_probability=True).alias("slope")), 6, "slope")
+
+
 # Samplers: keyed draws that DuckDB repeats bit by bit.
 
 

@@ -9,11 +9,15 @@ def test_query_equals_sql(spark, duck, small, name):
     same_rows(catalogue.QUERIES[name](spark, small).toPandas(), duck.sql(catalogue.SQL[name]).df())
 
 
+SAMPLERS = ["rp_optimal", "rp_by_distribution", "optimal_ls_draws", "rp_tested"]
+
+
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL) - {"ndis_lattice", "mlp_accuracy"}))
-def test_query_without_sql_repeats(spark, small, name):
+def test_query_without_sql(spark, small, name):
     first = catalogue.QUERIES[name](spark, small).toPandas()
-    assert len(first)
-    same_rows(first, catalogue.QUERIES[name](spark, small).toPandas())
+    assert len(first) and not first.isna().any().any()
+    if name in SAMPLERS:
+        same_rows(first, catalogue.QUERIES[name](spark, small).toPandas())
 
 
 def test_lattice_agrees_with_monte_carlo(spark, small):

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from privspan.functions import numeric, special
+from privspan.functions import gx2, numeric, special
 from privspan.operators import calibrate, spectra
 
 
@@ -92,3 +92,22 @@ def test_calibrations():
 
 def test_convolved_losses_agree_with_the_closed_form():
     assert calibrate.fft_delta(1.0, 16.0, 100) == pytest.approx(0.0231035362143624, rel=1e-3)
+
+
+@pytest.mark.parametrize("form", [np.diag([1, 2, 0.7]), np.array([[1, 0.2, 0], [0.2, -1.5, 0], [0, 0, 0.4]]), -np.eye(3)])
+def test_quadratic_forms(form):
+    mean, cov = np.array([0.5, -1, 0.2]), np.array([[2, 0.3, 0], [0.3, 1, 0.2], [0, 0.2, 0.5]])
+    z = np.random.default_rng(0).multivariate_normal(mean, cov, 200_000)
+    v = np.einsum("ni,ij,nj->n", z, form, z)
+    found = gx2.parameters(mean, cov, form)
+    for x in np.quantile(v, [0.1, 0.5, 0.9]):
+        assert gx2.cdf(x, *found) == pytest.approx((v <= x).mean(), abs=5e-3)
+        assert gx2.imhof(x, *found)[0] == pytest.approx(float(gx2.cdf(x, *found)), abs=1e-6)
+
+
+def test_slope_by_probability():
+    assert numeric.slope_left(0.3, 0.1, 5, 2, 0.5, by_probability=True)[0] == pytest.approx(0.38937230, rel=1e-5)
+
+
+def test_calibration_of_rows(spark):
+    assert one(spark, spectra.minimal_c(1.0, 1e-3))[0] == pytest.approx(0.3884012483387066, rel=1e-9)
