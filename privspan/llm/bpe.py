@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: \s, \p{L} and \p{N} among the first 256 code points, and the white space of Unicode.
 LATIN = {r"\s": r"\t-\r \x85\xa0", r"\p{L}": "A-Za-zªµºÀ-ÖØ-öø-ÿ", r"\p{N}": "0-9²³¹¼½¾"}
-WHITE = r"\t-\r \x85\xa0  -     　"
+WHITE = r"\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Pieces whose encoding a worker remembers before it starts afresh.
 REMEMBERED = 400_000
 
