@@ -14,11 +14,11 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
-import zlib
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +29,9 @@ LENGTH, GRAM = 200, 32
 BEFORE = LENGTH - GRAM
 WIDTH = BEFORE + LENGTH
 #: Fragments of one anchor that one collection takes; more are divided among several.
-MOST_OF_ANCHOR = 1024
-#: Fragments of one collection, and bytes of a document that are hashed at once.
-COLLECTION, STRIDE = 1 << 16, 1 << 20
+MOST_OF_ANCHOR = 16384
+#: Fragments of one collection, and bytes that are hashed at once: their arrays stay in a core's cache.
+COLLECTION, STRIDE = 1 << 16, 1 << 16
 ABSENT = 256
 
 _rng = np.random.default_rng(LENGTH)
@@ -48,8 +48,11 @@ def _powers(base: int, n: int) -> np.ndarray:
 _UP, _DOWN = _powers(_BASE, STRIDE + LENGTH), _powers(pow(_BASE, -1, 1 << 64), STRIDE + LENGTH)
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of all strings of LENGTH bytes in data."""
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, place and hash of the anchors of all strings of LENGTH bytes; a string lies within one text."""
+    data, sizes = b"".join(texts), np.array([len(t) for t in texts], np.int64)
+    begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     places, hashes = [], []
     for start in range(0, len(data) - LENGTH + 1, STRIDE):
         part = np.frombuffer(data, np.uint8, min(STRIDE + LENGTH - 1, len(data) - start), start)
@@ -66,14 +69,16 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
             least = np.minimum(least[:-span], least[span:])
             span *= 2
         least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
-        at = (_LOW - (least & _LOW)).astype(np.int64)
-        at = at[np.concatenate([[True], at[1:] != at[:-1]])]
-        places.append(at + start)
-        hashes.append(h[at].view(np.int64))
+        own = owner[start : start + n]
+        at = (_LOW - (least[own[: n - LENGTH + 1] == own[LENGTH - 1 :]] & _LOW)).astype(np.int64)
+        if len(at):
+            at = at[np.concatenate([[True], at[1:] != at[:-1]])]
+            places.append(at + start)
+            hashes.append(h[at].view(np.int64))
     if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     place, first = np.unique(np.concatenate(places), return_index=True)
-    return place, np.concatenate(hashes)[first]
+    return owner[place].astype(np.int64), place - begins[owner[place]], np.concatenate(hashes)[first]
 
 
 def _whole(text: bytes | None) -> bytes:
@@ -84,10 +89,11 @@ def _packed(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, z: whole texts as compressed bytes, for a shuffle by document."""
 
     def run(batches):
+        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             texts = [_whole(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             keys = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text_key": pa.array(keys), "z": pa.array([zlib.compress(t, 1) for t in texts], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text_key": pa.array(keys), "z": pa.array(list(map(pack, texts)), pa.binary())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text_key long, z binary")
@@ -95,22 +101,24 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 def _occurrences(docs: DataFrame) -> DataFrame:
     """anchor, around (a hash of its fragment), doc_id, text_key, place."""
+    digest = xxhash.xxh3_64_intdigest
 
     def run(batches):
         for batch in batches:
-            for key, text in zip(batch.column(0), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                data = _whole(text)
-                place, anchor = anchors(data)
-                if not len(place):
-                    continue
-                digest, n = xxhash.xxh3_64_intdigest, len(data)
-                # Where the text ends within a fragment is part of it.
-                around = [digest(data[max(p - BEFORE, 0) : p + LENGTH], min(p, BEFORE) << 10 | min(n - p, LENGTH)) for p in place.tolist()]
-                text_key = np.full(len(place), digest(data), np.uint64).view(np.int64)
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                texts = [_whole(t) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                row, place, anchor = anchors(texts)
+                around = []
+                for i, p in zip(row.tolist(), place.tolist()):
+                    data = texts[i]
+                    # Where the text ends within a fragment is part of it.
+                    around.append(digest(data[p - BEFORE if p > BEFORE else 0 : p + LENGTH], min(p, BEFORE) << 10 | min(len(data) - p, LENGTH)))
+                keys = np.array([digest(t) for t in texts], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "anchor": pa.array(anchor), "around": pa.array(np.array(around, np.uint64).view(np.int64)),
-                        "doc_id": pa.array([key.as_py()] * len(place), batch.schema.field(0).type), "text_key": pa.array(text_key), "place": pa.array(place),
+                        "doc_id": part.column(0).take(pa.array(row)), "text_key": pa.array(keys[row]), "place": pa.array(place),
                     }
                 )
 
@@ -160,49 +168,43 @@ def repeated_windows(fragments: list[tuple[bytes, int]]) -> tuple[np.ndarray, np
     return again, later
 
 
-def _spans(row: np.ndarray) -> list[dict]:
-    """Bytes, counted from the anchor, that the strings starting d bytes before it cover."""
-    d = np.nonzero(row)[0]
-    if not len(d):
-        return []
-    cut = np.nonzero(np.diff(d) > LENGTH)[0]
-    first, last = np.concatenate([[d[0]], d[cut + 1]]), np.concatenate([d[cut], [d[-1]]])
-    return [{"lo": int(-b), "hi": int(LENGTH - a)} for a, b in zip(first, last)]
-
-
-_FOUND = "anchor long, around long, spans array<struct<lo:int,hi:int>>, d int, string long, alone boolean"
-_FOUND_ARROW = pa.schema(
-    [
-        ("anchor", pa.int64()), ("around", pa.int64()), ("spans", pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))),
-        ("d", pa.int32()), ("string", pa.int64()), ("alone", pa.bool_()),
-    ]
-)
-
-
 def _compared(fragments: DataFrame) -> DataFrame:
-    """For each fragment the spans that its collection repeats; of divided anchors also strings.
+    """For each fragment with repeats lo and hi, counted from its anchor; of divided anchors also strings.
 
-    fragments is partitioned and sorted by anchor and part. Where an anchor's fragments are
-    divided, a string of theirs can be repeated in another part: a row gives the hash of each
-    string found alone in its collection, or of the first of its equals.
+    All strings of a fragment hold its anchor, so what they cover is one span. fragments is
+    partitioned and sorted by anchor and part. Where an anchor's fragments are divided, a string
+    of theirs can be repeated in another part: a row gives d and the hash of each string found
+    alone in its collection, or of the first of its equals.
     """
 
     def flush(held):
         again, later = repeated_windows([(r[4], r[5]) for r in held])
-        out = []
+        rows = np.nonzero(again.any(1))[0]
+        first, last = again[rows].argmax(1), BEFORE - again[rows][:, ::-1].argmax(1)
+        out = {n: [held[i][k] for i in rows.tolist()] for n, k in (("anchor", 0), ("around", 2))}
+        yield _found(**out, lo=(-last).astype(np.int32), hi=(LENGTH - first).astype(np.int32))
+        anchor, around, ds, strings, alone = [], [], [], [], []
         for r, found, after in zip(held, again, later):
-            if spans := _spans(found):
-                out.append((r[0], r[2], spans, None, None, None))
             if r[3] > 1:
                 data, at = r[4], r[5]
-                for d in np.nonzero(~after)[0].tolist():
-                    string = data[at - d : at - d + LENGTH] if d <= at else b""
-                    if len(string) == LENGTH:
-                        h = xxhash.xxh3_64_intdigest(string)
-                        out.append((r[0], r[2], None, d, h - (1 << 64) if h >> 63 else h, not found[d]))
-        for s in range(0, len(out), 50_000):
-            rows = [dict(zip(_FOUND_ARROW.names, x)) for x in out[s : s + 50_000]]
-            yield pa.RecordBatch.from_pylist(rows, schema=_FOUND_ARROW)
+                for d in np.nonzero(~after[: at + 1])[0].tolist():
+                    if at - d + LENGTH <= len(data):
+                        anchor.append(r[0])
+                        around.append(r[2])
+                        ds.append(d)
+                        strings.append(xxhash.xxh3_64_intdigest(data[at - d : at - d + LENGTH]))
+                        alone.append(not found[d])
+        for s in range(0, len(ds), 50_000):
+            yield _found(
+                anchor[s : s + 50_000], around[s : s + 50_000], d=np.array(ds[s : s + 50_000], np.int32),
+                string=np.array(strings[s : s + 50_000], np.uint64).view(np.int64), alone=np.array(alone[s : s + 50_000]),
+            )
+
+    def _found(anchor, around, **columns):
+        n = len(anchor)
+        fields = {"lo": pa.int32(), "hi": pa.int32(), "d": pa.int32(), "string": pa.int64(), "alone": pa.bool_()}
+        rest = {k: pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in fields.items()}
+        return pa.RecordBatch.from_pydict({"anchor": pa.array(anchor, pa.int64()), "around": pa.array(around, pa.int64()), **rest})
 
     def run(batches):
         held: list[tuple] = []
@@ -215,12 +217,17 @@ def _compared(fragments: DataFrame) -> DataFrame:
         if held:
             yield from flush(held)
 
-    return fragments.select("anchor", "part", "around", "parts", "bytes", "at").mapInArrow(run, _FOUND)
+    return fragments.select("anchor", "part", "around", "parts", "bytes", "at").mapInArrow(
+        run, "anchor long, around long, lo int, hi int, d int, string long, alone boolean"
+    )
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, spans: the bytes of each document that repeated strings cover."""
-    whole = F.array(F.struct(F.lit(-BEFORE).alias("lo"), F.lit(LENGTH).alias("hi")))
+    """doc_id, text_key, spans (lo, hi): the bytes of each document that repeated strings cover.
+
+    Spans can overlap and can go beyond the text's ends.
+    """
+    whole = [F.lit(-BEFORE).alias("lo"), F.lit(LENGTH).alias("hi")]
     seen = materialize(_occurrences(docs), "anchors")
     often = seen.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("around") != F.max("around")).alias("mixed")).where("n > 1")
     met = materialize(seen.join(often.select("anchor", "mixed"), "anchor"), "met")
@@ -234,30 +241,47 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     asked = packed.join(asked.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_key", "_key"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("z", "asked")
 
     def cut(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            rows = []
-            for z, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = zlib.decompress(z)
-                for x in places:
-                    p = x.pop("place")
-                    rows.append(x | {"bytes": data[max(p - BEFORE, 0) : p + LENGTH], "at": min(p, BEFORE)})
-            kind = [("anchor", pa.int64()), ("around", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("bytes", pa.binary()), ("at", pa.int32())]
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(kind))
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                asked = part.column(1)
+                bounds = asked.offsets.to_numpy()
+                flat = asked.values.flatten()
+                places = flat[0].to_pylist()
+                data, at = [], []
+                for i, z in enumerate(part.column(0).to_pylist()):
+                    text = unpack(z)
+                    for p in places[bounds[i] : bounds[i + 1]]:
+                        data.append(text[p - BEFORE if p > BEFORE else 0 : p + LENGTH])
+                        at.append(min(p, BEFORE))
+                own = slice(bounds[0], bounds[-1])
+                rest = {n: flat[k][own] for k, n in ((1, "anchor"), (2, "around"), (3, "part"), (4, "parts"))}
+                yield pa.RecordBatch.from_pydict({**rest, "bytes": pa.array(data, pa.binary()), "at": pa.array(at, pa.int32())})
 
     fragments = asked.mapInArrow(cut, "anchor long, around long, part int, parts int, bytes binary, at int")
     shuffled = fragments.repartition(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "anchor", "part")
     found = materialize(_compared(shuffled.sortWithinPartitions("anchor", "part", "around")), "found")
-    strings = found.where("spans is null")
+    strings = found.where("d is not null")
     # At one anchor a place has one fragment, so rows that agree in all three are different places.
     twice = strings.groupBy("anchor", "d", "string").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    across = strings.where("alone").join(twice, ["anchor", "d", "string"]).select("anchor", "around", F.array(F.struct((-F.col("d")).alias("lo"), (F.lit(LENGTH) - F.col("d")).cast("int").alias("hi"))).alias("spans"))
-    covers = kinds.where("n > 1").select("anchor", "around", whole.alias("spans"))
-    alone = kinds.where("n = 1").select("anchor", "around")
-    partly = found.where("spans is not null").select("anchor", "around", "spans").unionByName(across).join(alone, ["anchor", "around"], "left_semi")
-    covers = materialize(covers.unionByName(partly), "covers")
-    mixed = met.where("mixed").join(covers, ["anchor", "around"]).select("doc_id", "text_key", "place", "spans")
-    every = met.where("not mixed").select("doc_id", "text_key", "place", whole.alias("spans")).unionByName(mixed)
-    return every.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("place", "spans")).alias("found"))
+    across = strings.where("alone").join(twice, ["anchor", "d", "string"]).select("anchor", "around", (-F.col("d")).alias("lo"), (LENGTH - F.col("d")).alias("hi"))
+    partly = found.where("lo is not null").select("anchor", "around", "lo", "hi").unionByName(across)
+    partly = partly.groupBy("anchor", "around").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    covers = kinds.join(partly, ["anchor", "around"], "left").select("anchor", "around", *[F.when(F.col("n") > 1, w).otherwise(F.col(x)).cast("int").alias(x) for w, x in zip(whole, ("lo", "hi"))])
+    covers = materialize(covers.where("lo is not null"), "covers")
+    mixed = met.where("mixed").join(covers, ["anchor", "around"]).select("doc_id", "text_key", "place", "lo", "hi")
+    every = met.where("not mixed").select("doc_id", "text_key", "place", *whole).unionByName(mixed)
+    span = F.struct((F.col("place") + F.col("lo")).alias("lo"), (F.col("place") + F.col("hi")).alias("hi"))
+    return every.groupBy("doc_id", "text_key").agg(F.collect_list(span).alias("spans"))
+
+
+def _merged(lo: np.ndarray, hi: np.ndarray, n: int) -> tuple[list[int], list[int]]:
+    """Starts and ends of the maximal runs that the spans cover within 0 .. n."""
+    order = np.argsort(lo, kind="stable")
+    lo, hi = np.maximum(lo[order], 0), np.minimum(np.maximum.accumulate(hi[order]), n)
+    new = np.nonzero(lo[1:] > hi[:-1])[0] + 1
+    return lo[np.concatenate([[0], new])].tolist(), hi[np.concatenate([new - 1, [len(lo) - 1]])].tolist()
 
 
 def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
@@ -273,23 +297,18 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     rows = _packed(docs).join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
 
     def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
+            spans = batch.column(2)
+            bounds, (los, his) = spans.offsets.to_numpy(), (x.to_numpy(zero_copy_only=False) for x in spans.values.flatten())
             out = []
-            for z, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                data = zlib.decompress(z)
-                pairs = sorted((max(x["place"] + s["lo"], 0), min(x["place"] + s["hi"], len(data))) for x in found or () for s in x["spans"])
-                merged: list[list[int]] = []
-                for lo, hi in pairs:
-                    if merged and lo <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], hi)
-                    else:
-                        merged.append([lo, hi])
-                kept, at = [], 0
-                for lo, hi in merged:
-                    kept.append(data[at:lo])
-                    at = hi
-                left = b"".join([*kept, data[at:]])
-                out.append((len(data), len(data) - len(left), len(merged), hashlib.sha256(left).hexdigest(), left if keep_text else None))
+            for i, z in enumerate(batch.column(1).to_pylist()):
+                left = data = unpack(z)
+                starts: list[int] = []
+                if bounds[i + 1] > bounds[i]:
+                    starts, ends = _merged(los[bounds[i] : bounds[i + 1]], his[bounds[i] : bounds[i + 1]], len(data))
+                    left = b"".join(data[a:b] for a, b in zip([0, *ends], [*starts, len(data)]))
+                out.append((len(data), len(data) - len(left), len(starts), hashlib.sha256(left).hexdigest(), left if keep_text else None))
             n, removed, count, digest, left = zip(*out) if out else ((),) * 5
             yield pa.RecordBatch.from_pydict(
                 {
@@ -299,7 +318,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    done = rows.select("doc_id", "z", "found").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    done = rows.select("doc_id", "z", "spans").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return done if keep_text else done.drop("kept")
 
 
