@@ -286,7 +286,7 @@ def alt19_constant(spark, d):
     return rounded(linear.added_rows_constant(matrix(spark, d), ALL, 300, 1.0, 1e-6), 7, "c")
 
 
-@query(f"WITH {FIT} SELECT row_id, round(b1-w/(1-p)*(i11*x1+i12*x2), 7) + 0 AS b1, round(b2-w/(1-p)*(i12*x1+i22*x2), 9) + 0 AS b2 FROM r")
+@query(f"WITH {FIT} SELECT row_id, round(b1-w/(1-p)*(i11*x1+i12*x2), 7) + 0 AS b1, round(b2-w/(1-p)*(i12*x1+i22*x2), 7) + 0 AS b2 FROM r")
 def neighbor_xopt(spark, d):
     m, f = fitted(spark, d)
     b1, b2 = f.neighbor_beta()
