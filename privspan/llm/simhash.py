@@ -28,14 +28,15 @@ SMALL_BUCKET = 32
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, the generator of the [23, 12] Golay code.
 GENERATOR = 0b101011100011
 
-#: Settings of similar_documents(): width of the sketch and so of the long fingerprint, keys a
-#: document, and bits that a key has besides its codeword. A pair at a similarity of 0.8 shares a
-#: given key with a probability of about 0.07. EXTRA_BITS and KEYS are to grow with the corpus:
-#: a bit more halves the chance meetings, and needs a fifth more keys.
-SKETCH, KEYS, EXTRA_BITS = 2048, 48, 3
-#: Bits of 64 that may differ before the long fingerprints are compared, and the share of those
-#: that may differ before shingles are; at a similarity of 0.8 it is 0.15.
-LOOSE_64, LOOSE = 20, 0.22
+#: Settings of similar_documents(): width of a sketch, its transforms (and so the bits of the long
+#: fingerprint, all of which go into keys), keys a document, and bits that a key has besides its
+#: codeword. A pair at a similarity of 0.8 shares a given key with a probability of about 0.025.
+#: EXTRA_BITS and KEYS are to grow with the corpus: each bit more halves the chance meetings, and
+#: needs a fifth more keys.
+SKETCH, TRANSFORMS, KEYS, EXTRA_BITS = 2048, 2, 128, 9
+#: Longs of the fingerprint that bucket-mates compare first, the share of their bits that may
+#: differ, and that of all bits before shingles are compared; at a similarity of 0.8 it is 0.15.
+SIGNATURE, LOOSE_SIGNATURE, LOOSE = 8, 0.2, 0.2
 
 
 @lru_cache(maxsize=1)
@@ -188,12 +189,15 @@ def _long_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
             sign = 1.0 - 2.0 * (s >> np.uint64(63)).astype(np.float64)
             sketch[k] = np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), sign, SKETCH)
     rng = np.random.default_rng(SEED)
-    flip, mix = (rng.choice([-1.0, 1.0], SKETCH).astype(np.float32) for _ in range(2))
-    return np.packbits(_hadamard(_hadamard(sketch * flip) * mix) > 0, axis=1)
+    bits = []
+    for _ in range(TRANSFORMS):
+        flip, mix = (rng.choice([-1.0, 1.0], SKETCH).astype(np.float32) for _ in range(2))
+        bits.append(_hadamard(_hadamard(sketch * flip) * mix) > 0)
+    return np.packbits(np.concatenate(bits, axis=1), axis=1)
 
 
-def _similarity_keys(packed: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """KEYS keys of each long fingerprint, and its last 64 bits.
+def _similarity_keys(packed: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """KEYS keys of each long fingerprint.
 
     A key is a codeword, some bits as they are, and the octave of the set's size, whose bounds
     differ from key to key.
@@ -204,8 +208,7 @@ def _similarity_keys(packed: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray,
     index = golay_index(words[:, :, :23] @ (1 << np.arange(23)))
     extra = words[:, :, 23:] @ (1 << np.arange(EXTRA_BITS))
     octave = np.floor(np.log2(np.maximum(sizes, 1))[:, None] + np.arange(KEYS) / KEYS).astype(np.int64)
-    keys = ((np.arange(KEYS) << 6 | octave) << 12 | index) << EXTRA_BITS | extra
-    return keys, np.ascontiguousarray(packed[:, -8:]).view(np.int64)[:, 0]
+    return ((np.arange(KEYS) << 6 | octave) << 12 | index) << EXTRA_BITS | extra
 
 
 def _shingle_set(data: bytes, n: int) -> np.ndarray:
@@ -213,7 +216,7 @@ def _shingle_set(data: bytes, n: int) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, same (a hash of the shingle set), n (its size), bits for each row."""
+    """doc_id, same (a hash of the shingle set), n (its size), bits and their first longs for each row."""
 
     def run(batches):
         for batch in batches:
@@ -221,27 +224,31 @@ def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 part = batch.slice(at, 64)
                 sets = [_shingle_set(t or b"", shingle) for t in part.column(1).cast(pa.binary()).to_pylist()]
                 same = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-                bits = [b.tobytes() for b in _long_fingerprints(sets)]
+                packed = _long_fingerprints(sets)
+                sig = np.ascontiguousarray(packed[:, : 8 * SIGNATURE]).view(np.int64)
                 yield pa.RecordBatch.from_pydict(
-                    {"doc_id": part.column(0), "same": pa.array(same), "n": pa.array(list(map(len, sets)), pa.int64()), "bits": pa.array(bits, pa.binary())}
+                    {
+                        "doc_id": part.column(0), "same": pa.array(same), "n": pa.array(list(map(len, sets)), pa.int64()),
+                        "bits": pa.array([b.tobytes() for b in packed], pa.binary()), "sig": pa.array(list(sig), pa.list_(pa.int64())),
+                    }
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, same long, n long, bits binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, same long, n long, bits binary, sig array<long>")
 
 
 def _keyed(classes: DataFrame) -> DataFrame:
-    """key, same, sig (64 bits of the long fingerprint): KEYS rows for each class."""
+    """key, same: KEYS rows for each class."""
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 packed = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                keys, sig = _similarity_keys(packed, part.column(1).to_numpy(zero_copy_only=False))
+                keys = _similarity_keys(packed, part.column(1).to_numpy(zero_copy_only=False))
                 same = part.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys.ravel()), "same": pa.array(np.repeat(same, KEYS)), "sig": pa.array(np.repeat(sig, KEYS))})
+                yield pa.RecordBatch.from_pydict({"key": pa.array(keys.ravel()), "same": pa.array(np.repeat(same, KEYS))})
 
-    return classes.select("same", "n", "bits").mapInArrow(run, "key long, same long, sig long")
+    return classes.select("same", "n", "bits").mapInArrow(run, "key long, same long")
 
 
 def _near(pairs: DataFrame, bits: DataFrame) -> DataFrame:
@@ -252,7 +259,7 @@ def _near(pairs: DataFrame, bits: DataFrame) -> DataFrame:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (2, 3))
             apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) if batch.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(apart <= LOOSE * SKETCH)) for c in batch.columns[:2]], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(apart <= LOOSE * SKETCH * TRANSFORMS)) for c in batch.columns[:2]], names=["a", "b"])
 
     return pairs.join(a, "a").join(b, "b").select("a", "b", "_a", "_b").mapInArrow(close, "a long, b long")
 
@@ -295,16 +302,19 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     """
     docs = docs.where("doc_id is not null")
     rows = materialize(_sketches(docs, shingle), "sketches")
-    classes = rows.groupBy("same").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("n", "bits"), "doc_id").alias("x"))
-    classes = materialize(classes.select("same", "least", "x.n", "x.bits"), "set-classes")
+    classes = rows.groupBy("same").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("n", "bits", "sig"), "doc_id").alias("x"))
+    classes = materialize(classes.select("same", "least", "x.n", "x.bits", "x.sig"), "set-classes")
     texts = docs.select(F.col("doc_id").cast("long").alias("least"), "text").join(classes.select("same", "least"), "least").select("same", "text")
     bits = classes.select("same", "bits")
-    near = F.bit_count(F.col("sig").bitwiseXOR(F.col("sig_b"))) <= LOOSE_64
+    differ = sum((F.bit_count(F.element_at("sig", i).bitwiseXOR(F.element_at("sig_b", i))) for i in range(1, SIGNATURE + 1)), F.lit(0))
+    near = differ <= int(LOOSE_SIGNATURE * 64 * SIGNATURE)
     keys = _keyed(classes)
-    firsts = keys.groupBy("key").agg(F.min_by(F.struct(F.col("same").alias("first"), F.col("sig").alias("sig_b")), F.xxhash64("same", "key")).alias("x"), F.count("*").alias("size"))
-    met = materialize(keys.join(firsts.where("size > 1").select("key", "x.*"), "key"), "met")
-    pair = [F.least("same", "first").alias("a"), F.greatest("same", "first").alias("b")]
-    stars = met.where("same <> first").where(near).select(pair).distinct()
+    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    met = materialize(keys.join(shared, "key"), "met").join(classes.select("same", "sig"), "same").select("key", "same", "sig")
+    met = materialize(met, "met-signed")
+    firsts = met.groupBy("key").agg(F.min_by(F.struct(F.col("same").alias("first"), F.col("sig").alias("sig_b")), F.xxhash64("same", "key")).alias("x"))
+    stars = met.join(materialize(firsts.select("key", "x.*"), "firsts"), "key").where("same <> first").where(near)
+    stars = stars.select(F.least("same", "first").alias("a"), F.greatest("same", "first").alias("b")).distinct()
     links = materialize(_verified(_near(stars, bits), texts, shingle, similarity), "links")
     roots = materialize(connected_components(links), "first-roots").withColumnRenamed("node", "same")
     met = materialize(met.join(roots, "same", "left").select("key", "same", "sig", F.coalesce("root", "same").alias("root")), "met-roots")
