@@ -34,9 +34,9 @@ GENERATOR = 0b101011100011
 #: EXTRA_BITS and KEYS are to grow with the corpus: each bit more halves the chance meetings, and
 #: needs a fifth more keys.
 SKETCH, TRANSFORMS, KEYS, EXTRA_BITS = 2048, 2, 128, 9
-#: Longs of the fingerprint that bucket-mates compare first, the share of their bits that may
-#: differ, and that of all bits before shingles are compared; at a similarity of 0.8 it is 0.15.
-SIGNATURE, LOOSE_SIGNATURE, LOOSE = 8, 0.2, 0.2
+#: Longs of the fingerprint that bucket-mates compare, and the share of their bits that may differ
+#: before shingles are compared; at a similarity of 0.8 it is 0.15.
+SIGNATURE, LOOSE = 16, 0.2
 
 
 @lru_cache(maxsize=1)
@@ -251,19 +251,6 @@ def _keyed(classes: DataFrame) -> DataFrame:
     return classes.select("same", "n", "bits").mapInArrow(run, "key long, same long")
 
 
-def _near(pairs: DataFrame, bits: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose long fingerprints differ in a share of LOOSE at most."""
-    a, b = (bits.select(F.col("same").alias(x), F.col("bits").alias(f"_{x}")) for x in "ab")
-
-    def close(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (2, 3))
-            apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) if batch.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(apart <= LOOSE * SKETCH * TRANSFORMS)) for c in batch.columns[:2]], names=["a", "b"])
-
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "_a", "_b").mapInArrow(close, "a long, b long")
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Those of pairs (a, b) whose shingle sets have the Jaccard similarity. texts: same, text."""
     pairs = materialize(pairs, "near-pairs")
@@ -296,7 +283,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     """doc_id, component_id: groups of documents whose shingle sets have at least the Jaccard similarity.
 
     Equal sets are one class from the start. Each bucket first compares its members with one of
-    them; after that, only members of different groups are compared in pairs. Long fingerprints
+    them; after that, only members of different groups are compared in pairs. Signatures
     sift the pairs, shingle sets decide them. Links at the threshold are found with a probability
     of about 0.95, closer ones with more; none below it is made. Texts without words form one group; rows with a null doc_id are not grouped.
     """
@@ -305,23 +292,23 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     classes = rows.groupBy("same").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("n", "bits", "sig"), "doc_id").alias("x"))
     classes = materialize(classes.select("same", "least", "x.n", "x.bits", "x.sig"), "set-classes")
     texts = docs.select(F.col("doc_id").cast("long").alias("least"), "text").join(classes.select("same", "least"), "least").select("same", "text")
-    bits = classes.select("same", "bits")
     differ = sum((F.bit_count(F.element_at("sig", i).bitwiseXOR(F.element_at("sig_b", i))) for i in range(1, SIGNATURE + 1)), F.lit(0))
-    near = differ <= int(LOOSE_SIGNATURE * 64 * SIGNATURE)
+    near = differ <= int(LOOSE * 64 * SIGNATURE)
     keys = _keyed(classes)
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     met = materialize(keys.join(shared, "key"), "met").join(classes.select("same", "sig"), "same").select("key", "same", "sig")
     met = materialize(met, "met-signed")
-    firsts = met.groupBy("key").agg(F.min_by(F.struct(F.col("same").alias("first"), F.col("sig").alias("sig_b")), F.xxhash64("same", "key")).alias("x"))
+    # One hash for all buckets: those of a large group then mostly share their first member.
+    firsts = met.groupBy("key").agg(F.min_by(F.struct(F.col("same").alias("first"), F.col("sig").alias("sig_b")), F.xxhash64("same")).alias("x"))
     stars = met.join(materialize(firsts.select("key", "x.*"), "firsts"), "key").where("same <> first").where(near)
     stars = stars.select(F.least("same", "first").alias("a"), F.greatest("same", "first").alias("b")).distinct()
-    links = materialize(_verified(_near(stars, bits), texts, shingle, similarity), "links")
+    links = materialize(_verified(stars, texts, shingle, similarity), "links")
     roots = materialize(connected_components(links), "first-roots").withColumnRenamed("node", "same")
     met = materialize(met.join(roots, "same", "left").select("key", "same", "sig", F.coalesce("root", "same").alias("root")), "met-roots")
     other = met.select(F.col("key").alias("_key"), F.col("same").alias("b"), F.col("sig").alias("sig_b"), F.col("root").alias("root_b"))
     more = met.join(other, (F.col("key") == F.col("_key")) & (F.col("same") < F.col("b")) & (F.col("root") != F.col("root_b")) & near)
     more = more.select(F.col("same").alias("a"), "b").distinct()
-    more = _verified(_near(more, bits), texts, shingle, similarity)
+    more = _verified(more, texts, shingle, similarity)
     roots = materialize(connected_components(links.unionByName(more)), "set-roots").withColumnRenamed("node", "same")
     named = materialize(classes.select("same", "least").join(roots, "same", "left").withColumn("root", F.coalesce("root", "same")), "named")
     parts = materialize(named.groupBy("root").agg(F.min("least").alias("component_id")), "parts")
