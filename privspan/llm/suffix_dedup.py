@@ -28,8 +28,8 @@ LENGTH, GRAM = 200, 32
 #: A fragment: so many bytes before its anchor's start, and LENGTH from there on.
 BEFORE = LENGTH - GRAM
 WIDTH = BEFORE + LENGTH
-#: Fragments of one anchor that one collection takes; more are divided among several.
-MOST_OF_ANCHOR = 16384
+#: Fragments of one anchor that one collection takes (some 150 MB); more are divided among several.
+MOST_OF_ANCHOR = 1 << 16
 #: Fragments of one collection, and bytes that are hashed at once: their arrays stay in a core's cache.
 COLLECTION, STRIDE = 1 << 16, 1 << 16
 ABSENT = 256
