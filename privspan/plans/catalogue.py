@@ -367,6 +367,13 @@ def delta_kd_rlc_eps_grid(spark, d):
     return rounded(rows.select(KEY, "eps", spectra.leverage_combination("eps", "p").alias("delta")), 8, "delta")
 
 
+@query(f"WITH {FIT} SELECT row_id, eps, round({_kd_sql('eps')}, 8) + 0 AS delta FROM r, (VALUES (0.0001::DOUBLE),(0.001),(0.01)) t(eps)")
+def delta_kd_rlc_eps_grid_all_rows(spark, d):
+    m, f = fitted(spark, d)
+    rows = spectra.sweep(f.rows(m), eps=[0.0001, 0.001, 0.01])
+    return rounded(rows.select(KEY, "eps", spectra.leverage_combination("eps", "p").alias("delta")), 8, "delta")
+
+
 @query(f"WITH {FIT} SELECT row_id, round(least(1, 10*{_kd_sql('0.00001')}), 7) + 0 AS delta FROM r")
 def delta_rp_sequential(spark, d):
     m, f = fitted(spark, d)
@@ -530,6 +537,18 @@ def delta_pq_right(spark, d):
     return rounded(rows.select(KEY, quadrature.right("p", "q", 3, 20, 0.01).alias("delta")), 7, "delta")
 
 
+@query(_pq_sql(_LEFT, _F_LEFT, "true"))
+def delta_pq_left_all_rows(spark, d):
+    m, f = fitted(spark, d)
+    return rounded(f.rows(m).select(KEY, quadrature.left("p", "q", 3, 20, 0.01).alias("delta")), 7, "delta")
+
+
+@query(_pq_sql(_RIGHT, _F_RIGHT, "true"))
+def delta_pq_right_all_rows(spark, d):
+    m, f = fitted(spark, d)
+    return rounded(f.rows(m).select(KEY, quadrature.right("p", "q", 3, 20, 0.01).alias("delta")), 7, "delta")
+
+
 @query()
 def delta_pq_all_rows(spark, d):
     m, f = fitted(spark, d)

@@ -9,6 +9,15 @@ def test_query_equals_sql(spark, duck, small, name):
     same_rows(catalogue.QUERIES[name](spark, small).toPandas(), duck.sql(catalogue.SQL[name]).df())
 
 
+@pytest.mark.parametrize("name, grid", [("delta_pq_left", 1), ("delta_pq_right", 1), ("delta_kd_rlc_eps_grid", 3)])
+def test_every_record_has_its_spectrum(spark, small, name, grid):
+    """The query over all records has a row of each, and the values that the one over a part of the ids has."""
+    whole = catalogue.QUERIES[f"{name}_all_rows"](spark, small).toPandas()
+    assert sorted(whole.row_id) == sorted(grid * [r.row_id for r in catalogue.matrix(spark, small).select("row_id").collect()])
+    part = catalogue.QUERIES[name](spark, small).toPandas()
+    same_rows(whole[whole.row_id.isin(part.row_id)], part)
+
+
 SAMPLERS = ["rp_optimal", "rp_by_distribution", "optimal_ls_draws", "rp_tested"]
 
 
