@@ -361,6 +361,21 @@ def test_similar_documents(spark, docs, odd, none):
     assert simhash.first_of_similar(none).count() == 0
 
 
+def test_truncated_and_extended_copies(spark):
+    """Copies with a fifth of their shingles cut off, or a quarter added: exactly 0.8, at unlike lengths."""
+    g = random.Random(11)
+    words = [f"w{i}" for i in range(100_000)]
+    rows = []
+    for i in range(600):
+        base = [g.choice(words) for _ in range(44)]
+        copy = base[:36] if i % 2 else base + [g.choice(words) for _ in range(10)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(c in (i, i - i % 2) for i, c in got.items())
+    for kind in (0, 1):
+        assert np.mean([got[2 * i] == got[2 * i + 1] for i in range(kind, 600, 2)]) >= 0.96
+
+
 # Embeddings.
 
 
