@@ -30,14 +30,45 @@ MOST_LANGUAGES = 64
 #: Words of one block of sequences, and words whose scores a worker remembers.
 BLOCK_WORDS, REMEMBERED = 200_000, 400_000
 
+#: Letters of a run that enter the chain as one word; longer runs are cut into pieces.
+LONGEST = 40
+
 WORDS = re.compile(r"[^\W\d_]+").findall
 
 
+def pieces(words: list[str]) -> list[str]:
+    """The words, with each of over LONGEST letters as consecutive pieces.
+
+    A piece begins with `<` if it begins its word and with `=` if not, and ends with `>` if it
+    ends it. Adjoining pieces share two letters, so each n-gram of the word is in one of them,
+    and the last is long enough for all endings.
+    """
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    out: list[str] = []
+    for word in words:
+        if len(word) <= LONGEST:
+            out.append(word)
+        else:
+            data = f"<{word}>"
+            starts = range(0, len(data) - 4, LONGEST)
+            out += [("=" if i else "") + data[i : None if i == starts[-1] else i + LONGEST + 2] for i in starts]
+    return out
+
+
+def letters_of(piece: str) -> int:
+    """Letters of a word or piece, those shared with the piece before it left out."""
+    if piece[0] not in "<=":
+        return len(piece)
+    return len(piece) - (1 if piece[0] == "<" else 3) - (piece[-1] == ">")
+
+
 def features(word: str) -> list[int]:
-    """Buckets of a word's affixes, n-grams and lexicon entry."""
-    crc, data = zlib.crc32, f"<{word[:40]}>"
+    """Buckets of a word's affixes, n-grams and lexicon entry; a piece has those affixes that its word has there."""
+    crc, data = zlib.crc32, word.removeprefix("=") if word[0] in "<=" else f"<{word}>"
     n = len(data)
-    names = [f"p{data[:k]}" for k in range(2, min(n, 5) + 1)] + [f"s{data[-k:]}" for k in range(2, min(n, 5) + 1)]
+    names = [f"p{data[:k]}" for k in range(2, min(n, 5) + 1)] if data[0] == "<" else []
+    names += [f"s{data[-k:]}" for k in range(2, min(n, 5) + 1)] if data[-1] == ">" else []
     names += [f"g{data[i:i + 3]}" for i in range(n - 2)] + [f"c{x}" for x in set(word) if x > "\x7f"]
     names.append(f"w{word}")
     return [crc(x.encode("utf-8", "replace")) % BUCKETS for x in names]
@@ -161,13 +192,13 @@ def sample(docs: DataFrame, most: int = MOST_DOCUMENTS) -> list[tuple[str, list[
         for batch in batches:
             keys, langs, parts = [], [], []
             for key, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = WORDS((text or "").lower())
+                words = pieces(WORDS((text or "").lower()))
                 n = min(WINDOWS, -(-len(words) // WINDOW_WORDS))
                 for i in range(n):
                     start = i * max(len(words) - WINDOW_WORDS, 0) // max(n - 1, 1)
                     keys.append(key)
                     langs.append(lang)
-                    parts.append(" ".join(w[:40] for w in words[start : start + WINDOW_WORDS]))
+                    parts.append(" ".join(words[start : start + WINDOW_WORDS]))
             yield pa.RecordBatch.from_pydict(
                 {"key": pa.array(keys, pa.int64()), "lang": pa.array(langs, pa.string()), "words": pa.array(parts, pa.string())}
             )
@@ -202,14 +233,14 @@ def label_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score, n_words, n_switches: one row for each row of docs, without a shuffle.
 
     lang_pred is the language with the largest share of the letters (the first by name of equal
-    ones), score that share, n_switches how often the likeliest language changes between adjoining
-    words. A text that is null or has no letter, or any text if nothing was learned, is `und` with
+    ones), score that share, n_words its runs of letters, n_switches how often the likeliest language changes
+    between adjoining words or pieces of them. A text that is null or has no letter, or any text if nothing was learned, is `und` with
     score 0. Whole texts of any length are labelled; repeated rows stay.
     """
     model = docs.sparkSession.sparkContext.broadcast(model)
     held: list[_Scores] = []
 
-    def block(texts: list[list[str]], out: list) -> None:
+    def block(texts: list[list[str]], runs: list[int], out: list) -> None:
         own = model.value
         if not held:
             held.append(_Scores(own))
@@ -222,7 +253,7 @@ def label_documents(docs: DataFrame, model: Model | None) -> DataFrame:
         emit = held[0].table[np.concatenate(rows)].astype(np.float64)
         post = np.empty_like(emit)
         post[index] = chain(np.maximum(emit[index], 1e-30), counts, own.move)
-        letters = np.fromiter((len(w) for i in order for w in texts[i]), np.float64, lengths.sum())
+        letters = np.fromiter((letters_of(w) for i in order for w in texts[i]), np.float64, lengths.sum())
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         share = np.add.reduceat(post * letters[:, None], starts, axis=0) / np.add.reduceat(letters, starts)[:, None]
         best = post.argmax(1)
@@ -231,21 +262,24 @@ def label_documents(docs: DataFrame, model: Model | None) -> DataFrame:
         change = np.add.reduceat(change, starts)
         for i, s, n in zip(order, share, change):
             j = int(s.argmax())
-            out[i] = (own.languages[j], min(1.0, float(s[j])), len(texts[i]), int(n))
+            out[i] = (own.languages[j], min(1.0, float(s[j])), runs[i], int(n))
 
     def run(batches):
         for batch in batches:
             out = [("und", 0.0, 0, 0)] * batch.num_rows
             if model.value is not None:
                 texts: list[list[str]] = []
+                runs: list[int] = []
                 first = held_words = 0
                 for i, text in enumerate(batch.column(1).to_pylist()):
-                    texts.append(WORDS((text or "").lower()))
+                    words = WORDS((text or "").lower())
+                    runs.append(len(words))
+                    texts.append(pieces(words))
                     held_words += len(texts[-1])
                     if held_words >= BLOCK_WORDS or i == batch.num_rows - 1:
                         part = out[first : i + 1]
-                        block(texts, part)
-                        out[first : i + 1], first, texts, held_words = part, i + 1, [], 0
+                        block(texts, runs, part)
+                        out[first : i + 1], first, texts, runs, held_words = part, i + 1, [], [], 0
             lang, score, words, switches = zip(*out) if out else ((), (), (), ())
             yield pa.RecordBatch.from_pydict(
                 {

@@ -257,6 +257,26 @@ def test_language(spark, odd, none):
     assert language.label_documents(mixed, model).first().n_switches >= 1
 
 
+def test_long_runs_are_seen_whole(spark):
+    """Runs of letters that differ only after the 40th: whose n-grams and endings are seen, and every letter counts once."""
+    g = random.Random(5)
+    word = lambda letters, n: "".join(g.choice(letters) for _ in range(n))
+    for n in (1, 39, 40, 41, 79, 80, 81, 500):
+        run = word("abc", n)
+        parts = language.pieces([run])
+        assert sum(map(language.letters_of, parts)) == n
+        data = f"<{run}>"
+        names = [f"g{data[i : i + 3]}" for i in range(n)] + [f"s{data[-k:]}" for k in range(2, min(n + 2, 5) + 1)]
+        found = collections.Counter(x for w in parts for x in language.features(w))
+        assert not collections.Counter(zlib.crc32(x.encode()) % language.BUCKETS for x in names) - found
+    rows = [(i, word("mno", 40) + word("abcd" if i % 2 else "vwxy", 200), "one" if i % 2 else "two") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(language.sample(docs))
+    unseen = spark.createDataFrame([(i, word("mno", 40) + word("abcd" if i % 2 else "vwxy", 200)) for i in range(40)], "doc_id long, text string")
+    got = language.label_documents(unseen, model).collect()
+    assert all(r.lang_pred == ("one" if r.doc_id % 2 else "two") and r.n_words == 1 for r in got)
+
+
 # SimHash.
 
 
