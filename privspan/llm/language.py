@@ -15,20 +15,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import held_out
 
-#: Documents of the training sample, chosen by a hash of their ids, and windows taken from each.
-MOST_DOCUMENTS = 1500
+#: Documents of the training sample, shared evenly among the languages and chosen by a hash of their
+#: ids, those that each language has at least (all, if it has fewer), and windows taken from each.
+MOST_DOCUMENTS, LEAST_DOCUMENTS = 1500, 15
 WINDOWS, WINDOW_WORDS = 8, 40
 BUCKETS = 1 << 17
 EPOCHS, BATCH, RATE, DECAY = 3, 128, 0.3, 1e-6
-#: Languages learned at most, the most frequent ones of the sample.
-MOST_LANGUAGES = 64
-#: Words of one block of sequences, and words whose scores a worker remembers.
-BLOCK_WORDS, REMEMBERED = 200_000, 400_000
+#: Words of one block of sequences, and words whose scores a worker remembers; with more than
+#: FEW_LANGUAGES, fewer in proportion, so that the memory stays.
+BLOCK_WORDS, REMEMBERED, FEW_LANGUAGES = 200_000, 400_000, 16
 
 #: Letters of a run that enter the chain as one word; longer runs are cut into pieces.
 LONGEST = 40
@@ -125,12 +125,9 @@ def train(windows: list[tuple[str, list[str]]]) -> Model | None:
     windows = [w for w in windows if w[1]]
     if not windows:
         return None
-    seen: dict[str, int] = {}
-    for lang, _ in windows:
-        seen[lang] = seen.get(lang, 0) + 1
-    languages = sorted(sorted(seen, key=lambda x: (-seen[x], x))[:MOST_LANGUAGES])
+    languages = sorted({lang for lang, _ in windows})
     number = {x: i for i, x in enumerate(languages)}
-    windows = [(number[x], words) for x, words in windows if x in number]
+    windows = [(number[x], words) for x, words in windows]
     rng, k = np.random.default_rng(7), len(languages)
     feats = {w: features(w) for _, words in windows for w in words}
     weights, squares = np.zeros((BUCKETS, k)), np.full((BUCKETS, k), 1e-2)
@@ -160,33 +157,44 @@ def train(windows: list[tuple[str, list[str]]]) -> Model | None:
             post[index] = chain(emit[index], counts, np.exp(tran))
             slope = post.copy()
             slope[np.arange(len(labels)), labels] -= 1
-            step = np.zeros_like(weights)
-            spread = np.repeat(slope, sizes, axis=0)
+            touched, place = np.unique(flat, return_inverse=True)
+            g = DECAY * weights[touched]
             for c in range(k):
-                step[:, c] = np.bincount(flat, spread[:, c], BUCKETS)
-            touched = np.unique(flat)
-            g = step[touched] + DECAY * weights[touched]
+                g[:, c] += np.bincount(place, np.repeat(slope[:, c], sizes), len(touched))
             squares[touched] += g * g
             weights[touched] -= RATE * g / np.sqrt(squares[touched])
             # Expected and seen moves from one word to the next; the ends of sequences are no moves.
             here = np.ones(len(labels), bool)
             here[np.cumsum(lengths) - 1] = False
             i = np.where(here)[0]
-            pair = post[i][:, :, None] * np.exp(tran)[None] * (emit[i + 1] * post[i + 1])[:, None, :]
-            pair /= pair.sum((1, 2), keepdims=True)
-            move = pair.sum(0) - np.bincount(labels[i] * k + labels[i + 1], minlength=k * k).reshape(k, k)
+            a, b = post[i], emit[i + 1] * post[i + 1]
+            a /= ((a @ np.exp(tran)) * b).sum(1, keepdims=True)
+            move = (a.T @ b) * np.exp(tran) - np.bincount(labels[i] * k + labels[i + 1], minlength=k * k).reshape(k, k)
             tran_sq += move * move
             tran -= RATE * move / np.sqrt(tran_sq)
     return Model(languages, weights.astype(np.float32), np.exp(tran))
 
 
 def sample(docs: DataFrame, most: int = MOST_DOCUMENTS) -> list[tuple[str, list[str]]]:
-    """Windows of words from at most `most` documents with a language that aren't held out.
+    """Windows of words from about `most` documents with a language that aren't held out.
 
-    The driver gets at most `most` x WINDOWS x WINDOW_WORDS words, evenly spread over each text.
+    Every language with such a document is in it: they share `most` evenly, those with few
+    documents leave theirs to the others, and LEAST_DOCUMENTS of each are taken in any case. The driver gets a row
+    of each language and WINDOWS x WINDOW_WORDS words of each document, evenly spread over its text.
     """
     known = docs.where("lang is not null and doc_id is not null").where(~held_out())
-    chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    hashed = F.xxhash64("doc_id")
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    left, quota = most, {}
+    for at, lang in enumerate(sorted(sizes, key=lambda x: (sizes[x], x))):
+        quota[lang] = min(sizes[lang], max(left // (len(sizes) - at), LEAST_DOCUMENTS))
+        left = max(left - quota[lang], 0)
+    # Hashes up to a bound hold about twice the share; of these few, the smallest are taken.
+    bounds = [(x, n, min((1 << 63) - 1, int((2 * n + 50) / sizes[x] * (1 << 64)) - (1 << 63))) for x, n in quota.items()]
+    bounds = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, quota long, bound long"))
+    few = known.select("doc_id", "lang").join(bounds, "lang").where(hashed <= F.col("bound")).distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(hashed, "doc_id"))
+    chosen = few.withColumn("place", place).where("place <= quota").select("doc_id", "lang")
 
     def cut(batches):
         for batch in batches:
@@ -203,10 +211,9 @@ def sample(docs: DataFrame, most: int = MOST_DOCUMENTS) -> list[tuple[str, list[
                 {"key": pa.array(keys, pa.int64()), "lang": pa.array(langs, pa.string()), "words": pa.array(parts, pa.string())}
             )
 
-    found = known.join(F.broadcast(chosen), "doc_id").groupBy(F.xxhash64("doc_id").alias("key"))
-    found = found.agg(F.min(F.struct("lang", "text")).alias("row")).select("key", "row.lang", "row.text")
+    found = known.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy(hashed.alias("key"), "lang").agg(F.min("text").alias("text"))
     rows = found.mapInArrow(cut, "key long, lang string, words string").toArrow().to_pylist()
-    return [(r["lang"], r["words"].split(" ")) for r in sorted(rows, key=lambda r: (r["key"], r["words"]))]
+    return [(r["lang"], r["words"].split(" ")) for r in sorted(rows, key=lambda r: (r["key"], r["lang"], r["words"]))]
 
 
 class _Scores:
@@ -217,7 +224,7 @@ class _Scores:
         self.table = np.zeros((1024, len(model.languages)), np.float32)
 
     def rows(self, texts: list[list[str]]) -> list[np.ndarray]:
-        if len(self.at) > REMEMBERED:
+        if len(self.at) > REMEMBERED * FEW_LANGUAGES // max(FEW_LANGUAGES, self.table.shape[1]):
             self.at.clear()
         new = list({w for words in texts for w in words if w not in self.at})
         n = len(self.at)
@@ -276,7 +283,7 @@ def label_documents(docs: DataFrame, model: Model | None) -> DataFrame:
                     runs.append(len(words))
                     texts.append(pieces(words))
                     held_words += len(texts[-1])
-                    if held_words >= BLOCK_WORDS or i == batch.num_rows - 1:
+                    if held_words * max(FEW_LANGUAGES, len(model.value.languages)) >= BLOCK_WORDS * FEW_LANGUAGES or i == batch.num_rows - 1:
                         part = out[first : i + 1]
                         block(texts, runs, part)
                         out[first : i + 1], first, texts, runs, held_words = part, i + 1, [], [], 0

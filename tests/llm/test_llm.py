@@ -277,6 +277,25 @@ def test_long_runs_are_seen_whole(spark):
     assert all(r.lang_pred == ("one" if r.doc_id % 2 else "two") and r.n_words == 1 for r in got)
 
 
+def test_all_languages_are_learned(spark):
+    """70 languages, and one with three documents among 3,000 of another."""
+    g = random.Random(6)
+    rows = []
+    for k in range(70):
+        own = ["".join(g.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(20)]
+        for _ in range(3000 if k == 0 else 3 if k == 1 else 8):
+            rows.append((len(rows) if k != 1 else (3, 6, 9)[len([r for r in rows if r[2] == "l1"])] + 10_000, " ".join(g.choices(own, k=30)), f"l{k}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = {r.lang for r in docs.where(~language.held_out()).select("lang").distinct().collect()}
+    assert len(known) == 70
+    windows = language.sample(docs, 300)
+    assert {x for x, _ in windows} == known and len(windows) <= 70 * language.LEAST_DOCUMENTS
+    model = language.train(windows)
+    assert set(model.languages) == known
+    got = language.label_documents(docs.where("lang <> 'l0'"), model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert np.mean([r.lang_pred == r.lang for r in got]) > 0.98
+
+
 # SimHash.
 
 
