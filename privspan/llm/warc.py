@@ -146,4 +146,4 @@ def read_records(files: DataFrame) -> DataFrame:
 
 def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return derivatives(responses_of_pages(pages), "page_id").drop("record", "source_headers")
+    return derivatives(responses_of_pages(pages), "page_id")

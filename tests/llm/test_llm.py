@@ -535,6 +535,14 @@ def test_derivatives(spark, small):
     assert {(r.record_id, bytes(r.block)) for r in back} == {(r.record_id, r.record.partition(b"\r\n\r\n")[2][:-4]) for r in rows}
 
 
+def test_query_returns_the_records(spark, small):
+    rows = warc.op2_warc_derivatives(spark, small)
+    assert rows.columns == ["page_id", *(n for n, _ in warc.COLUMNS)]
+    assert rows.where("record is null or source_headers is null").count() == 0 and rows.count() == 2 * spark.read.parquet(f"{small}/pages.parquet").count()
+    first = rows.where("warc_type = 'conversion'").first()
+    assert warc.digest(bytes(first.record).partition(b"\r\n\r\n")[2][:-4]) == first.block_digest
+
+
 def test_plain_text():
     page = "<html><head><title>A &amp; B</title><style>p{}</style><script>var t='</p>';</script></head><body><!-- x --><p>One<br>two <b>three</b></p>\n<div>4 &lt; 5&nbsp;&copy;</div></body></html>"
     assert warc.plain_text(page) == "A & B\nOne\ntwo three\n4 < 5 ©"
