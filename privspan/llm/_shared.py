@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one is set only where none is (tests)."""
+    """The folder named in spark.checkpoint.dir; a temporary one only where none is named and Spark is local (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         folder = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -36,6 +40,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return SharedTable(df, name).df
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """materialize() for tables that nothing reads after the block: its end deletes them."""
+    held: list[SharedTable] = []
+
+    def table(df: DataFrame, name: str) -> DataFrame:
+        held.append(SharedTable(df, name))
+        return held[-1].df
+
+    try:
+        yield table
+    finally:
+        for x in held:
+            x.drop()
+
+
 def with_text_key(docs: DataFrame) -> DataFrame:
     """Adds _text, the whole text with null as empty."""
     return docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
@@ -46,14 +66,14 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def connected_components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node of edges(a, b): root is the smallest node reachable.
 
-    Alternates large and small stars. Each star is one partial aggregate per node and one join
-    that AQE may split, so a node with very many links needs no task of its own; every round
-    is written to the shared folder. Loops and repeated edges are allowed; no edges give no rows.
+    Alternates large and small stars until nothing changes. Each star is one partial aggregate
+    per node, written to the shared folder, and one join with it, which AQE broadcasts or splits:
+    a node with very many links needs no task of its own. Loops and repeated edges are allowed;
+    no edges give no rows.
     """
-    spark = edges.sparkSession
     now = SharedTable(
         edges.where("a <> b and a is not null and b is not null")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -61,22 +81,20 @@ def connected_components(edges: DataFrame, name: str = "components", most_rounds
         name,
     )
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = now.df.unionByName(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
-        floor = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(floor, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        step = small.unionByName(floor.select("u", F.col("m").alias("v"))).distinct()
-        after = SharedTable(step, name)
-        now.drop()
+        least = SharedTable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
+        large = both.join(least.df, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = SharedTable(large.unionByName(least.df.where("m < u").select("u", F.col("m").alias("v"))).distinct(), name)
+        floor = SharedTable(large.df.groupBy("u").agg(F.min("v").alias("m")), name)
+        small = large.df.join(floor.df, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = SharedTable(small.unionByName(floor.df.select("u", F.col("m").alias("v"))).distinct(), name)
+        for old in (now, least, large, floor):
+            old.drop()
         now = after
         seen = now.df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if before == (seen.n, seen.h):
             break
         before = (seen.n, seen.h)
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = now.df.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return now.df.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

@@ -12,6 +12,8 @@ fingerprint of many segments, and keys of one codeword each with a few bits more
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import connected_components, materialize
+from ._shared import connected_components, materialize, scratch
 
 SEED = 42
 #: Buckets up to this size compare all pairs; in larger ones, fingerprints meet at the words between them.
@@ -28,16 +30,33 @@ SMALL_BUCKET = 32
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, the generator of the [23, 12] Golay code.
 GENERATOR = 0b101011100011
 
-#: Settings of similar_documents(): width of a sketch, its transforms (and so the bits of the long
-#: fingerprint, all of which go into keys), keys a document, and bits that a key has besides its
-#: codeword. A pair at a similarity of 0.8 shares a given key with a probability of about 0.027, and
-#: 0.68 of that if one set contains the other, as its octave differs in the other keys.
-#: EXTRA_BITS and KEYS are to grow with the corpus: each bit more halves the chance meetings, and
-#: needs a fifth more keys.
-SKETCH, TRANSFORMS, KEYS, EXTRA_BITS = 2048, 3, 192, 9
+#: Settings of similar_documents(): width of a sketch, and for up to CORPUS documents the keys of each
+#: and the bits that a key has besides its codeword. A pair at a similarity of 0.8 shares a given key
+#: with a probability of about 0.027, and 0.68 of that if one set contains the other, as its octave
+#: differs in the other keys.
+SKETCH, CORPUS, KEYS, EXTRA_BITS = 2048, 1 << 20, 192, 9
 #: Longs of the fingerprint that bucket-mates compare, and the share of their bits that may differ
 #: before shingles are compared; at a similarity of 0.8 it is 0.15.
 SIGNATURE, LOOSE = 16, 0.2
+#: Most rows of one side of a block of comparisons, and most bytes of its shingles (but for one text's).
+BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20
+
+
+@dataclass(frozen=True)
+class Keying:
+    """Keys a document, bits of a key besides its codeword, and transforms whose bits they use up."""
+
+    keys: int
+    extra: int
+    transforms: int
+
+    @staticmethod
+    def of(documents: int) -> Keying:
+        """Each doubling of the corpus halves the chance meetings of a key by one bit more, and needs a
+        share of 1 / 0.85 more keys for the same links: that bit is equal with a probability of 0.85."""
+        more = max(0, math.ceil(math.log2(max(documents, 1) / CORPUS)))
+        keys, extra = math.ceil(KEYS * (1 / 0.85) ** more), EXTRA_BITS + more
+        return Keying(keys, extra, math.ceil(keys * (23 + extra) / SKETCH))
 
 
 @lru_cache(maxsize=1)
@@ -131,7 +150,7 @@ def _keys(fps: DataFrame) -> DataFrame:
     return fps.select("fp").mapInArrow(run, "key long, fp long")
 
 
-def linked_fingerprints(fps: DataFrame) -> DataFrame:
+def linked_fingerprints(fps: DataFrame, table=materialize) -> DataFrame:
     """(a, b): links among distinct fingerprints `fp` that differ in at most two bits, enough to reach all.
 
     Buckets of up to SMALL_BUCKET fingerprints compare their pairs. In a larger one each
@@ -139,17 +158,17 @@ def linked_fingerprints(fps: DataFrame) -> DataFrame:
     if they meet there, and those that meet are linked with the smallest. So a large group gives
     links in proportion to its size, and none is lost from what can be reached.
     """
-    keys = materialize(_keys(fps), "golay-keys")
+    keys = table(_keys(fps), "golay-keys")
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialize(keys.join(sizes, "key"), "golay-met")
+    met = table(keys.join(sizes, "key"), "golay-met")
     few = met.where(F.col("n") <= SMALL_BUCKET)
     differ = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     pairs = few.select("key", F.col("fp").alias("a")).join(few.select(F.col("key").alias("k"), F.col("fp").alias("b")), (F.col("key") == F.col("k")) & (F.col("a") < F.col("b")) & (differ <= 2))
     many = met.where(F.col("n") > SMALL_BUCKET).select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.lit(x - (1 << 64) if x >= 1 << 63 else x) for x in (1 << i for i in range(64))])
-    between = materialize(many.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid")), "between")
+    between = table(many.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid")), "between")
     least = between.groupBy("mid").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("mid", "a")
-    stars = between.join(materialize(least, "least"), "mid").where("a <> fp").select("a", F.col("fp").alias("b"))
+    stars = between.join(table(least, "least"), "mid").where("a <> fp").select("a", F.col("fp").alias("b"))
     return pairs.select("a", "b").unionByName(stars).distinct()
 
 
@@ -160,14 +179,15 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
     component_id is the smallest doc_id reachable, itself included (null only if all are null).
     Empty texts have fingerprint zero and are linked like any other; an empty table gives no rows.
     """
-    prints = materialize(fingerprints(docs, shingle), "fingerprints")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = materialize(connected_components(linked_fingerprints(classes)), "fp-roots")
-    named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = materialize(named, "named")
-    parts = materialize(named.groupBy("root").agg(F.min("least").alias("component_id")), "parts")
-    of_fp = materialize(named.join(parts, "root").select("fp", "component_id"), "fp-components")
-    return prints.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    with scratch() as table:
+        prints = table(fingerprints(docs, shingle), "fingerprints")
+        classes = table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+        roots = table(connected_components(linked_fingerprints(classes, table)), "fp-roots")
+        named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        named = table(named, "named")
+        parts = table(named.groupBy("root").agg(F.min("least").alias("component_id")), "parts")
+        of_fp = table(named.join(parts, "root").select("fp", "component_id"), "fp-components")
+        return materialize(prints.join(of_fp, "fp").select("doc_id", "fp", "component_id"), "fp-groups")
 
 
 # Groups by similarity.
@@ -182,7 +202,7 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _long_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+def _long_fingerprints(sets: list[np.ndarray], transforms: int) -> np.ndarray:
     """Packed signs of random projections of the sketched shingle sets."""
     sketch = np.zeros((len(sets), SKETCH), np.float32)
     for k, s in enumerate(sets):
@@ -191,141 +211,266 @@ def _long_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
             sketch[k] = np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), sign, SKETCH)
     rng = np.random.default_rng(SEED)
     bits = []
-    for _ in range(TRANSFORMS):
+    for _ in range(transforms):
         flip, mix = (rng.choice([-1.0, 1.0], SKETCH).astype(np.float32) for _ in range(2))
         bits.append(_hadamard(_hadamard(sketch * flip) * mix) > 0)
     return np.packbits(np.concatenate(bits, axis=1), axis=1)
 
 
-def _similarity_keys(packed: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """KEYS keys of each long fingerprint.
+def _similarity_keys(packed: np.ndarray, sizes: np.ndarray, by: Keying) -> np.ndarray:
+    """The keys of each long fingerprint.
 
     A key is a codeword, some bits as they are, and the octave of the set's size, whose bounds
     differ from key to key.
     """
     bits = np.unpackbits(packed, axis=1)
-    width = 23 + EXTRA_BITS
-    words = bits[:, : KEYS * width].reshape(len(bits), KEYS, width).astype(np.int64)
+    width = 23 + by.extra
+    words = bits[:, : by.keys * width].reshape(len(bits), by.keys, width).astype(np.int64)
     index = golay_index(words[:, :, :23] @ (1 << np.arange(23)))
-    extra = words[:, :, 23:] @ (1 << np.arange(EXTRA_BITS))
-    octave = np.floor(np.log2(np.maximum(sizes, 1))[:, None] + np.arange(KEYS) / KEYS).astype(np.int64)
-    return ((np.arange(KEYS) << 6 | octave) << 12 | index) << EXTRA_BITS | extra
+    extra = words[:, :, 23:] @ (1 << np.arange(by.extra))
+    octave = np.floor(np.log2(np.maximum(sizes, 1))[:, None] + np.arange(by.keys) / by.keys).astype(np.int64)
+    return ((np.arange(by.keys) << 6 | octave) << 12 | index) << by.extra | extra
 
 
 def _shingle_set(data: bytes, n: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(data, n), np.uint64))
 
 
-def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, same (a hash of the shingle set), n (its size), bits and their first longs for each row."""
+def _text_hash() -> F.Column:
+    """With doc_id it names a row's text, also where an id repeats with another text."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _sketches(docs: DataFrame, shingle: int, by: Keying) -> DataFrame:
+    """id, text_hash, same (a hash of the shingle set), n (its size), bits and their first longs for each row."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                sets = [_shingle_set(t or b"", shingle) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                sets = [_shingle_set(t or b"", shingle) for t in part.column(2).cast(pa.binary()).to_pylist()]
                 same = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-                packed = _long_fingerprints(sets)
+                packed = _long_fingerprints(sets, by.transforms)
                 sig = np.ascontiguousarray(packed[:, : 8 * SIGNATURE]).view(np.int64)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "doc_id": part.column(0), "same": pa.array(same), "n": pa.array(list(map(len, sets)), pa.int64()),
+                        "id": part.column(0), "text_hash": part.column(1), "same": pa.array(same), "n": pa.array(list(map(len, sets)), pa.int64()),
                         "bits": pa.array([b.tobytes() for b in packed], pa.binary()), "sig": pa.array(list(sig), pa.list_(pa.int64())),
                     }
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, same long, n long, bits binary, sig array<long>")
+    columns = docs.select(F.col("doc_id").cast("long").alias("id"), _text_hash().alias("text_hash"), "text")
+    return columns.mapInArrow(run, "id long, text_hash long, same long, n long, bits binary, sig array<long>")
 
 
-def _keyed(classes: DataFrame) -> DataFrame:
-    """key, same: KEYS rows for each class."""
+def _keyed(classes: DataFrame, by: Keying) -> DataFrame:
+    """key, same: by.keys rows for each class."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 packed = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                keys = _similarity_keys(packed, part.column(1).to_numpy(zero_copy_only=False))
+                keys = _similarity_keys(packed, part.column(1).to_numpy(zero_copy_only=False), by)
                 same = part.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys.ravel()), "same": pa.array(np.repeat(same, KEYS))})
+                yield pa.RecordBatch.from_pydict({"key": pa.array(keys.ravel()), "same": pa.array(np.repeat(same, by.keys))})
 
     return classes.select("same", "n", "bits").mapInArrow(run, "key long, same long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of pairs (a, b) whose shingle sets have the Jaccard similarity. texts: same, text."""
-    pairs = materialize(pairs, "near-pairs")
-    needed = materialize(pairs.select(F.col("a").alias("same")).unionByName(pairs.select(F.col("b").alias("same"))).distinct(), "needed")
+def _shingles(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """same, shingles (packed): the sets of the classes in wanted (same, id, text_hash)."""
 
     def cut(batches):
         for batch in batches:
-            # A repeated doc_id can bring another text: its set is not the one asked for.
             sets = [_shingle_set(t or b"", shingle).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            found = np.array([xxhash.xxh64_intdigest(s, SEED) for s in sets], np.uint64).view(np.int64)
-            out = pa.RecordBatch.from_pydict({"same": batch.column(0), "shingles": pa.array(sets, pa.binary())})
-            yield out.filter(pa.array(found == batch.column(0).to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_pydict({"same": batch.column(0), "shingles": pa.array(sets, pa.binary())})
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), _text_hash().alias("text_hash"), "text")
+    found = texts.join(wanted.select("same", "id", "text_hash"), ["id", "text_hash"]).select("same", "text")
+    return found.mapInArrow(cut, "same long, shingles binary").dropDuplicates(["same"])
+
 
-    sets = materialize(texts.join(needed, "same").select("same", "text").mapInArrow(cut, "same long, shingles binary").dropDuplicates(["same"]), "shingles")
-    a, b = (sets.select(F.col("same").alias(x), F.col("shingles").alias(f"_{x}")) for x in "ab")
+def _blocks(members: DataFrame, bytes_of: str, table, sets: DataFrame | None = None) -> DataFrame:
+    """members (grp, same, main, ...) as rows of blocks (grp, i, j, own, ...), in which all pairs of a
+    group can be compared but those within its main part. sets adds the shingles of each.
 
-    def close(batches):
+    A group's main and other members are each dealt out by hash to as many slots as their rows and
+    bytes need; a block is two slots, or one with itself. Groups of up to BLOCK_ROWS others take
+    rows in proportion to their size, however large their main part is.
+    """
+    slots = lambda on: F.greatest(F.ceil(F.count_if(on) / BLOCK_ROWS), F.ceil(F.sum(F.when(on, F.col(bytes_of)).otherwise(0)) / BLOCK_BYTES)).cast("int")
+    sizes = table(members.groupBy("grp").agg(slots(F.col("main")).alias("mains"), slots(~F.col("main")).alias("others")), "block-sizes")
+    rows = members.join(sizes, "grp")
+    dealt = lambda n: F.pmod(F.xxhash64("same", "grp"), F.greatest(n, F.lit(1))).cast("int")
+    rows = rows.withColumn("own", F.when(F.col("main"), F.col("others") + dealt(F.col("mains"))).otherwise(dealt(F.col("others"))))
+    if sets is not None:
+        rows = rows.join(sets, "same")
+    with_all = F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1)
+    with_others = F.sequence(F.lit(0), F.col("others") - 1)
+    rows = rows.withColumn("other", F.explode(F.when(F.col("main"), with_others).otherwise(with_all)))
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return rows.repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+
+
+def _linked(blocks: DataFrame, similarity: float | None) -> DataFrame:
+    """(a, b): links among the members of each block, less than it has rows, so no pair ever is a row.
+
+    Pairs of different roots are sifted by their signatures. With a similarity, shingle sets decide
+    them, and pairs whose roots links have joined are left out. Without one, members are
+    linked so that all those with a near one of another root can be reached from it.
+    """
+
+    def compare(rows: list[tuple]) -> tuple[list[int], list[int]]:
+        i, j = rows[0][1:3]
+        own, same, root = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
+        signs = np.unpackbits(np.array([r[6] for r in rows], np.int64).view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+        left, right = np.nonzero(own == i)[0], np.nonzero(own == j)[0]
+        # The product of two signatures is their bits less twice those that differ.
+        near = signs[left] @ signs[right].T >= 64 * SIGNATURE - 2 * int(LOOSE * 64 * SIGNATURE)
+        near &= root[left][:, None] != root[right][None]
+        if i == j:
+            near = np.triu(near)
+        if similarity is None:
+            root = np.arange(len(rows))
+        sets = [np.frombuffer(r[7], np.uint64) for r in rows] if similarity is not None else []
+        a, b = [], []
+        for x, row in zip(left.tolist(), near):
+            ys = right[row]
+            ys = ys[root[ys] != root[x]]
+            if not len(ys):
+                continue
+            if sets:
+                sizes = np.array([len(sets[y]) for y in ys.tolist()])
+                every = np.concatenate([sets[y] for y in ys.tolist()])
+                at = np.minimum(np.searchsorted(sets[x], every), len(sets[x]) - 1)
+                both = np.add.reduceat(sets[x][at] == every, np.concatenate([[0], np.cumsum(sizes)[:-1]]), dtype=np.int64)
+                ys = ys[both >= similarity * (len(sets[x]) + sizes - both)]
+            for y in ys.tolist():
+                if root[y] != root[x]:
+                    root[root == root[y]] = root[x]
+                    a.append(int(same[x]))
+                    b.append(int(same[y]))
+        return a, b
+
+    def run(batches):
+        held: list[tuple] = []
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+            a, b = [], []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][:3] != row[:3]:
+                    for out, found in zip((a, b), compare(held)):
+                        out += found
+                    held = []
+                held.append(row)
+            yield _pairs(a, b)
+        if held:
+            yield _pairs(*compare(held))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "_a", "_b").mapInArrow(close, "a long, b long")
+    def _pairs(a, b):
+        return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
+    columns = ["grp", "i", "j", "own", "same", "root", "sig", *(["shingles"] if similarity is not None else [])]
+    return blocks.select(columns).mapInArrow(run, "a long, b long")
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, component_id: groups of documents whose shingle sets have at least the Jaccard similarity.
 
-    Equal sets are one class from the start. Each bucket first compares its members with one of
-    them; after that, only members of different groups are compared in pairs. Signatures
-    sift the pairs, shingle sets decide them. Links at the threshold are found with a probability
-    of about 0.98 if one set contains the other and 0.99 at equal sizes, closer ones with more; none below it is made. Texts without words form one group; rows with a null doc_id are not grouped.
+def _rooted(df: DataFrame, roots: DataFrame) -> DataFrame:
+    """df with root, its class itself where no link was found."""
+    found = df.drop("root").join(roots.withColumnRenamed("node", "same"), "same", "left")
+    return found.withColumn("root", F.coalesce("root", "same"))
+
+
+def _open_members(met: DataFrame, table) -> DataFrame:
+    """Rows of met (grp, same, root, ...) in groups of several roots; main marks a group's most frequent root."""
+    roots = met.groupBy("grp", "root").agg(F.count("*").alias("n"))
+    most = roots.groupBy("grp").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("several")).where("several > 1")
+    return met.join(table(most.select("grp", "most"), "most"), "grp").withColumn("main", F.col("root") == F.col("most")).drop("most")
+
+
+def _class_links(docs: DataFrame, classes: DataFrame, by: Keying, shingle: int, similarity: float, table) -> DataFrame:
+    """(a, b): links among classes of equal shingle sets, enough to reach all that are found.
+
+    First each bucket compares its members with one of them, so that the copies of a large group
+    become one root. Then the others of buckets that hold several roots name those whose
+    signatures are near, and these, gathered over all buckets, are compared by their sets, in blocks.
     """
-    docs = docs.where("doc_id is not null")
-    rows = materialize(_sketches(docs, shingle), "sketches")
-    classes = rows.groupBy("same").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("n", "bits", "sig"), "doc_id").alias("x"))
-    classes = materialize(classes.select("same", "least", "x.n", "x.bits", "x.sig"), "set-classes")
-    texts = docs.select(F.col("doc_id").cast("long").alias("least"), "text").join(classes.select("same", "least"), "least").select("same", "text")
-    differ = sum((F.bit_count(F.element_at("sig", i).bitwiseXOR(F.element_at("sig_b", i))) for i in range(1, SIGNATURE + 1)), F.lit(0))
-    near = differ <= int(LOOSE * 64 * SIGNATURE)
-    keys = _keyed(classes)
+    keys = _keyed(classes.where("n > 0"), by)
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    met = materialize(keys.join(shared, "key"), "met").join(classes.select("same", "sig"), "same").select("key", "same", "sig")
-    met = materialize(met, "met-signed")
+    met = table(keys.join(shared, "key"), "met")
+    met = table(met.join(classes.select("same", "sig"), "same").select(F.col("key").alias("grp"), "same", "sig"), "met-signed")
+    signed = classes.select("same", "id", "text_hash", "sig", (F.col("n") * 8).alias("bytes"))
+
+    def decided(members: DataFrame, name: str) -> DataFrame:
+        """Links among members (grp, same, root, main) by their shingle sets."""
+        members = table(members.join(signed, "same"), f"{name}-members")
+        wanted = table(members.select("same", "id", "text_hash").distinct(), f"{name}-wanted")
+        sets = table(_shingles(docs, wanted, shingle), f"{name}-shingles")
+        return table(_linked(_blocks(members, "bytes", table, sets), similarity), f"{name}-links")
+
     # One hash for all buckets: those of a large group then mostly share their first member.
-    firsts = met.groupBy("key").agg(F.min_by(F.struct(F.col("same").alias("first"), F.col("sig").alias("sig_b")), F.xxhash64("same")).alias("x"))
-    stars = met.join(materialize(firsts.select("key", "x.*"), "firsts"), "key").where("same <> first").where(near)
-    stars = stars.select(F.least("same", "first").alias("a"), F.greatest("same", "first").alias("b")).distinct()
-    links = materialize(_verified(stars, texts, shingle, similarity), "links")
-    roots = materialize(connected_components(links), "first-roots").withColumnRenamed("node", "same")
-    met = materialize(met.join(roots, "same", "left").select("key", "same", "sig", F.coalesce("root", "same").alias("root")), "met-roots")
-    other = met.select(F.col("key").alias("_key"), F.col("same").alias("b"), F.col("sig").alias("sig_b"), F.col("root").alias("root_b"))
-    more = met.join(other, (F.col("key") == F.col("_key")) & (F.col("same") < F.col("b")) & (F.col("root") != F.col("root_b")) & near)
-    more = more.select(F.col("same").alias("a"), "b").distinct()
-    more = _verified(more, texts, shingle, similarity)
-    roots = materialize(connected_components(links.unionByName(more)), "set-roots").withColumnRenamed("node", "same")
-    named = materialize(classes.select("same", "least").join(roots, "same", "left").withColumn("root", F.coalesce("root", "same")), "named")
-    parts = materialize(named.groupBy("root").agg(F.min("least").alias("component_id")), "parts")
-    of_set = materialize(named.join(parts, "root").select("same", "component_id"), "set-components")
-    return rows.select("doc_id", "same").join(of_set, "same").select("doc_id", "component_id")
+    firsts = met.groupBy("grp").agg(F.min_by(F.struct(F.col("same").alias("first"), F.col("sig").alias("first_sig")), F.struct(F.xxhash64("same"), "same")).alias("x"))
+    met = table(met.join(table(firsts.select("grp", "x.*"), "firsts"), "grp").where("same <> first"), "met-others")
+    differ = sum((F.bit_count(F.element_at("sig", i).bitwiseXOR(F.element_at("first_sig", i))) for i in range(1, SIGNATURE + 1)), F.lit(0))
+    stars = met.where(differ <= int(LOOSE * 64 * SIGNATURE)).select(F.col("first").alias("grp"), "same").distinct()
+    stars = table(stars, "stars")
+    hubs = stars.select("grp").distinct().select("grp", F.col("grp").alias("same"), F.lit(False).alias("main"))
+    links = decided(hubs.unionByName(stars.withColumn("main", F.lit(True))).withColumn("root", F.col("same")), "star")
+
+    roots = table(connected_components(links), "star-roots")
+    met = table(_rooted(met.select("grp", "same", "sig"), roots), "met-roots")
+    members = table(_open_members(met, table).withColumn("bytes", F.lit(8 * SIGNATURE)), "open")
+    near = table(_linked(_blocks(members, "bytes", table), None), "near")
+    clusters = table(connected_components(near), "clusters").select(F.col("root").alias("grp"), F.col("node").alias("same"))
+    clusters = table(_rooted(clusters, roots), "cluster-roots")
+    return links.unionByName(decided(_open_members(clusters, table), "cluster"))
+
+
+def _grouped(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """id, text_hash, keep_id, keep_hash of each row of docs: the last two name the first row of its group."""
+    docs = docs.where("doc_id is not null")
+    by = Keying.of(docs.count())
+    with scratch() as table:
+        rows = table(_sketches(docs, shingle, by), "sketches")
+        own = F.struct("id", "text_hash")
+        classes = rows.groupBy("same").agg(F.min(own).alias("own"), F.min_by(F.struct("n", "bits", "sig"), own).alias("x"))
+        classes = table(classes.select("same", "own.*", "x.*"), "set-classes")
+        roots = table(connected_components(_class_links(docs, classes, by, shingle, similarity, table)), "set-roots")
+        named = table(_rooted(classes.select("same", "id", "text_hash"), roots), "named")
+        parts = table(named.groupBy("root").agg(F.min(own).alias("keep")).select("root", F.col("keep.id").alias("keep_id"), F.col("keep.text_hash").alias("keep_hash")), "parts")
+        of_set = table(named.join(parts, "root").select("same", "keep_id", "keep_hash"), "set-groups")
+        return materialize(rows.select("id", "text_hash", "same").join(of_set, "same").drop("same"), "groups")
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id: groups of documents whose shingle sets have at least the Jaccard similarity.
+
+    component_id is the group's smallest doc_id. Equal sets are one class from the start. Links at the
+    threshold are found with a probability of about 0.98 if one set contains the other and 0.99
+    at equal sizes, closer ones with more; none below it is made. Texts without words (null,
+    empty, blank) form one group; rows with a null doc_id are not grouped; rows that repeat come
+    as often; texts of any length are read whole; an empty table gives no rows.
+    """
+    return _grouped(docs, shingle, similarity).select(F.col("id").alias("doc_id"), F.col("keep_id").alias("component_id"))
 
 
 def first_of_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one document of each group, that with the smallest doc_id; null ids stay. Columns as they are."""
-    kept = similar_documents(docs, shingle, similarity).where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    """docs with one row of each group of similar_documents(); rows with a null doc_id stay. Columns as they are.
+
+    The row with the smallest doc_id stays. Where an id repeats with another text, each text goes
+    with its own group; where it repeats within the group, the text with the smaller hash stays,
+    and of rows with one id and text the first by all its columns.
+    """
+    groups = _grouped(docs, shingle, similarity)
+    kept = (F.col("id") == F.col("keep_id")) & (F.col("text_hash") == F.col("keep_hash"))
+    twice = materialize(groups.where(kept).groupBy("id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "twice")
+    gone = groups.where(~kept).select("id", "text_hash").distinct().unionByName(twice)
     # The row travels as one column, so that no column of docs can clash with these.
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"))
-    own = rows.where("id is not null").join(materialize(kept, "kept"), F.col("id") == F.col("kept"))
-    one = Window.partitionBy("id").orderBy("id")
-    own = own.withColumn("n", F.row_number().over(one)).where("n = 1")
-    return own.select("row.*").unionByName(rows.where("id is null").select("row.*"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), _text_hash().alias("text_hash"))
+    single = rows.join(materialize(gone, "gone"), ["id", "text_hash"], "left_anti").select("row.*")
+    one = Window.partitionBy("id", "text_hash").orderBy(F.to_json("row"))
+    again = rows.join(twice, ["id", "text_hash"]).withColumn("n", F.row_number().over(one)).where("n = 1")
+    return single.unionByName(again.select("row.*"))
 
 
 def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -415,6 +415,49 @@ def test_truncated_and_extended_copies(spark):
         assert np.mean([got[2 * i] == got[2 * i + 1] for i in range(kind, 600, 2)]) >= 0.96
 
 
+def test_repeated_ids_keep_their_texts(spark):
+    """An id that repeats with another text loses neither; one row stays of a group, also where rows repeat."""
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join(base[:59] + ["x"])
+    other, third = " ".join(f"u{i}" for i in range(50)), " ".join(f"v{i}" for i in range(50))
+    rows = [(1, other, "a"), (1, third, "b"), (2, near, "c"), (1, " ".join(base), "d"), (1, " ".join(base), "e"), (3, " ".join(base), "f"), (None, near, "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id string")
+    kept = sorted(map(tuple, simhash.first_of_similar(df).collect()), key=str)
+    assert kept == sorted([(1, other, "a"), (1, third, "b"), (1, " ".join(base), "d"), (None, near, "g")], key=str)
+
+
+@pytest.mark.parametrize("most", [4, 1024])
+def test_large_groups_are_compared_in_blocks(spark, monkeypatch, most):
+    """A chain whose ends are not similar, and copies of one text: blocks of any size find what pairs do."""
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", most)
+    g = random.Random(12)
+    word, rows = lambda: f"w{g.randrange(50_000)}", []
+    now = [word() for _ in range(200)]
+    for _ in range(60):
+        rows.append(" ".join(now))
+        for _ in range(4):
+            now[g.randrange(200)] = word()
+    hub = [word() for _ in range(120)]
+    for _ in range(60):
+        copy = list(hub)
+        for _ in range(g.choice([1, 2, 3, 4])):
+            copy[g.randrange(120)] = word()
+        rows.append(" ".join(copy))
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5)) for i, t in enumerate(rows)}
+    true = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    want = _components(sets, true)
+    assert np.mean([got[a] == got[b] for a, b in true]) >= 0.98
+    assert all(want[i] == want[c] for i, c in got.items())
+
+
+def test_keys_grow_with_the_corpus():
+    assert simhash.Keying.of(0) == simhash.Keying.of(1000) == simhash.Keying.of(simhash.CORPUS)
+    small, large = simhash.Keying.of(simhash.CORPUS), simhash.Keying.of(simhash.CORPUS * 16)
+    assert large.extra == small.extra + 4 and large.keys >= small.keys * 0.85**-4
+    assert large.transforms * simhash.SKETCH >= large.keys * (23 + large.extra)
+
+
 # Embeddings.
 
 
