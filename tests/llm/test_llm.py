@@ -3,7 +3,9 @@ import collections
 import gzip
 import hashlib
 import random
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -586,10 +588,117 @@ def test_query_returns_the_records(spark, small):
     assert warc.digest(bytes(first.record).partition(b"\r\n\r\n")[2][:-4]) == first.block_digest
 
 
+class _PlainPage(HTMLParser):
+    """The text, title, links and language of a page by the standard library's parser."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.out, self.links, self.title, self.language, self.silent, self.in_title = [], [], None, None, [], False
+        self.feed(page)
+        self.close()
+        self.text = "\n".join(x for x in (" ".join(y.split()) for y in "".join(self.out).split("\n")) if x)
+
+    def handle_starttag(self, tag, attrs):
+        if self.silent:
+            return
+        if tag in warc.BREAKS:
+            self.out.append("\n")
+        first = dict(reversed(attrs))
+        if tag in warc.SILENT:
+            self.out.append(" ")
+            self.silent.append(tag)
+        elif tag == "title" and self.title is None:
+            self.in_title, self.title = True, ""
+        elif tag == "a" and "href" in first:
+            self.links.append(" ".join((first["href"] or "").split()))
+        elif tag == "html":
+            self.language = self.language or first.get("lang")
+
+    handle_startendtag = handle_starttag
+
+    def handle_endtag(self, tag):
+        if self.silent:
+            if self.silent[-1] == tag:
+                self.silent.pop()
+        elif tag in warc.BREAKS:
+            self.out.append("\n")
+        if tag == "title" and self.in_title:
+            self.in_title, self.title = False, " ".join(self.title.split())
+
+    def handle_comment(self, data):
+        if not self.silent:
+            self.out.append(" ")
+
+    handle_decl = handle_pi = unknown_decl = handle_comment
+
+    def handle_data(self, data):
+        if not self.silent:
+            self.out.append(data)
+            if self.in_title:
+                self.title += data
+
+
+_WORDS = st.sampled_from(["one", "two ", " 3 &lt; 4", "&eacute;t&#233;", "\n", "\u00a0", "x > y", "&amp;amp;", "漢字", " & ", "'q'"])
+_BLOCKS = st.recursive(
+    st.one_of(
+        _WORDS, st.sampled_from(["<br>", "<hr/>", "<!-- a > b -->", "<img src='a>b.png'>", "<script>var x = '<p>';</script>", "<style>p{}</style>", "<svg><path d='M0'></path></svg>"]),
+        st.sampled_from(['<a href="/x?a=1&amp;b=2">', "<a class=c href=y>", "<A HREF='z z'>", "<a>", "</a>", '<a href="1" href="2">']),
+    ),
+    lambda inner: st.tuples(st.sampled_from(["p", "div", "b", "td", "span", "LI", "noscript"]), st.lists(inner, max_size=4)).map(lambda x: f"<{x[0]}>{''.join(x[1])}</{x[0]}>"),
+    max_leaves=25,
+)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(_BLOCKS, max_size=6), st.sampled_from(["", "<title>A &amp; B</title>", "<title> two\nlines </title><title>second</title>"]), st.sampled_from(["", ' lang="de"', " lang=pt-BR", " class=x lang='fr'"]))
+def test_scan_equals_a_plain_parser(body, title, lang):
+    page = f"<!DOCTYPE html><html{lang}><head>{title}</head><body>{''.join(body)}</body></html>"
+    got, want = warc.scan(page), _PlainPage(page)
+    assert (got.text, got.title, got.language, got.links) == (want.text, want.title, want.language, want.links)
+
+
+def test_pages_equal_a_plain_parser(spark, small):
+    for r in spark.read.parquet(f"{small}/pages.parquet").collect():
+        got, want = warc.scan(r.html), _PlainPage(r.html)
+        assert (got.text, got.title, got.language, got.links) == (want.text, want.title, want.language, want.links)
+
+
+@pytest.mark.parametrize("part", ["<a ", "<!--", "<script", "<script>", "<svg>", "<title>", "<a href='", '<a x="', "<a x=\"y' ", "</", "<", "<a href=x", "&#1", "&", "<p>", "<html lang", "<!", "<?", "<a =", "' \"<b>", "</script "])
+def test_adversarial_pages_take_linear_time(part):
+    page = "<p>first</p>" + part * (1_000_000 // len(part))
+    began = time.process_time()
+    assert warc.scan(page).text.startswith("first")
+    assert time.process_time() - began < 4
+    warc.scan("&#" + "9" * 1_000_000)
+
+
+def test_broken_pages():
+    read = lambda page: warc.scan(page).text
+    assert read("a < b <3 <p>c") == "a < b <3\nc" and read("x<!-- never ends <p>y") == "x" and read("x<script>never ends") == "x"
+    assert read("x<svg>y") == "xy" and read("x<b title='z>y") == "xy" and read("<b title='a>b'>y") == "y" and read("x<b") == "x<b"
+    assert read("&#99999999999;&#x110000;&#65;") == "\ufffd\ufffdA"
+
+
 def test_plain_text():
     page = "<html><head><title>A &amp; B</title><style>p{}</style><script>var t='</p>';</script></head><body><!-- x --><p>One<br>two <b>three</b></p>\n<div>4 &lt; 5&nbsp;&copy;</div></body></html>"
-    assert warc.plain_text(page) == "A & B\nOne\ntwo three\n4 < 5 ©"
-    assert warc.plain_text("") == "" and warc.plain_text("a < b") == "a < b"
+    assert warc.scan(page).text == "A & B\nOne\ntwo three\n4 < 5 ©"
+    assert warc.scan("").text == "" and warc.scan("a < b").text == "a < b"
+
+
+def test_broken_warc_files(spark):
+    one = warc.record("response", "<urn:1>", [], b"first\r\n")
+    two = warc.record("response", "<urn:2>", [], b"second")
+    lost = two.replace(b"Content-Length: 6", b"Content-Length: six")
+    whole = gzip.compress(one) + gzip.compress(two)
+    files = [("plain", one + two), ("length", one + lost + one), ("last", one + lost), ("cut", whole[:-12]), ("junk", b"no record\n" + one), ("none", b""), ("null", None)]
+    rows = warc.read_records(spark.createDataFrame([(n, None if c is None else bytearray(c)) for n, c in files], "path string, content binary")).collect()
+    found = collections.defaultdict(list)
+    for r in rows:
+        found[r.path].append((r.record_id, bytes(r.block)))
+    first, second = ("<urn:1>", b"first\r\n"), ("<urn:2>", b"second")
+    assert found["plain"] == [first, second] and found["length"] == [first, second, first] and found["junk"] == [first]
+    assert found["last"][0] == first and found["last"][1][1].startswith(b"second") and found["cut"][0] == first
+    assert set(found) == {"plain", "length", "last", "cut", "junk"}
 
 
 def test_odd_responses(spark):
@@ -597,6 +706,10 @@ def test_odd_responses(spark):
     df = spark.createDataFrame([(1, None, None, None, None), (2, "<urn:x>", "http://a\nb", "H: 1", ""), (2, "<urn:x>", "http://a\nb", "H: 1", "")], kind)
     rows = warc.derivatives(df, "k").collect()
     assert len(rows) == 6 and all(r.refers_to for r in rows)
+    assert not any(b"WARC-Refers-To-Date" in r.record for r in rows)
+    clash = df.withColumns({c: F.lit(f"own {c}") for c in ("record", "refers_to", "block_digest", "text", "scan")}).withColumn("response_date", F.lit("2020-01-02T03:04:05Z"))
+    dated = warc.derivatives(clash, "k").collect()
+    assert [r.record_id for r in dated] == [r.record_id for r in rows] and all(b"WARC-Refers-To-Date: 2020-01-02T03:04:05Z" in r.record for r in dated)
     assert warc.derivatives(df.where("false"), "k").count() == 0
 
 
