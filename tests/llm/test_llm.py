@@ -181,6 +181,28 @@ def test_mix_comes_near_its_targets(docs):
     same_rows(mixing.mix(docs).toPandas(), mixing.mix(docs.repartition(9)).toPandas())
 
 
+def test_mix_of_null_and_repeated_ids(spark):
+    """Sources of null ids, of one id, and of rows that repeat whole come within half a document of their targets."""
+    g = random.Random(8)
+    text = lambda: " ".join("w" for _ in range(g.randrange(1, 40)))
+    rows = [(None, f"{i} {text()}", None, g.choice("abc"), 0) for i in range(300)] + [(7, f"x{i} {text()}", None, "d", 0) for i in range(200)]
+    rows += [(None, "again and again", None, "e", 0)] * 150 + [(i, text(), None, "f", 0) for i in range(400)] + [(None, text(), None, None, 0)] * 90
+    df = spark.createDataFrame(rows, DOCS).repartition(7)
+    _, by, target = _plain_mix(rows)
+    largest = {s: max(len(r[1].split()) for r in rows if r[3] == s) for s in by}
+    for out in (mixing.mix(df), mixing.mix(df.repartition(3))):
+        got = collections.Counter()
+        for r in out.collect():
+            got[r.source_size, round(r.target, 3)] += r.taken
+        assert len(got) == len(target)
+        assert all(abs(got[by[s], round(t, 3)] - t) <= largest[s] / 2 + 1e-6 for s, t in target.items())
+    words = collections.Counter()
+    for r in mixing.mixed_documents(df).collect():
+        words[r.source] += len(r.text.split())
+    assert all(abs(words[s] - t) <= largest[s] / 2 + 1e-6 for s, t in target.items())
+    assert max(collections.Counter((r.doc_id, r.text, r.source) for r in mixing.mixed_documents(df.where("source in ('a', 'b', 'c', 'f')")).collect()).values()) <= 6
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_sql(spark, duck, small, name):
     same_rows(queries.QUERIES[name](spark, small).toPandas(), duck.sql(queries.SQL[name]).df())
