@@ -9,12 +9,12 @@ document has the language with the largest share, its words counted by their let
 
 from __future__ import annotations
 
-import re
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +33,8 @@ BLOCK_WORDS, REMEMBERED, FEW_LANGUAGES = 200_000, 400_000, 16
 #: Letters of a run that enter the chain as one word; longer runs are cut into pieces.
 LONGEST = 40
 
-WORDS = re.compile(r"[^\W\d_]+").findall
+#: Letters, each with the marks that combine with it; numbers such as one half are none.
+WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*+").findall
 
 
 def pieces(words: list[str]) -> list[str]:
@@ -74,29 +75,29 @@ def features(word: str) -> list[int]:
     return [crc(x.encode("utf-8", "replace")) % BUCKETS for x in names]
 
 
-def chain(emit: np.ndarray, counts: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """Posteriors by forward-backward. emit: exp scores, step by step; counts: sequences at each step, longest first."""
+def forward_backward(emit: np.ndarray, counts: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward probabilities up to a factor each row. emit: exp scores, step by step; counts:
+    sequences at each step, longest first."""
     at = np.concatenate([[0], np.cumsum(counts)])
-    ahead, k = np.empty_like(emit), emit.shape[1]
-    last = None
+    ahead, behind, last = np.empty_like(emit), np.ones_like(emit), None
     for t, n in enumerate(counts):
         e = emit[at[t] : at[t] + n]
         f = e.copy() if last is None else (last[:n] @ move) * e
         f /= f.sum(1, keepdims=True)
         ahead[at[t] : at[t] + n] = last = f
-    back = np.ones((0, k))
-    for t in range(len(counts) - 1, -1, -1):
-        n = counts[t]
-        now = np.ones((n, k))
-        if len(back):
-            m = len(back)
-            now[:m] = (back * emit[at[t + 1] : at[t + 1] + m]) @ move.T
-            now[:m] /= now[:m].sum(1, keepdims=True)
-        back = now
-        p = ahead[at[t] : at[t] + n]
-        p *= now
-        p /= p.sum(1, keepdims=True)
-    return ahead
+    for t in range(len(counts) - 2, -1, -1):
+        m = counts[t + 1]
+        now = (behind[at[t + 1] : at[t + 1] + m] * emit[at[t + 1] : at[t + 1] + m]) @ move.T
+        behind[at[t] : at[t] + m] = now / now.sum(1, keepdims=True)
+    return ahead, behind
+
+
+def chain(emit: np.ndarray, counts: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Posteriors of each step."""
+    post, behind = forward_backward(emit, counts, move)
+    post *= behind
+    post /= post.sum(1, keepdims=True)
+    return post
 
 
 def by_steps(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,6 +121,38 @@ class Model:
         return np.add.reduceat(self.weights[flat], starts, axis=0) if len(found) else np.zeros((0, len(self.languages)))
 
 
+def slopes(rows: list[tuple[list[str], list[int]]], feats: dict[str, list[int]], weights: np.ndarray, tran: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets that the rows (words, labels; longest first) touch, and the slopes of the negative log
+    likelihood of the labels by those buckets' weights and by the transitions: expected less seen."""
+    k = weights.shape[1]
+    lengths = np.array([len(words) for words, _ in rows])
+    index, counts = by_steps(lengths)
+    words = [w for row, _ in rows for w in row]
+    labels = np.array([y for _, row in rows for y in row])
+    flat = np.fromiter((x for w in words for x in feats[w]), np.int64)
+    sizes = np.array([len(feats[w]) for w in words])
+    scores = np.add.reduceat(weights[flat], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
+    emit = np.exp(scores - scores.max(1, keepdims=True))
+    move = np.exp(tran)
+    ahead, behind = np.empty_like(emit), np.empty_like(emit)
+    ahead[index], behind[index] = forward_backward(emit[index], counts, move)
+    slope = ahead * behind
+    slope /= slope.sum(1, keepdims=True)
+    slope[np.arange(len(labels)), labels] -= 1
+    touched, place = np.unique(flat, return_inverse=True)
+    by_weight = np.empty((len(touched), k))
+    for c in range(k):
+        by_weight[:, c] = np.bincount(place, np.repeat(slope[:, c], sizes), len(touched))
+    # Moves from one word to the next; the ends of sequences are no moves.
+    here = np.ones(len(labels), bool)
+    here[np.cumsum(lengths) - 1] = False
+    i = np.where(here)[0]
+    a, b = ahead[i], emit[i + 1] * behind[i + 1]
+    a /= ((a @ move) * b).sum(1, keepdims=True)
+    by_move = (a.T @ b) * move - np.bincount(labels[i] * k + labels[i + 1], minlength=k * k).reshape(k, k)
+    return touched, by_weight, by_move
+
+
 def train(windows: list[tuple[str, list[str]]]) -> Model | None:
     """AdaGrad on the likelihood of word labels; every third sequence is spliced from two languages."""
     windows = [w for w in windows if w[1]]
@@ -145,31 +178,10 @@ def train(windows: list[tuple[str, list[str]]]) -> Model | None:
                     words, labels = words[:cut] + more[:upto] + words[cut:], labels[:cut] + [z] * upto + labels[cut:]
                 rows.append((words, labels))
             rows.sort(key=lambda r: -len(r[0]))
-            lengths = np.array([len(r[0]) for r in rows])
-            index, counts = by_steps(lengths)
-            words = [w for r in rows for w in r[0]]
-            labels = np.array([y for r in rows for y in r[1]])
-            flat = np.fromiter((x for w in words for x in feats[w]), np.int64)
-            sizes = np.array([len(feats[w]) for w in words])
-            scores = np.add.reduceat(weights[flat], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
-            emit = np.exp(scores - scores.max(1, keepdims=True))
-            post = np.empty_like(emit)
-            post[index] = chain(emit[index], counts, np.exp(tran))
-            slope = post.copy()
-            slope[np.arange(len(labels)), labels] -= 1
-            touched, place = np.unique(flat, return_inverse=True)
-            g = DECAY * weights[touched]
-            for c in range(k):
-                g[:, c] += np.bincount(place, np.repeat(slope[:, c], sizes), len(touched))
+            touched, g, move = slopes(rows, feats, weights, tran)
+            g += DECAY * weights[touched]
             squares[touched] += g * g
             weights[touched] -= RATE * g / np.sqrt(squares[touched])
-            # Expected and seen moves from one word to the next; the ends of sequences are no moves.
-            here = np.ones(len(labels), bool)
-            here[np.cumsum(lengths) - 1] = False
-            i = np.where(here)[0]
-            a, b = post[i], emit[i + 1] * post[i + 1]
-            a /= ((a @ np.exp(tran)) * b).sum(1, keepdims=True)
-            move = (a.T @ b) * np.exp(tran) - np.bincount(labels[i] * k + labels[i + 1], minlength=k * k).reshape(k, k)
             tran_sq += move * move
             tran -= RATE * move / np.sqrt(tran_sq)
     return Model(languages, weights.astype(np.float32), np.exp(tran))
@@ -242,7 +254,7 @@ def label_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     lang_pred is the language with the largest share of the letters (the first by name of equal
     ones), score that share, n_words its runs of letters, n_switches how often the likeliest language changes
     between adjoining words or pieces of them. A text that is null or has no letter, or any text if nothing was learned, is `und` with
-    score 0. Whole texts of any length are labelled; repeated rows stay.
+    score 0. Whole texts of any length are labelled; repeated rows stay; an empty table gives no rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(model)
     held: list[_Scores] = []

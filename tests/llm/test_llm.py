@@ -2,6 +2,7 @@ import base64
 import collections
 import gzip
 import hashlib
+import itertools
 import random
 import time
 import zlib
@@ -246,8 +247,6 @@ def test_votes_equal_brute_force():
 
 
 def test_forward_backward_equals_brute_force():
-    import itertools
-
     g = np.random.default_rng(1)
     lengths, k = np.array([5, 3, 1]), 3
     emit, move = g.random((lengths.sum(), k)) + 0.01, g.random((k, k)) + 0.01
@@ -281,6 +280,46 @@ def test_language(spark, odd, none):
     assert language.label_documents(mixed, model).first().n_switches >= 1
 
 
+def test_slopes_equal_differences():
+    """The slopes of training against differences of the likelihood, summed over all paths."""
+    g = np.random.default_rng(5)
+    words, k = ["ab", "cde", "fg", "ab"], 3
+    feats = {w: [int(x) for x in g.integers(0, 6, 2)] for w in words}
+    weights, tran = g.normal(size=(8, k)), g.normal(size=(k, k))
+    rows = [(words, [0, 2, 2, 1]), (words[1:], [1, 1, 0]), (words[:1], [2])]
+
+    def loss(weights, tran):
+        out = 0.0
+        for row, labels in rows:
+            score = lambda ys: sum(weights[feats[w], y].sum() for w, y in zip(row, ys)) + sum(tran[a, b] for a, b in zip(ys, ys[1:]))  # noqa: B023, E731
+            out += np.log(sum(np.exp(score(ys)) for ys in itertools.product(range(k), repeat=len(row)))) - score(labels)
+        return out
+
+    touched, by_weight, by_move = language.slopes(rows, feats, weights, tran)
+    assert sorted(touched) == sorted({x for f in feats.values() for x in f})
+    for found, at, into in ((by_weight, touched, weights), (by_move, np.arange(k), tran)):
+        for row, i in enumerate(at):
+            for c in range(k):
+                ends = []
+                for h in (1e-5, -1e-5):
+                    into[i, c] += h
+                    ends.append(loss(weights, tran))
+                    into[i, c] -= h
+                assert found[row, c] == pytest.approx((ends[0] - ends[1]) / 2e-5, abs=1e-6)
+
+
+def test_letters_and_marks(spark):
+    """Numbers of other kinds are no letters; marks belong to the letters before them."""
+    assert language.WORDS("½ ² ① Ⅷ 12 _ x²y") == ["x", "y"]
+    thai, hindi = "ภาษาไทยที่นี่", "हिन्दी"
+    assert language.WORDS(f"{thai} {hindi} e\u0301t") == [thai, hindi, "e\u0301t"]
+    rows = [(i, t, x, "s", 0) for i, (t, x) in enumerate(40 * [(f"{thai} {thai[3:]}", "th"), (f"{hindi} {hindi[::-1]}", "hi"), ("plain words here", "en")])]
+    df = spark.createDataFrame(rows, DOCS)
+    odd = spark.createDataFrame([(1, "½ ² ① Ⅷ", "en", "s", 0), (2, thai * 30, "th", "s", 0)], DOCS)
+    got = {r.doc_id: r for r in language.label_documents(odd, language.train(language.sample(df))).collect()}
+    assert (got[1].lang_pred, got[1].score) == ("und", 0.0) and got[2].lang_pred == "th"
+
+
 def test_long_runs_are_seen_whole(spark):
     """Runs of letters that differ only after the 40th: whose n-grams and endings are seen, and every letter counts once."""
     g = random.Random(5)
