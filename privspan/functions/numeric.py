@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 
@@ -36,47 +36,61 @@ def normal_quantile(u):
     return x - step / (1 + x * step / 2)
 
 
-def gamma_q(nu: float, x):
-    """Q(nu, x) for whole and half nu: terms are summed in logarithms, so large nu does not overflow."""
+def gamma_pq(nu: float, x):
+    """P(nu, x) and Q(nu, x), the regularised incomplete gamma functions of any nu > 0: the lower series
+    below nu + 1, else the continued fraction, so that the smaller of the two keeps its digits."""
     x = np.maximum(np.asarray(x, np.float64), 0)
-    n, half = int(nu), nu != int(nu)
-    if 2 * nu != int(2 * nu):
-        raise ValueError("nu must be whole or half")
-    total = erfc(np.sqrt(x)) if half else np.zeros_like(x)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        log = np.log(x)
-        for k in range(n):
-            e = k + 0.5 if half else k
-            term = np.exp(e * log - x - math.lgamma(e + 1)) if e else np.exp(-x)
-            total = total + np.where(x > 0, term, 1.0 if e == 0 else 0.0)
-    return np.minimum(total, 1.0)
+    if nu == 1:
+        return -np.expm1(-x), np.exp(-x)
+    if nu == 0.5:
+        root = np.sqrt(x)
+        q = erfc(root)
+        # Below 1/2 the difference from 1 would lose digits: the odd series has them.
+        small = np.minimum(x, 0.25)
+        p = 2 / SQRT_PI * np.sqrt(small) * np.exp(-small) * reduce(lambda a, k: 1 + small / (k + 0.5) * a, range(24, 0, -1), 1.0)
+        return np.where(x <= 0.25, p, 1 - q), q
+    steps = 40 + int(9 * math.sqrt(nu))
+    low, high = np.minimum(x, nu + 1), np.maximum(x, nu + 1)
+    total = np.ones_like(low)
+    for k in range(steps, 0, -1):
+        total = 1 + low / (nu + k) * total
+    with np.errstate(divide="ignore"):
+        p = np.exp(nu * np.log(low) - low - math.lgamma(nu + 1)) * total
+        finite = np.minimum(high, 1e300)
+        tail = finite + 1 - nu
+        b = tail + 2 * steps
+        for k in range(steps, 0, -1):
+            b = tail + 2 * (k - 1) - k * (k - nu) / b
+        q = np.exp(nu * np.log(finite) - finite - math.lgamma(nu)) / b
+    below = x < nu + 1
+    return np.where(below, p, 1 - q), np.where(below, 1 - p, q)
+
+
+def gamma_q(nu: float, x):
+    return gamma_pq(nu, x)[1]
 
 
 def gamma_p(nu: float, x):
-    """1 - Q, by the lower series where x < nu + 1."""
-    x = np.maximum(np.asarray(x, np.float64), 0)
-    small = np.minimum(x, nu + 1)
-    term = total = np.ones_like(small)
-    for k in range(1, 40 + int(4 * nu)):
-        term = term * small / (nu + k)
-        total = total + term
-    with np.errstate(divide="ignore"):
-        front = np.exp(nu * np.log(small) - small - math.lgamma(nu + 1)) * total
-    return np.where(x < nu + 1, front, 1 - gamma_q(nu, x))
+    return gamma_pq(nu, x)[0]
 
 
 def gaussian_delta(eps: float, c: float) -> float:
     return float(max(0.0, normal_cdf(c / 2 - eps / c) - math.exp(eps) * normal_cdf(-c / 2 - eps / c)))
 
 
+def ratio_delta(eps, rho, r: int):
+    """The spectrum of r projections whose variances have the ratio rho; 0 where rho is not above 1."""
+    rho = np.asarray(rho, np.float64)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = np.where(rho > 1, 2 * (eps + r / 2 * np.log(rho)) / (rho - 1), np.inf)
+        (p1, q1), (p2, q2) = gamma_pq(r / 2, t / 2), gamma_pq(r / 2, np.where(rho > 1, rho * t, np.inf) / 2)
+    # Where both tails are near 1 their complements keep the digits.
+    value = np.where(rho * t < r, (1 - np.exp(eps)) - p1 + np.exp(eps) * p2, q1 - np.exp(eps) * q2)
+    return np.where(rho > 1, np.clip(value, 0, 1), 0.0)
+
+
 def projection_delta(eps: float, leverage: float, r: int) -> float:
-    rho = 1 / (1 - leverage)
-    t = 2 * (eps + r / 2 * math.log(rho)) / (rho - 1)
-    if rho * t < r:
-        value = (1 - math.exp(eps)) - gamma_p(r / 2, t / 2) + math.exp(eps) * gamma_p(r / 2, rho * t / 2)
-    else:
-        value = gamma_q(r / 2, t / 2) - math.exp(eps) * gamma_q(r / 2, rho * t / 2)
-    return float(min(1.0, max(0.0, value)))
+    return float(ratio_delta(eps, 1 / (1 - leverage), r))
 
 
 def right_kernel(p, q, d: int, r: float, eps):
@@ -110,25 +124,31 @@ def cut_points(l1, l3, c):
     return np.stack([np.full_like(ends[0], -LIMIT), np.minimum(*ends), np.maximum(*ends), np.full_like(ends[0], LIMIT)], axis=-1)
 
 
-def integrate(f, l1, l3, c, nodes: int = 64, by_probability: bool = False):
-    """Integral of the normal density times f over [-LIMIT, LIMIT], piece by piece. f takes x of shape (..., nodes).
+def integrate(f, l1, l3, c, nodes: int = 64, by_probability: bool = False, below_only: bool = False):
+    """Integral of the normal density times f over [-LIMIT, LIMIT], piece by piece.
 
-    by_probability integrates f over u, the normal distribution function of x.
+    f takes x of shape (rows, nodes) and the numbers of those rows. by_probability integrates f
+    over u, the normal distribution function of x. below_only: f is 0 but where
+    c + l1 x^2 / 2 - l3 x < 0, so other pieces are left out.
     """
     cuts = cut_points(l1, l3, c)
+    l1, l3, c = np.broadcast_arrays(*(np.atleast_1d(np.asarray(v, np.float64)) for v in (l1, l3, c)))
+    middle = (cuts[:, :-1] + cuts[:, 1:]) / 2
+    wanted = (cuts[:, 1:] > cuts[:, :-1]) & ((c[:, None] + l1[:, None] * middle**2 / 2 - l3[:, None] * middle < 0) | (not below_only))
     cuts = normal_cdf(cuts) if by_probability else cuts
     x, w = legendre(nodes)
     total = np.zeros(cuts.shape[0])
     for piece in range(3):
-        lo, width = cuts[:, piece], (cuts[:, piece + 1] - cuts[:, piece]) / PIECES
-        if not (width > 0).any():
+        rows = np.nonzero(wanted[:, piece])[0]
+        if not len(rows):
             continue
+        lo, width = cuts[rows, piece], (cuts[rows, piece + 1] - cuts[rows, piece]) / PIECES
         for part in range(PIECES):
             at = (lo + (part + 0.5) * width)[:, None] + (width / 2)[:, None] * x
             if by_probability:
-                total += (f(normal_quantile(at)) * w).sum(1) * width / 2
+                total[rows] += (f(normal_quantile(at), rows) * w).sum(1) * width / 2
             else:
-                total += (f(at) * np.exp(-at * at / 2) * w).sum(1) * width / 2 / math.sqrt(2 * math.pi)
+                total[rows] += (f(at, rows) * np.exp(-at * at / 2) * w).sum(1) * width / 2 / math.sqrt(2 * math.pi)
     return total
 
 
@@ -139,9 +159,10 @@ def _columns(*values):
 def delta_right(p, q, d: int, r: float, eps, nodes: int = 64):
     """Least-squares spectrum from the database to its neighbour; 0 < p < q < 1."""
     l1, l2, l3, c, nu = right_kernel(*np.broadcast_arrays(*(np.atleast_1d(np.asarray(v, np.float64)) for v in (p, q))), d, r, np.asarray(eps, np.float64))
-    m1, m2, m3, mc = _columns(l1, l2, l3, c)
+    every = _columns(l1, l2, l3, c)
 
-    def f(x):
+    def f(x, rows):
+        m1, m2, m3, mc = (v[rows] for v in every)
         a = mc + m1 * x * x / 2 - m3 * x
         z = np.maximum(0.0, -a / m2)
         grown = np.exp(np.minimum(a, 700) - nu * np.log1p(-m2))
@@ -154,16 +175,17 @@ def delta_right(p, q, d: int, r: float, eps, nodes: int = 64):
 def delta_left(p, q, d: int, r: float, eps, nodes: int = 64):
     """Least-squares spectrum from the neighbour to the database; 0 < p < q < 1."""
     l1, l2, l3, c, nu = left_kernel(*np.broadcast_arrays(*(np.atleast_1d(np.asarray(v, np.float64)) for v in (p, q))), d, r, np.asarray(eps, np.float64))
-    m1, m2, m3, mc = _columns(l1, l2, l3, c)
+    every = _columns(l1, l2, l3, c)
 
-    def f(x):
+    def f(x, rows):
+        m1, m2, m3, mc = (v[rows] for v in every)
         a = mc + m1 * x * x / 2 - m3 * x
         z = np.maximum(0.0, -a / m2)
         if not nu:
             return np.where(a < 0, 1 - np.exp(np.minimum(a, 0)), 0.0)
         return np.where(a < 0, gamma_p(nu, z) - np.exp(np.minimum(a, 0) - nu * np.log1p(-m2)) * gamma_p(nu, (1 - m2) * z), 0.0)
 
-    return np.clip(integrate(f, l1, l3, c, nodes), 0, 1)
+    return np.clip(integrate(f, l1, l3, c, nodes, below_only=True), 0, 1)
 
 
 def slope_left(p, s, d: int, r: float, eps, nodes: int = 64, by_probability: bool = False):
@@ -177,17 +199,17 @@ def slope_left(p, s, d: int, r: float, eps, nodes: int = 64, by_probability: boo
     whole = left_kernel(p + 1e-30j, p + s + 1e-30j, d, r, np.asarray(eps, np.float64))
     nu = whole[4]
     l1, l2, l3, c = (v.real for v in whole[:4])
-    m1, m2, m3, mc = _columns(l1, l2, l3, c)
-    d1, d2, d3, dc = _columns(*(v.imag / 1e-30 for v in whole[:4]))
+    every, slopes = _columns(l1, l2, l3, c), _columns(*(v.imag / 1e-30 for v in whole[:4]))
 
-    def f(x):
+    def f(x, rows):
+        (m1, m2, m3, mc), (d1, d2, d3, dc) = ([v[rows] for v in vs] for vs in (every, slopes))
         a, da = mc + m1 * x * x / 2 - m3 * x, dc + d1 * x * x / 2 - d3 * x
         z = np.maximum(-a / m2, 1e-300)
         g = np.exp(nu * np.log(z) - z - math.lgamma(nu)) if nu else 0.0
         p2 = gamma_p(nu, (1 - m2) * z) if nu else 1.0
         return np.where(a < 0, g * d2 / (1 - m2) - np.exp(np.minimum(a, 0) - nu * np.log1p(-m2)) * (da + nu * d2 / (1 - m2)) * p2, 0.0)
 
-    return integrate(f, l1, l3, c, nodes, by_probability)
+    return integrate(f, l1, l3, c, nodes, by_probability, below_only=True)
 
 
 def bisect(f, low: float, high: float, target: float, tol: float = 1e-6, increasing: bool = True) -> float:

@@ -114,36 +114,14 @@ def _normal_quantile(u: Column) -> Column:
 
 @F.pandas_udf(DoubleType())
 def _gamma_q_series(nu: pd.Series, x: pd.Series) -> pd.Series:
-    """Q(nu, x): the lower series below nu + 1, else the continued fraction by Lentz's method."""
-
-    def one(a: float, z: float) -> float:
-        if not (z > 0):
-            return 1.0 if z <= 0 else float("nan")
-        if math.isinf(z):
-            return 0.0
-        front = math.exp(a * math.log(z) - z - math.lgamma(a))
-        if z < a + 1:
-            term = total = 1 / a
-            n = a
-            while term > total * 1e-17:
-                n += 1
-                term *= z / n
-                total += term
-            return 1 - front * total
-        b = z + 1 - a
-        c, d = 1e300, 1 / b
-        h = d
-        for i in range(1, 10_000):
-            an = -i * (i - a)
-            b += 2
-            d = 1 / (an * d + b)
-            c = b + an / c
-            h *= d * c
-            if abs(d * c - 1) < 1e-16:
-                break
-        return front * h
-
-    return pd.Series([one(a, z) for a, z in zip(nu, x)])
+    """Q(nu, x) of a batch, all of its rows at once."""
+    from privspan.functions.numeric import gamma_pq
+
+    out = pd.Series(0.0, index=x.index)
+    for value in nu.unique():
+        own = nu == value
+        out[own] = gamma_pq(float(value), x[own].to_numpy())[1]
+    return out
 
 
 def gamma_q(nu: float, x) -> Column:

@@ -1,7 +1,8 @@
 """Private projections and least squares: samplers over keyed draws, independent of partitioning.
 
 A sketch multiplies the table by a Gaussian matrix whose entry for (draw, k, row) comes from the
-counter generator, so it is one pass with partial sums: rows meet only as r x d sums a draw.
+counter generator, block by block, so it is one pass with partial sums: rows meet only as r x d
+sums a draw.
 Rows of sigma times the identity added below the table give the same sums as sigma times one
 more normal draw a coordinate, which is what is done.
 """
@@ -12,18 +13,47 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import linear, rng
-from .relational import SENTINEL
+from .relational import SENTINEL, union_sources
+
+
+#: Normals of one block of rows (8 bytes each), and sums that a task holds.
+BLOCK_NORMALS, MOST_SUMS = 1 << 20, 1 << 22
+
+
+def _partial_sums(df: DataFrame, key_column: str, columns: list[str], r: int, first: int, draws: int, key: str) -> DataFrame:
+    """draw, k and sums over the rows of each task, for draws first .. first + draws - 1."""
+
+    def run(batches):
+        draw, k = np.divmod(np.arange(draws * r), r)
+        draw += first
+        sums = np.zeros((draws * r, len(columns)))
+        step = max(BLOCK_NORMALS // (draws * r), 1)
+        for batch in batches:
+            rows = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            x = np.stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in batch.columns[1:]], axis=1)
+            for at in range(0, len(rows), step):
+                sums += rng.grid_normals(key, "row", rows[at : at + step], draw, k).T @ x[at : at + step]
+        yield pa.RecordBatch.from_pydict({"draw": pa.array(draw, pa.int32()), "k": pa.array(k, pa.int32()), **{f"s{j}": sums[:, j] for j in range(len(columns))}})
+
+    wanted = [F.col(key_column).cast("long"), *[F.col(c).cast("double").alias(f"c{j}") for j, c in enumerate(columns)]]
+    return df.select(wanted).mapInArrow(run, "draw int, k int, " + ", ".join(f"s{j} double" for j in range(len(columns))))
 
 
 def project(df: DataFrame, key_column: str, columns: list[str], r: int, draws: int, key: str, noise: float = 0.0) -> DataFrame:
-    """draw, k, and per column the sum over rows of g(draw, k, row) x, plus noise times g(draw, k, column)."""
-    cells = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(r - 1))))
-    cells = cells.withColumn("g", rng.normal(key, "row", F.col("draw"), F.col("k"), F.col(key_column)))
-    sums = cells.groupBy("draw", "k").agg(*[F.sum(F.col("g") * F.col(c)).alias(c) for c in columns])
+    """draw, k, and per column the sum over rows of g(draw, k, row) x, plus noise times g(draw, k, column).
+
+    Each task multiplies blocks of normals with blocks of rows and gives its sums, so no row is
+    repeated and only r x draws rows a task are shuffled. Draws whose sums would not fit in a
+    task are left to further passes. Nulls count as zero.
+    """
+    at_once = max(MOST_SUMS // (r * len(columns)), 1)
+    parts = [_partial_sums(df, key_column, columns, r, first, min(at_once, draws - first), key) for first in range(0, draws, at_once)]
+    sums = union_sources(parts).groupBy("draw", "k").agg(*[F.sum(f"s{j}").alias(c) for j, c in enumerate(columns)])
     if noise:
         sums = sums.withColumns({c: F.col(c) + noise * rng.normal(key, "noise", F.col("draw"), F.col("k"), F.lit(j)) for j, c in enumerate(columns)})
     return sums

@@ -6,9 +6,11 @@ double precision have the known side channels of floating point.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import secrets
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,3 +34,42 @@ def normal(key: str, stream: str, *counters: Column) -> Column:
 def laplace(key: str, stream: str, scale: float, *counters: Column) -> Column:
     u = uniform(key, stream, *counters) - 0.5
     return -F.signum(u) * F.ln(1 - 2 * F.abs(u)) * scale
+
+
+# Draws for every row, draw and k at once, over numpy: a million normals take some 20 ms.
+
+
+def words(key: str, stream: str) -> list[int]:
+    """Four 32-bit words of an MD5 of key and stream."""
+    digest = hashlib.md5(f"{key}|{stream}".encode()).hexdigest()
+    return [int(digest[i : i + 8], 16) for i in range(0, 32, 8)]
+
+
+def mix32(x: np.ndarray) -> np.ndarray:
+    """A bijection of 32-bit words whose output bits depend on all input bits."""
+    x = np.asarray(x, np.uint32)
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(2146121005)
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(2221713035)
+    return x ^ (x >> np.uint32(16))
+
+
+def absorbed(start: int | np.ndarray, *parts: np.ndarray) -> np.ndarray:
+    """mix32 of start, then of each part put in by exclusive or."""
+    with np.errstate(over="ignore"):
+        now = mix32(np.asarray(start, np.uint32))
+        for part in parts:
+            now = mix32(now ^ np.asarray(part, np.uint32))
+        return now
+
+
+def grid_normals(key: str, stream: str, rows: np.ndarray, draw: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """A standard normal for each row (a long) and each pair of draw and k, by Box and Muller.
+
+    Two 32-bit hashes give radius and angle; two rows or counters agree in both with a probability
+    of 2^-64 only. They are for sketches, not for secrets: a private release needs a secret key.
+    """
+    rows = np.asarray(rows, np.int64).view(np.uint64)
+    low, high = (rows & np.uint64(0xFFFFFFFF)).astype(np.uint32), (rows >> np.uint64(32)).astype(np.uint32)
+    at = absorbed(draw, k)
+    u, v = (absorbed(absorbed(w, low, high)[:, None] ^ at[None]) for w in words(key, stream)[:2])
+    return np.sqrt(-2 * np.log((u + 0.5) / 2.0**32)) * np.cos((v + 0.5) / 2.0**32 * (2 * math.pi))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from privspan.functions.numeric import ratio_delta
 from privspan.functions.special import MOST_TERMS, col, erf, gamma_p, gamma_q, let, normal_cdf, normal_sf
 
 
@@ -82,12 +84,21 @@ def linear_combination(eps, norm_x, norm_y) -> Column:
     return F.when(big == small, F.lit(0.0)).otherwise(F.greatest(zero_mean(eps, big, near), zero_mean_reverse(eps, big, near)))
 
 
+def _many_projections(r: int):
+    """The sums of large r over whole batches: written out they would not fit in generated code."""
+
+    @F.pandas_udf("double")
+    def run(eps: pd.Series, rho: pd.Series) -> pd.Series:
+        return pd.Series(ratio_delta(eps.to_numpy(), rho.to_numpy(), r))
+
+    return run
+
+
 def projection_by_ratio(eps, rho, r: int) -> Column:
     """r Gaussian projections whose variances have the ratio rho > 1: Q(r/2, t/2) - e^eps Q(r/2, rho t/2)."""
     eps = col(eps)
     if r > 2 * MOST_TERMS:
-        t = 2 * (eps + F.ln(col(rho)) * (r / 2)) / (col(rho) - 1)
-        return F.when(col(rho) > 1, clamp(gamma_q(r / 2, t / 2) - F.exp(eps) * gamma_q(r / 2, col(rho) * t / 2))).otherwise(0.0)
+        return _many_projections(r)(eps, col(rho))
 
     def of(v: Column) -> Column:
         t, rho = v["t"], v["rho"]

@@ -1,90 +1,19 @@
-"""Every registered query of the library, and its SQL.
+"""Registered queries and their SQL: sources, linear algebra, spectra, quadrature, samplers, black box and kernels.
 
-The stand-in matrix is orders joined with customers: features c_acctbal / 1000 and a constant,
-target o_totalprice / 100000, key o_orderkey. Floats are rounded so that both sides agree.
+Further ones are in calibrated.py and estimated.py, which this module brings in.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from privspan.functions import gx2
 from privspan.operators import accuracy, blackbox, calibrate, kernels, linear, mechanisms, quadrature, relational, rng, spectra
 from privspan.sources.tables import complete_rows, keyed_counties, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-FEATURES, TARGET, KEY = ["x1", "x2"], "y", "row_id"
-ALL = [*FEATURES, TARGET]
-TEST_KEY = "test-key"
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-def matrix(spark: SparkSession, d: str) -> DataFrame:
-    orders, customer = table(spark, d, "orders"), table(spark, d, "customer")
-    joined = orders.join(customer, orders.o_custkey == customer.c_custkey)
-    return joined.select(F.col("o_orderkey").alias(KEY), (F.col("c_acctbal") / 1000).alias("x1"), F.lit(1.0).alias("x2"), (F.col("o_totalprice") / 100000).alias("y"))
-
-
-def fitted(spark: SparkSession, d: str) -> tuple[DataFrame, linear.Fit]:
-    m = matrix(spark, d)
-    return m, linear.fit(m, FEATURES, TARGET)
-
-
-def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
-    # Adding zero turns a rounded minus zero into zero.
-    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in columns})
-
-
-M = """m AS (SELECT o_orderkey AS row_id, c_acctbal / 1000 AS x1, 1.0::DOUBLE AS x2, o_totalprice / 100000 AS y
-  FROM orders JOIN customer ON o_custkey = c_custkey)"""
-FIT = f"""{M},
-g AS (SELECT count(*) AS n, sum(x1*x1) AS g11, sum(x1*x2) AS g12, sum(x2*x2) AS g22, sum(x1*y) AS h1, sum(x2*y) AS h2, sum(y*y) AS yy FROM m),
-s AS (SELECT *, g11*g22-g12*g12 AS det, (g22*h1-g12*h2)/(g11*g22-g12*g12) AS b1, (g11*h2-g12*h1)/(g11*g22-g12*g12) AS b2,
-  g22/(g11*g22-g12*g12) AS i11, -g12/(g11*g22-g12*g12) AS i12, g11/(g11*g22-g12*g12) AS i22 FROM g),
-rw AS (SELECT row_id, x1, x2, y, y-b1*x1-b2*x2 AS w, x1*x1*i11+2*x1*x2*i12+x2*x2*i22 AS p, b1, b2, i11, i12, i22, n FROM m, s),
-rs AS (SELECT sum(w*w) AS rss FROM rw),
-r AS (SELECT rw.*, rss, p + w*w/rss AS q FROM rw, rs)"""
-
-
-def erf_sql(x: str) -> str:
-    """erf by its series of positive terms, summed from the inside; 1 in size beyond 6."""
-    series = f"list_reduce(list_transform(range(150, 0, -1), lambda k: (2*k+1)::DOUBLE), lambda acc, k: 1.0::DOUBLE + 2*({x})*({x})/k*acc, 1.0::DOUBLE)"
-    return f"(CASE WHEN abs({x}) > 6 THEN sign({x})::DOUBLE ELSE 1.1283791670955126*({x})*exp(-({x})*({x}))*{series} END)"
-
-
-def phi_sql(x: str) -> str:
-    return f"(0.5*(1+{erf_sql(f'({x})/1.4142135623730951')}))"
-
-
-def q_sql(n: int, x: str) -> str:
-    """Q(n, x) for whole n."""
-    return f"(exp(-({x}))*list_reduce(list_transform(range({n - 1}, 0, -1), lambda k: k::DOUBLE), lambda acc, k: 1.0::DOUBLE + ({x})/k*acc, 1.0::DOUBLE))" if n > 1 else f"exp(-({x}))"
-
-
-def u_sql(stream: str, *counters: str, key: str = TEST_KEY) -> str:
-    name = " || '|' || ".join([f"'{key}|{stream}'", *[f"({c})::VARCHAR" for c in counters]])
-    return f"((('0x' || substr(md5({name}), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
-
-
-def z_sql(stream: str, *counters: str, key: str = TEST_KEY) -> str:
-    return f"(sqrt(-2*ln({u_sql(stream + '.u', *counters, key=key)}))*cos({u_sql(stream + '.v', *counters, key=key)}*2*pi()))"
-
+from .registry import ALL, FEATURES, FIT, KEY, PR, QUERIES, SK, SQL, TARGET, TEST_KEY, M, erf_sql, fitted, matrix, nodes_sql, phi_sql, project_sql, q_sql, query, rounded, rounded_projection, scalars, u_sql, z_sql
 
 # Sources, projections, joins.
 
@@ -230,15 +159,10 @@ def gram_embeddings_diagonal(spark, d):
     return rounded(rows.select("s.*"), 6, "diagonal")
 
 
-def _scalars(spark, d, values: dict[str, float], digits: int) -> DataFrame:
-    """One row of numbers found from the table, kept with its row count."""
-    return rounded(matrix(spark, d).agg(F.count("*").alias("n"), *[F.max(F.lit(float(v))).alias(k) for k, v in values.items()]), digits, *values)
-
-
 @query(f"WITH {FIT} SELECT max(n) AS n, round(max(b1), 8) + 0 AS b1, round(max(b2), 8) + 0 AS b2 FROM r")
 def ols_xopt(spark, d):
     _, f = fitted(spark, d)
-    return _scalars(spark, d, {"b1": f.beta[0], "b2": f.beta[1]}, 8)
+    return scalars(spark, d, {"b1": f.beta[0], "b2": f.beta[1]}, 8)
 
 
 @query(f"WITH {FIT} SELECT row_id, round(w, 6) + 0 AS w FROM r")
@@ -360,10 +284,10 @@ def delta_kd_rlc_all_rows(spark, d):
     return rounded(f.rows(m).select(KEY, spectra.leverage_combination(0.00001, "p").alias("delta")), 8, "delta")
 
 
-@query(f"WITH {FIT}, e AS (SELECT r.*, eps FROM r, (VALUES (0.0001::DOUBLE),(0.001),(0.01)) t(eps) WHERE row_id % 10 = 0) SELECT row_id, eps, round({_kd_sql('eps')}, 8) + 0 AS delta FROM e")
+@query(f"WITH {FIT}, e AS (SELECT r.*, eps FROM r, (VALUES (0.0001::DOUBLE),(0.001),(0.01)) t(eps)) SELECT row_id, eps, round({_kd_sql('eps')}, 8) + 0 AS delta FROM e")
 def delta_kd_rlc_eps_grid(spark, d):
     m, f = fitted(spark, d)
-    rows = spectra.sweep(f.rows(m).where(F.col(KEY) % 10 == 0), eps=[0.0001, 0.001, 0.01])
+    rows = spectra.sweep(f.rows(m), eps=[0.0001, 0.001, 0.01])
     return rounded(rows.select(KEY, "eps", spectra.leverage_combination("eps", "p").alias("delta")), 8, "delta")
 
 
@@ -502,13 +426,8 @@ def quadratic_form_cdf(spark, d):
 # Quadrature: d = 3, so nu = 1 and Q(1, z) = e^-z.
 
 
-def _nodes_sql(nodes: int = 32) -> str:
-    x, w = np.polynomial.legendre.leggauss(nodes)
-    return "nodes AS (SELECT * FROM (VALUES " + ", ".join(f"({a!r}::DOUBLE, {b!r}::DOUBLE)" for a, b in zip(x.tolist(), w.tolist())) + ") t(nx, nw))"
-
-
-def _pq_sql(kernel: str, f: str, limit: str = "row_id % 5 = 0") -> str:
-    return f"""WITH {FIT}, {_nodes_sql()}, k AS (SELECT row_id, {kernel} FROM r WHERE {limit}),
+def _pq_sql(kernel: str, f: str, limit: str = "true") -> str:
+    return f"""WITH {FIT}, {nodes_sql()}, k AS (SELECT row_id, {kernel} FROM r WHERE {limit}),
 c AS (SELECT *, sqrt(greatest(l3*l3-2*l1*c,0)) AS root, l3*l3-2*l1*c AS disc FROM k),
 e AS (SELECT *, CASE WHEN disc < 0 THEN 12 ELSE least(12, greatest(-12, (l3-root)/l1)) END AS e1, CASE WHEN disc < 0 THEN 12 ELSE least(12, greatest(-12, (l3+root)/l1)) END AS e2 FROM c),
 b AS (SELECT *, unnest([[-12::DOUBLE, least(e1,e2)], [least(e1,e2), greatest(e1,e2)], [greatest(e1,e2), 12::DOUBLE]]) AS pc FROM e),
@@ -526,15 +445,13 @@ _F_RIGHT = "exp(least(a,700)*0)*(CASE WHEN a > 0 THEN exp(a/l2)-exp(a)/(1-l2)*ex
 @query(_pq_sql(_LEFT, _F_LEFT))
 def delta_pq_left(spark, d):
     m, f = fitted(spark, d)
-    rows = f.rows(m).where(F.col(KEY) % 5 == 0)
-    return rounded(rows.select(KEY, quadrature.left("p", "q", 3, 20, 0.01).alias("delta")), 7, "delta")
+    return rounded(f.rows(m).select(KEY, quadrature.left("p", "q", 3, 20, 0.01).alias("delta")), 7, "delta")
 
 
 @query(_pq_sql(_RIGHT, _F_RIGHT))
 def delta_pq_right(spark, d):
     m, f = fitted(spark, d)
-    rows = f.rows(m).where(F.col(KEY) % 5 == 0)
-    return rounded(rows.select(KEY, quadrature.right("p", "q", 3, 20, 0.01).alias("delta")), 7, "delta")
+    return rounded(f.rows(m).select(KEY, quadrature.right("p", "q", 3, 20, 0.01).alias("delta")), 7, "delta")
 
 
 @query(_pq_sql(_LEFT, _F_LEFT, "true"))
@@ -570,30 +487,17 @@ def fprime_u(spark, d):
     return rounded(rows.select(KEY, quadrature.left_slope("p", "share", 3, 20, 0.01, by_probability=True).alias("slope")), 6, "slope")
 
 
-# Samplers: keyed draws that DuckDB repeats bit by bit.
-
-
-def _project_sql(r: int, draws: int, noise: float = 0.0, key: str = TEST_KEY) -> str:
-    g = z_sql("row", "draw", "k", "row_id", key=key)
-    add = lambda j: f" + {noise}*max({z_sql('noise', 'draw', 'k', str(j), key=key)})" if noise else ""
-    return f"pr AS (SELECT draw, k, sum({g}*x1){add(0)} AS x1, sum({g}*x2){add(1)} AS x2, sum({g}*y){add(2)} AS y FROM m, range(0,{draws}) a(draw), range(0,{r}) b(k) GROUP BY draw, k)"
-
+# Samplers.
 
-def _rounded_projection(sketch: DataFrame) -> DataFrame:
-    return rounded(sketch.select("draw", "k", *ALL), 6, *ALL)
 
-
-_PR = "SELECT draw::INT AS draw, k::INT AS k, round(x1, 6) + 0 AS x1, round(x2, 6) + 0 AS x2, round(y, 6) + 0 AS y FROM pr"
-
-
-@query(f"WITH {M}, {_project_sql(3, 2)} {_PR}")
+@query(f"WITH {M}, {project_sql(3, 2)} {PR}")
 def rp_project(spark, d):
-    return _rounded_projection(mechanisms.project(matrix(spark, d), KEY, ALL, 3, 2, TEST_KEY))
+    return rounded_projection(mechanisms.project(matrix(spark, d), KEY, ALL, 3, 2, TEST_KEY))
 
 
-@query(f"WITH {M}, {_project_sql(3, 2, 2.5)} {_PR}")
+@query(f"WITH {M}, {project_sql(3, 2, 2.5)} {PR}")
 def rp_project_noise(spark, d):
-    return _rounded_projection(mechanisms.project(matrix(spark, d), KEY, ALL, 3, 2, TEST_KEY, 2.5))
+    return rounded_projection(mechanisms.project(matrix(spark, d), KEY, ALL, 3, 2, TEST_KEY, 2.5))
 
 
 @query()
@@ -603,21 +507,21 @@ def rp_optimal(spark, d):
     _, g = linear.gram_matrix(m, ALL)
     top = m.agg(F.max(linear.quadratic(ALL, linear.inverse(g))).alias("p"), F.max(linear.row_norm(ALL)).alias("l")).first()
     sigma = 0.0 if calibrate.projection_delta(1.0, top.p, 10) <= 1e-6 else calibrate.projection_sigma(top.l, 1.0, 1e-6, 10)
-    return _rounded_projection(mechanisms.project(m, KEY, ALL, 10, 1, TEST_KEY, sigma))
+    return rounded_projection(mechanisms.project(m, KEY, ALL, 10, 1, TEST_KEY, sigma))
 
 
 @query()
 def rp_added_rows(spark, d):
     m = matrix(spark, d)
     c = linear.added_rows_constant(m, ALL, 5, 1.0, 1e-6).first().c
-    return _rounded_projection(mechanisms.project(m, KEY, ALL, 5, 1, TEST_KEY, c))
+    return rounded_projection(mechanisms.project(m, KEY, ALL, 5, 1, TEST_KEY, c))
 
 
 @query()
 def rp_information(spark, d):
     m = matrix(spark, d)
     sigma = mechanisms.information_noise(linear.least_column_rest(m, ALL).first().c, 5, 0.1)
-    return _rounded_projection(mechanisms.project(m, KEY, ALL, 5, 1, TEST_KEY, sigma))
+    return rounded_projection(mechanisms.project(m, KEY, ALL, 5, 1, TEST_KEY, sigma))
 
 
 @query()
@@ -627,18 +531,15 @@ def rp_tested(spark, d):
     n, g = linear.gram_matrix(m, ALL)
     unit = m.agg(F.count("*")).select(rng.laplace(TEST_KEY, "ptr", 1.0, F.lit(0))).first()[0]
     sigma = calibrate.tested_projection_sigma(float(np.linalg.eigvalsh(g).min()), 20.0, 1.0, 1e-6, 10, unit)
-    return _rounded_projection(mechanisms.project(m, KEY, ALL, 10, 1, TEST_KEY, sigma))
+    return rounded_projection(mechanisms.project(m, KEY, ALL, 10, 1, TEST_KEY, sigma))
 
 
 @query()
 def rp_by_distribution(spark, d):
-    return _rounded_projection(mechanisms.project_by_distribution(matrix(spark, d), ALL, 4, 3, TEST_KEY))
-
-
-_SK = "sg AS (SELECT draw, sum(x1*x1) AS a, sum(x1*x2) AS b, sum(x2*x2) AS c, sum(x1*y) AS u, sum(x2*y) AS v FROM pr GROUP BY draw)"
+    return rounded_projection(mechanisms.project_by_distribution(matrix(spark, d), ALL, 4, 3, TEST_KEY))
 
 
-@query(f"WITH {M}, {_project_sql(8, 3)}, {_SK} SELECT draw::INT AS draw, round((c*u-b*v)/(a*c-b*b), 7) + 0 AS b1, round((a*v-b*u)/(a*c-b*b), 7) + 0 AS b2 FROM sg")
+@query(f"WITH {M}, {project_sql(8, 3)}, {SK} SELECT draw::INT AS draw, round((c*u-b*v)/(a*c-b*b), 7) + 0 AS b1, round((a*v-b*u)/(a*c-b*b), 7) + 0 AS b2 FROM sg")
 def sketch_ls(spark, d):
     solved = mechanisms.sketch_least_squares(matrix(spark, d), KEY, FEATURES, TARGET, 8, 3, TEST_KEY)
     return rounded(solved.select("draw", F.element_at("beta", 1).alias("b1"), F.element_at("beta", 2).alias("b2")), 7, "b1", "b2")
@@ -687,14 +588,14 @@ def fixed_residual_ls_draws(spark, d):
 # Accuracy.
 
 
-@query(f"WITH {M}, {_project_sql(6, 4)}, t AS (SELECT sqrt(sum((x2-x1)*(x2-x1))) AS d10, sqrt(sum((y-x1)*(y-x1))) AS d20, sqrt(sum((y-x2)*(y-x2))) AS d21 FROM m) SELECT draw::INT AS draw, round((sqrt(sum((x2-x1)*(x2-x1))/6)/max(d10)+sqrt(sum((y-x1)*(y-x1))/6)/max(d20)+sqrt(sum((y-x2)*(y-x2))/6)/max(d21))/3, 7) AS ratio FROM pr, t GROUP BY draw")
+@query(f"WITH {M}, {project_sql(6, 4)}, t AS (SELECT sqrt(sum((x2-x1)*(x2-x1))) AS d10, sqrt(sum((y-x1)*(y-x1))) AS d20, sqrt(sum((y-x2)*(y-x2))) AS d21 FROM m) SELECT draw::INT AS draw, round((sqrt(sum((x2-x1)*(x2-x1))/6)/max(d10)+sqrt(sum((y-x1)*(y-x1))/6)/max(d20)+sqrt(sum((y-x2)*(y-x2))/6)/max(d21))/3, 7) AS ratio FROM pr, t GROUP BY draw")
 def rp_pairwise_distance_acc(spark, d):
     m = matrix(spark, d)
     return rounded(accuracy.distance_ratios(m, mechanisms.project(m, KEY, ALL, 6, 4, TEST_KEY), ALL, 6), 7, "ratio")
 
 
 
-@query(f"WITH {M}, {_project_sql(6, 4)}, ex AS (SELECT unnest([{', '.join(f'sum({a}*{b})' for a in ALL for b in ALL)}]) AS x, unnest(range(0,9)) AS c FROM m), ap AS (SELECT draw, unnest([{', '.join(f'sum({a}*{b})/6' for a in ALL for b in ALL)}]) AS z, unnest(range(0,9)) AS c FROM pr GROUP BY draw) SELECT draw::INT AS draw, round(covar_samp(x, z)/(stddev_pop(x)*stddev_pop(z)), 7) AS correlation FROM ap JOIN ex USING (c) GROUP BY draw")
+@query(f"WITH {M}, {project_sql(6, 4)}, ex AS (SELECT unnest([{', '.join(f'sum({a}*{b})' for a in ALL for b in ALL)}]) AS x, unnest(range(0,9)) AS c FROM m), ap AS (SELECT draw, unnest([{', '.join(f'sum({a}*{b})/6' for a in ALL for b in ALL)}]) AS z, unnest(range(0,9)) AS c FROM pr GROUP BY draw) SELECT draw::INT AS draw, round(covar_samp(x, z)/(stddev_pop(x)*stddev_pop(z)), 7) AS correlation FROM ap JOIN ex USING (c) GROUP BY draw")
 def rp_dot_product_acc(spark, d):
     m = matrix(spark, d)
     return rounded(accuracy.product_correlation(m, mechanisms.project(m, KEY, ALL, 6, 4, TEST_KEY), ALL, 6), 7, "correlation")

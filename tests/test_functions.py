@@ -1,4 +1,5 @@
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -26,6 +27,34 @@ def test_quantile_inverts(spark):
     assert max(abs(0.5 * math.erfc(-r.z / math.sqrt(2)) / r.u - 1) for r in rows) < 1e-10
 
 
+@pytest.mark.parametrize("nu, x, p", [(150, 100.0, 2.5037104e-06), (150, 160.0, 0.79963), (0.5, 1e-10, 1.1283791670579e-05), (1500, 1500.0, 0.50343327), (1, 1e-12, 9.999999999995e-13)])
+def test_incomplete_gamma_of_many_terms(nu, x, p):
+    """Against the finite sum with fractions where nu is whole, else the known value."""
+    if nu == int(nu):
+        top = Fraction(x)
+        term, total = Fraction(1), Fraction(0)
+        for k in range(int(nu)):
+            total += term
+            term = term * top / (k + 1)
+        log = math.log(total.numerator) - math.log(total.denominator) - x
+        q = math.exp(log)
+        assert float(numeric.gamma_q(nu, x)) == pytest.approx(q, rel=1e-11)
+    else:
+        assert float(numeric.gamma_p(nu, x)) == pytest.approx(p, rel=1e-12)
+    both = numeric.gamma_pq(nu, x)
+    assert float(both[0] + both[1]) == pytest.approx(1, abs=1e-14)
+
+
+def test_projections_of_many_rows(spark):
+    """r = 82 and 300 by batches agree with the same spectrum by single values, and go on from r = 80."""
+    df = spark.createDataFrame([(p,) for p in (0.0, 1e-4, 0.001, 0.01, 0.1, 0.5)], "p double")
+    for r in (82, 300, 3000):
+        rows = df.select("p", spectra.projection(0.1, "p", r).alias("delta")).collect()
+        assert [x.delta for x in rows] == pytest.approx([numeric.projection_delta(0.1, x.p, r) for x in rows], abs=1e-14)
+    a, b, c = (df.select(spectra.projection(0.1, "p", r).alias("delta")).collect() for r in (78, 80, 82))
+    assert all(y.delta == pytest.approx((x.delta + z.delta) / 2, abs=2e-4) for x, y, z in zip(a, b, c))
+
+
 @pytest.mark.parametrize("nu", [0.5, 1, 2.5, 15, 30.5])
 def test_incomplete_gamma(spark, nu):
     xs = [0.0, 1e-8, 0.1, 1.0, 5.0, 20.0, 60.0]
