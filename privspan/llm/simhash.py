@@ -34,10 +34,12 @@ GENERATOR = 0b101011100011
 #: and the bits that a key has besides its codeword. A pair at a similarity of 0.8 shares a given key
 #: with a probability of about 0.027, and 0.68 of that if one set contains the other, as its octave
 #: differs in the other keys.
-SKETCH, CORPUS, KEYS, EXTRA_BITS = 2048, 1 << 20, 192, 9
+SKETCH, CORPUS, KEYS, EXTRA_BITS = 2048, 1 << 18, 192, 9
 #: Longs of the fingerprint that bucket-mates compare, and the share of their bits that may differ
 #: before shingles are compared; at a similarity of 0.8 it is 0.15.
 SIGNATURE, LOOSE = 16, 0.2
+#: Of the first 64 bits so many may differ before the others are looked at; at 0.8 more do in one pair of 3000.
+TAG_BITS = 21
 #: Most rows of one side of a block of comparisons, and most bytes of its shingles (but for one text's).
 BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20
 
@@ -391,37 +393,47 @@ def _open_members(met: DataFrame, table) -> DataFrame:
 def _class_links(docs: DataFrame, classes: DataFrame, by: Keying, shingle: int, similarity: float, table) -> DataFrame:
     """(a, b): links among classes of equal shingle sets, enough to reach all that are found.
 
-    First each bucket compares its members with one of them, so that the copies of a large group
-    become one root. Then the others of buckets that hold several roots name those whose
-    signatures are near, and these, gathered over all buckets, are compared by their sets, in blocks.
+    One member of each bucket, its first by a hash, is compared with its others, so that the copies
+    of a large group become one root. Then the mates of one first, from whichever bucket, that
+    have several roots name those whose signatures are near, and these, gathered over all
+    firsts, are compared by their sets, in blocks. Two that share a bucket so are compared in
+    one of the two ways, and mates of a first come once however many buckets they share.
     """
-    keys = _keyed(classes.where("n > 0"), by)
-    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    met = table(keys.join(shared, "key"), "met")
-    met = table(met.join(classes.select("same", "sig"), "same").select(F.col("key").alias("grp"), "same", "sig"), "met-signed")
-    signed = classes.select("same", "id", "text_hash", "sig", (F.col("n") * 8).alias("bytes"))
+    with scratch() as own:
+        keys = _keyed(classes.where("n > 0"), by)
+        shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+        met = own(keys.join(shared, "key"), "met")
+        firsts = own(met.groupBy("key").agg(F.min_by("same", F.struct(F.xxhash64("same"), "same")).alias("first")), "firsts")
+        mates = met.join(firsts, "key").where("same <> first").groupBy("first", "same").agg(F.max(F.col("size") > 2).alias("many"))
+        mates = table(mates, "mates")
+    classes = classes.select("same", "id", "text_hash", "sig", (F.col("n") * 8).alias("bytes"))
 
     def decided(members: DataFrame, name: str) -> DataFrame:
         """Links among members (grp, same, root, main) by their shingle sets."""
-        members = table(members.join(signed, "same"), f"{name}-members")
-        wanted = table(members.select("same", "id", "text_hash").distinct(), f"{name}-wanted")
-        sets = table(_shingles(docs, wanted, shingle), f"{name}-shingles")
-        return table(_linked(_blocks(members, "bytes", table, sets), similarity), f"{name}-links")
-
-    # One hash for all buckets: those of a large group then mostly share their first member.
-    firsts = met.groupBy("grp").agg(F.min_by(F.struct(F.col("same").alias("first"), F.col("sig").alias("first_sig")), F.struct(F.xxhash64("same"), "same")).alias("x"))
-    met = table(met.join(table(firsts.select("grp", "x.*"), "firsts"), "grp").where("same <> first"), "met-others")
-    differ = sum((F.bit_count(F.element_at("sig", i).bitwiseXOR(F.element_at("first_sig", i))) for i in range(1, SIGNATURE + 1)), F.lit(0))
-    stars = met.where(differ <= int(LOOSE * 64 * SIGNATURE)).select(F.col("first").alias("grp"), "same").distinct()
-    stars = table(stars, "stars")
+        with scratch() as own:
+            members = own(members.join(classes, "same"), f"{name}-members")
+            wanted = own(members.select("same", "id", "text_hash").distinct(), f"{name}-wanted")
+            sets = own(_shingles(docs, wanted, shingle), f"{name}-shingles")
+            return table(_linked(_blocks(members, "bytes", own, sets), similarity), f"{name}-links")
+
+    def near(pairs: DataFrame, value: str, differ, most: int) -> DataFrame:
+        """Pairs (first, same) whose values differ in at most so many bits."""
+        values = classes.select("same", F.expr(value).alias("value"))
+        pairs = pairs.join(values, "same").join(values.select(F.col("same").alias("first"), F.col("value").alias("first_value")), "first")
+        return pairs.where(differ(F.col("value"), F.col("first_value")) <= most).select("first", "same")
+
+    bits = lambda a, b: F.bit_count(a.bitwiseXOR(b))
+    longs = lambda a, b: sum((bits(F.element_at(a, i), F.element_at(b, i)) for i in range(1, SIGNATURE + 1)), F.lit(0))
+    stars = near(mates, "element_at(sig, 1)", bits, TAG_BITS)
+    stars = table(near(stars, "sig", longs, int(LOOSE * 64 * SIGNATURE)).withColumnRenamed("first", "grp"), "stars")
     hubs = stars.select("grp").distinct().select("grp", F.col("grp").alias("same"), F.lit(False).alias("main"))
     links = decided(hubs.unionByName(stars.withColumn("main", F.lit(True))).withColumn("root", F.col("same")), "star")
 
     roots = table(connected_components(links), "star-roots")
-    met = table(_rooted(met.select("grp", "same", "sig"), roots), "met-roots")
-    members = table(_open_members(met, table).withColumn("bytes", F.lit(8 * SIGNATURE)), "open")
-    near = table(_linked(_blocks(members, "bytes", table), None), "near")
-    clusters = table(connected_components(near), "clusters").select(F.col("root").alias("grp"), F.col("node").alias("same"))
+    several = table(_rooted(mates.where("many").select(F.col("first").alias("grp"), "same"), roots), "mates-roots")
+    members = _open_members(several, table).join(classes.select("same", "sig"), "same").withColumn("bytes", F.lit(8 * SIGNATURE))
+    near_ones = table(_linked(_blocks(table(members, "open"), "bytes", table), None), "near")
+    clusters = table(connected_components(near_ones), "clusters").select(F.col("root").alias("grp"), F.col("node").alias("same"))
     clusters = table(_rooted(clusters, roots), "cluster-roots")
     return links.unionByName(decided(_open_members(clusters, table), "cluster"))
 
@@ -430,16 +442,18 @@ def _grouped(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """id, text_hash, keep_id, keep_hash of each row of docs: the last two name the first row of its group."""
     docs = docs.where("doc_id is not null")
     by = Keying.of(docs.count())
+    own = F.struct("id", "text_hash")
     with scratch() as table:
-        rows = table(_sketches(docs, shingle, by), "sketches")
-        own = F.struct("id", "text_hash")
-        classes = rows.groupBy("same").agg(F.min(own).alias("own"), F.min_by(F.struct("n", "bits", "sig"), own).alias("x"))
-        classes = table(classes.select("same", "own.*", "x.*"), "set-classes")
+        with scratch() as wide:
+            sketches = wide(_sketches(docs, shingle, by), "sketches")
+            rows = table(sketches.select("id", "text_hash", "same"), "sets")
+            classes = sketches.groupBy("same").agg(F.min(own).alias("own"), F.min_by(F.struct("n", "bits", "sig"), own).alias("x"))
+            classes = table(classes.select("same", "own.*", "x.*"), "set-classes")
         roots = table(connected_components(_class_links(docs, classes, by, shingle, similarity, table)), "set-roots")
         named = table(_rooted(classes.select("same", "id", "text_hash"), roots), "named")
         parts = table(named.groupBy("root").agg(F.min(own).alias("keep")).select("root", F.col("keep.id").alias("keep_id"), F.col("keep.text_hash").alias("keep_hash")), "parts")
         of_set = table(named.join(parts, "root").select("same", "keep_id", "keep_hash"), "set-groups")
-        return materialize(rows.select("id", "text_hash", "same").join(of_set, "same").drop("same"), "groups")
+        return materialize(rows.join(of_set, "same").drop("same"), "groups")
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
