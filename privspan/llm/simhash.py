@@ -32,9 +32,9 @@ GENERATOR = 0b101011100011
 
 #: Settings of similar_documents(): width of a sketch, and for up to CORPUS documents the keys of each
 #: and the bits that a key has besides its codeword. A pair at a similarity of 0.8 shares a given key
-#: with a probability of about 0.027, and 0.68 of that if one set contains the other, as its octave
+#: with a probability of about 0.019, and 0.68 of that if one set contains the other, as its octave
 #: differs in the other keys.
-SKETCH, CORPUS, KEYS, EXTRA_BITS = 2048, 1 << 18, 192, 9
+SKETCH, CORPUS, KEYS, EXTRA_BITS = 2048, 1 << 18, 266, 11
 #: Longs of the fingerprint that bucket-mates compare, and the share of their bits that may differ
 #: before shingles are compared; at a similarity of 0.8 it is 0.15.
 SIGNATURE, LOOSE = 16, 0.2
@@ -46,7 +46,7 @@ BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20
 
 @dataclass(frozen=True)
 class Keying:
-    """Keys a document, bits of a key besides its codeword, and transforms whose bits they use up."""
+    """Keys a document, bits of a key besides its codeword, and transforms whose bits hold all codewords."""
 
     keys: int
     extra: int
@@ -58,7 +58,7 @@ class Keying:
         share of 1 / 0.85 more keys for the same links: that bit is equal with a probability of 0.85."""
         more = max(0, math.ceil(math.log2(max(documents, 1) / CORPUS)))
         keys, extra = math.ceil(KEYS * (1 / 0.85) ** more), EXTRA_BITS + more
-        return Keying(keys, extra, math.ceil(keys * (23 + extra) / SKETCH))
+        return Keying(keys, extra, math.ceil(keys * 23 / SKETCH))
 
 
 @lru_cache(maxsize=1)
@@ -222,14 +222,14 @@ def _long_fingerprints(sets: list[np.ndarray], transforms: int) -> np.ndarray:
 def _similarity_keys(packed: np.ndarray, sizes: np.ndarray, by: Keying) -> np.ndarray:
     """The keys of each long fingerprint.
 
-    A key is a codeword, some bits as they are, and the octave of the set's size, whose bounds
-    differ from key to key.
+    A key is a codeword of its own bits, some bits as they are from anywhere, and the octave of the
+    set's size, whose bounds differ from key to key.
     """
     bits = np.unpackbits(packed, axis=1)
-    width = 23 + by.extra
-    words = bits[:, : by.keys * width].reshape(len(bits), by.keys, width).astype(np.int64)
-    index = golay_index(words[:, :, :23] @ (1 << np.arange(23)))
-    extra = words[:, :, 23:] @ (1 << np.arange(by.extra))
+    words = bits[:, : by.keys * 23].reshape(len(bits), by.keys, 23).astype(np.int64)
+    index = golay_index(words @ (1 << np.arange(23)))
+    others = np.random.default_rng(SEED).integers(0, bits.shape[1], (by.keys, by.extra))
+    extra = bits[:, others].astype(np.int64) @ (1 << np.arange(by.extra))
     octave = np.floor(np.log2(np.maximum(sizes, 1))[:, None] + np.arange(by.keys) / by.keys).astype(np.int64)
     return ((np.arange(by.keys) << 6 | octave) << 12 | index) << by.extra | extra
 
@@ -394,10 +394,10 @@ def _class_links(docs: DataFrame, classes: DataFrame, by: Keying, shingle: int,
     """(a, b): links among classes of equal shingle sets, enough to reach all that are found.
 
     One member of each bucket, its first by a hash, is compared with its others, so that the copies
-    of a large group become one root. Then the mates of one first, from whichever bucket, that
-    have several roots name those whose signatures are near, and these, gathered over all
-    firsts, are compared by their sets, in blocks. Two that share a bucket so are compared in
-    one of the two ways, and mates of a first come once however many buckets they share.
+    of a large group become one root. Then the mates of firsts that are near each other, from
+    whichever bucket, if they have several roots, name those whose signatures are near, and
+    these are compared by their sets, in blocks. Two that share a bucket so are compared in one
+    of the two ways, and mates of a group come once however many buckets they share.
     """
     with scratch() as own:
         keys = _keyed(classes.where("n > 0"), by)
@@ -430,7 +430,10 @@ def _class_links(docs: DataFrame, classes: DataFrame, by: Keying, shingle: int,
     links = decided(hubs.unionByName(stars.withColumn("main", F.lit(True))).withColumn("root", F.col("same")), "star")
 
     roots = table(connected_components(links), "star-roots")
-    several = table(_rooted(mates.where("many").select(F.col("first").alias("grp"), "same"), roots), "mates-roots")
+    groups = table(connected_components(stars.select(F.col("grp").alias("a"), F.col("same").alias("b"))), "star-groups")
+    mates = mates.where("many").join(groups.select(F.col("node").alias("first"), F.col("root").alias("grp")), "first", "left")
+    mates = table(mates.select(F.coalesce("grp", "first").alias("grp"), "same").distinct(), "group-mates")
+    several = table(_rooted(mates, roots), "mates-roots")
     members = _open_members(several, table).join(classes.select("same", "sig"), "same").withColumn("bytes", F.lit(8 * SIGNATURE))
     near_ones = table(_linked(_blocks(table(members, "open"), "bytes", table), None), "near")
     clusters = table(connected_components(near_ones), "clusters").select(F.col("root").alias("grp"), F.col("node").alias("same"))

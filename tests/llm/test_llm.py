@@ -518,7 +518,7 @@ def test_keys_grow_with_the_corpus():
     assert simhash.Keying.of(0) == simhash.Keying.of(1000) == simhash.Keying.of(simhash.CORPUS)
     small, large = simhash.Keying.of(simhash.CORPUS), simhash.Keying.of(simhash.CORPUS * 16)
     assert large.extra == small.extra + 4 and large.keys >= small.keys * 0.85**-4
-    assert large.transforms * simhash.SKETCH >= large.keys * (23 + large.extra)
+    assert large.transforms * simhash.SKETCH >= large.keys * 23
 
 
 # Embeddings.
