@@ -229,41 +229,43 @@ def bisect(f, low: float, high: float, target: float, tol: float = 1e-6, increas
 # Kernels (1 - e^(a z^2 / 2 + b z + c))+ of one normal variable.
 
 
-def active(a: float, b: float, c: float) -> list[tuple[float, float]]:
-    """Where a z^2 / 2 + b z + c <= 0."""
-    if abs(a) < 1e-14:
-        if b == 0:
-            return [(-math.inf, math.inf)] if c <= 0 else []
-        return [(-math.inf, -c / b)] if b > 0 else [(-c / b, math.inf)]
-    square = b * b - 2 * a * c
-    if square <= 0:
-        return [] if a > 0 else [(-math.inf, math.inf)]
-    ends = sorted(((-b - math.sqrt(square)) / a, (-b + math.sqrt(square)) / a))
-    return [tuple(ends)] if a > 0 else [(-math.inf, ends[0]), (ends[1], math.inf)]
+def kernel_deltas(a: float, b: float, c):
+    """E (1 - e^q(Z))+ with q(z) = a z^2 / 2 + b z + c, for each of many c.
 
-
-def kernel_delta(a: float, b: float, c: float) -> float:
-    """E (1 - e^q(Z))+ with q(z) = a z^2 / 2 + b z + c.
-
-    For a < 1 the second part is a normal integral with another mean and width; for a >= 1, where
-    the set is bounded, it is summed by Gauss's rule.
+    The set q <= 0 is an interval or what is outside of one. For a < 1 the second part is a normal
+    integral with another mean and width; for a >= 1, where the set is bounded, it is summed by
+    Gauss's rule.
     """
-    phi = lambda z: float(normal_cdf(z)) if math.isfinite(z) else float(z > 0)
-    out = 0.0
-    for lo, hi in active(a, b, c):
-        out += phi(hi) - phi(lo)
-        if a < 1 - 1e-9:
-            scale, middle = math.sqrt(1 - a), b / (1 - a)
-            part = math.exp(c + b * b / (2 * (1 - a))) / scale * (phi(scale * (hi - middle)) - phi(scale * (lo - middle)))
+    c = np.atleast_1d(np.asarray(c, np.float64))
+    none, whole = np.full_like(c, np.nan), np.full_like(c, np.inf)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        if abs(a) < 1e-14:
+            end = -c / b if b else np.where(c <= 0, np.inf, -np.inf)
+            pieces = [(-whole, end) if b >= 0 else (end, whole)]
         else:
-            x, w = legendre(64)
-            part = 0.0
-            for i in range(16):
-                left, right = lo + (hi - lo) * i / 16, lo + (hi - lo) * (i + 1) / 16
-                z = (left + right) / 2 + (right - left) / 2 * x
-                part += float((w * np.exp(a * z * z / 2 + b * z + c - z * z / 2)).sum()) * (right - left) / 2 / math.sqrt(2 * math.pi)
-        out -= part
-    return min(1.0, max(0.0, out))
+            root = np.sqrt(np.where(b * b - 2 * a * c > 0, b * b - 2 * a * c, np.nan))
+            lo, hi = np.minimum((-b - root) / a, (-b + root) / a), np.maximum((-b - root) / a, (-b + root) / a)
+            pieces = [(lo, hi)] if a > 0 else [(-whole, np.where(np.isnan(root), np.inf, lo)), (np.where(np.isnan(root), none, hi), whole)]
+        phi = lambda z: np.where(np.isinf(z), (z > 0) * 1.0, normal_cdf(np.where(np.isinf(z), 0.0, z)))
+        out = np.zeros_like(c)
+        for lo, hi in pieces:
+            if a < 1 - 1e-9:
+                scale, middle = math.sqrt(1 - a), b / (1 - a)
+                front = np.exp(c + b * b / (2 * (1 - a))) / scale
+                part = front * (phi(scale * (hi - middle)) - phi(scale * (lo - middle)))
+            else:
+                x, w = legendre(64)
+                part = np.zeros_like(c)
+                for i in range(16):
+                    left, right = lo + (hi - lo) * i / 16, lo + (hi - lo) * (i + 1) / 16
+                    z = ((left + right) / 2)[:, None] + ((right - left) / 2)[:, None] * x
+                    part += (w * np.exp(a * z * z / 2 + b * z + c[:, None] - z * z / 2)).sum(1) * (right - left) / 2 / math.sqrt(2 * math.pi)
+            out += np.nan_to_num(phi(hi) - phi(lo) - part, nan=0.0)
+    return np.clip(out, 0, 1)
+
+
+def kernel_delta(a: float, b: float, c: float) -> float:
+    return float(kernel_deltas(a, b, c)[0])
 
 
 def kernel_of_gaussians(mu1, sigma1, mu2, sigma2):
@@ -275,7 +277,8 @@ def kernel_of_gaussians(mu1, sigma1, mu2, sigma2):
     inverse = np.linalg.inv(sigma2)
     a, u = np.linalg.eigh(np.eye(len(mu1)) - root @ inverse @ root)
     shift = mu1 - mu2
-    b = -u.T @ root @ inverse @ shift
+    # The normals are symmetric, so an axis may be turned round: b is made positive.
+    b = np.abs(u.T @ root @ inverse @ shift)
     c = 0.5 * (np.linalg.slogdet(sigma1)[1] - np.linalg.slogdet(sigma2)[1]) - 0.5 * shift @ inverse @ shift
     # The ratio of the second density to the first is e^(z'az/2 + b'z + c); a hockey stick at e^eps adds eps.
     return a, b, c

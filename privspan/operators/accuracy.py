@@ -6,13 +6,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import linear, rng
+from . import linear, mechanisms, rng
+from .relational import union_sources
 
 
 def bootstrap_bounds(df: DataFrame, key_column: str, value: str, confidence: float, resamples: int, key: str) -> DataFrame:
     """One row: one- and two-sided empirical bootstrap bounds of the mean.
 
-    key_column numbers the rows 0 .. n-1. Each resample draws n row numbers by the counter
+    key_column numbers the rows 0 .. n-1 (relational.numbered does so). Each resample draws n row numbers by the counter
     generator and meets the values by a join. Lower bounds take the percentile's next higher
     value, upper bounds the next lower.
     """
@@ -72,6 +73,14 @@ def error_ratios(draws: DataFrame, beta: np.ndarray) -> DataFrame:
     return draws.select("draw", (error / size).alias("relative_error"), (size / F.sqrt(linear.total(F.col(c) * F.col(c) for c in names))).alias("size_ratio"))
 
 
+def asymptotic_errors(df: DataFrame, fit: linear.Fit, r_values: list[int], draws: int, key: str) -> DataFrame:
+    """r, mean squared error of draws from the limiting distribution of a sketch of r rows."""
+    names = [f"beta_{i}" for i in range(fit.d)]
+    error = linear.total((F.col(c) - float(b)) * (F.col(c) - float(b)) for c, b in zip(names, fit.beta))
+    parts = [mechanisms.asymptotic_least_squares(df, fit, r, draws, key).agg(F.avg(error).alias("error")).select(F.lit(r).alias("r"), "error") for r in r_values]
+    return union_sources(parts)
+
+
 def squared_errors(solved: DataFrame, beta: np.ndarray) -> DataFrame:
     """draw, squared error of sketched coefficients in the array beta."""
     return solved.select("draw", linear.total((F.element_at("beta", i + 1) - float(b)) * (F.element_at("beta", i + 1) - float(b)) for i, b in enumerate(beta)).alias("error"))

@@ -93,6 +93,12 @@ def ratio_for_delta(delta: float, eps: float, r: int, low: float = 1 + 1e-6, hig
     return bisect(lambda rho: projection_delta(eps, 1 - 1 / rho, r), low, high, delta, 1e-12)
 
 
+def information_eps(eps: float, delta: float) -> float:
+    """Bits of mutual information that (eps, delta) implies, by way of (0, delta')."""
+    total = 2 * (1 - delta) / (math.exp(eps) + 1)
+    return total * total * math.log2(math.e) / 2
+
+
 def tight_terms(gamma: float, n1: int, n2: int, d: int) -> tuple[float, float]:
     """The two errors of an accuracy estimated by nearest neighbours on n1 and tested on n2 samples."""
     c = (1 + 2 / math.sqrt(2 - math.sqrt(3))) ** d - 1

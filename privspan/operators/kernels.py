@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from privspan.functions.numeric import kernel_delta, kernel_of_gaussians
+from privspan.functions.numeric import gamma_q, kernel_delta, kernel_deltas, kernel_of_gaussians
+from privspan.functions.numeric import normal_quantile as quantile
 from privspan.functions.special import normal_quantile
 
 from . import linear, rng
@@ -60,7 +61,7 @@ def lattice(draws: DataFrame, counter: str, a, b, c: float, shifts: int, key: st
 
     @F.pandas_udf("double")
     def inside(c: pd.Series) -> pd.Series:
-        return pd.Series([kernel_delta(float(a[inner]), float(b[inner]), x) for x in c])
+        return pd.Series(kernel_deltas(float(a[inner]), float(b[inner]), c.to_numpy()))
 
     points = draws.select(F.col(counter).cast("long").alias("i")).withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(shifts - 1))))
     us = {f"_u{j}": F.pmod(F.col("i") * s + rng.uniform(key, "shift", F.col("shift"), F.lit(j)), F.lit(1.0)) for j, s in enumerate(_steps(max(len(outer), 1))[: len(outer)])}
@@ -72,6 +73,71 @@ def lattice(draws: DataFrame, counter: str, a, b, c: float, shifts: int, key: st
     return means.agg(F.avg("m").alias("delta"), (F.stddev_samp("m") / F.sqrt(F.count("*"))).alias("stderr"))
 
 
+def estimate(draws: DataFrame, counter: str, a, b, c: float, key: str, method: str = "lattice", shifts: int = 8) -> DataFrame:
+    """One row, delta and stderr: in closed form for one coordinate, else by `monte_carlo` or `lattice`."""
+    if method not in ("monte_carlo", "lattice"):
+        raise ValueError(f"unknown method {method!r}")
+    if len(a) == 1:
+        value = kernel_delta(float(a[0]), float(b[0]), float(c))
+        return draws.agg(F.max(F.lit(value)).alias("delta"), F.max(F.lit(0.0)).alias("stderr"))
+    return monte_carlo(draws, counter, a, b, c, key) if method == "monte_carlo" else lattice(draws, counter, a, b, c, shifts, key)
+
+
+def _batched(points: DataFrame, value: Column, batch: Column) -> DataFrame:
+    """One row: the mean of the values and the standard error of the means of batches."""
+    means = points.withColumn("_batch", batch).withColumn("_value", value).groupBy("_batch").agg(F.avg("_value").alias("m"))
+    return means.agg(F.avg("m").alias("delta"), (F.stddev_samp("m") / F.sqrt(F.count("*"))).alias("stderr"))
+
+
+def _kept(t: Column) -> Column:
+    return F.when(t < 0, 1 - F.exp(F.least(t, F.lit(0.0)))).otherwise(0.0)
+
+
+def radial_monte_carlo(draws: DataFrame, counter: str, l1: float, l2: float, l3: float, c: float, d: int, key: str) -> DataFrame:
+    """One row: E (1 - e^t)+ of t = l1 X^2 / 2 + l2 |Y|^2 / 2 - l3 X + c over d normals (X, Y).
+
+    Each row of draws gives one draw and its opposite, which differ in X only; the error is that of the pairs.
+    """
+    zs = {f"_z{j}": rng.normal(key, "radial", F.col(counter), F.lit(j)) for j in range(d)}
+    rows = draws.select(counter).withColumns(zs)
+    fixed = linear.total([F.col("_z0") * F.col("_z0") * (l1 / 2) + c, *[F.col(z) * F.col(z) * (l2 / 2) for z in list(zs)[1:]]])
+    rows = rows.withColumn("_fixed", fixed)
+    value = (_kept(F.col("_fixed") - l3 * F.col("_z0")) + _kept(F.col("_fixed") + l3 * F.col("_z0"))) / 2
+    return rows.agg(F.avg(value).alias("delta"), (F.stddev_samp(value) / F.sqrt(F.count("*"))).alias("stderr"))
+
+
+def radial_lattice(draws: DataFrame, counter: str, l1: float, l2: float, l3: float, c: float, d: int, key: str, batches: int = 16) -> DataFrame:
+    """The same over a lattice of d dimensions, with a shift for each batch of points."""
+    batch = F.pmod(F.col(counter), F.lit(batches))
+    us = [F.pmod(F.col(counter) * s + rng.uniform(key, "radial.shift", batch, F.lit(j)), F.lit(1.0)) for j, s in enumerate(_steps(d))]
+    rows = draws.select(counter).withColumns({f"_z{j}": normal_quantile(u) for j, u in enumerate(us)})
+    fixed = linear.total([F.col("_z0") * F.col("_z0") * (l1 / 2) + c, *[F.col(f"_z{j}") * F.col(f"_z{j}") * (l2 / 2) for j in range(1, d)]])
+    rows = rows.withColumn("_fixed", fixed)
+    value = (_kept(F.col("_fixed") - l3 * F.col("_z0")) + _kept(F.col("_fixed") + l3 * F.col("_z0"))) / 2
+    return _batched(rows, value, batch)
+
+
+def radial_reduced(draws: DataFrame, counter: str, l1: float, l2: float, l3: float, c: float, d: int, key: str, batches: int = 16) -> DataFrame:
+    """The same for l2 < 0 over X only: |Y|^2 is integrated by the incomplete gamma function."""
+    if l2 >= 0 or d < 2:
+        raise ValueError("l2 < 0 and d > 1 are needed")
+    nu = (d - 1) / 2
+    batch = F.pmod(F.col(counter), F.lit(batches))
+    u = F.pmod(F.col(counter) * _steps(1)[0] + rng.uniform(key, "radial.shift", batch, F.lit(0)), F.lit(1.0))
+
+    @F.pandas_udf("double")
+    def inside(u: pd.Series) -> pd.Series:
+        x = quantile(u.to_numpy())
+        out = 0.0
+        for sign in (1, -1):
+            a = c + l1 * x * x / 2 - sign * l3 * x
+            z = np.maximum(0.0, -a / l2)
+            out = out + gamma_q(nu, z) - np.exp(np.minimum(a, 700) - nu * np.log1p(-l2)) * gamma_q(nu, (1 - l2) * z)
+        return pd.Series(np.maximum(out / 2, 0.0))
+
+    return _batched(draws.select(counter).withColumn("_u", u), inside("_u"), batch)
+
+
 def moments(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Mean and covariance (n - 1) of the columns, from one aggregate."""
     d = len(columns)

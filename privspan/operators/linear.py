@@ -42,11 +42,12 @@ def gram_of_arrays(df: DataFrame, column: str, d: int) -> np.ndarray:
     def partial(batches):
         out = np.zeros((d, d))
         for batch in batches:
-            x = np.array([v for v in batch.column(0).to_pylist() if v is not None and None not in v], np.float64).reshape(-1, d)
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
             out += x.T @ x
         yield pa.RecordBatch.from_pydict({"i": pa.array(range(d * d), pa.int32()), "v": pa.array(out.ravel())})
 
-    rows = df.select(column).mapInArrow(partial, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
+    whole = F.col(column).isNotNull() & ~F.coalesce(F.exists(column, F.isnull), F.lit(True)) & (F.size(column) == d)
+    rows = df.where(whole).select(F.col(column).cast("array<double>")).mapInArrow(partial, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
     return np.array([r.v for r in rows]).reshape(d, d) if rows else np.zeros((d, d))
 
 
@@ -114,6 +115,17 @@ class Fit:
     def covariance(self, r: int) -> np.ndarray:
         return self.rss / r * self.m
 
+    def without(self, x, y: float) -> Fit:
+        """The fit without one row (x, y); LinAlgError if the others' columns then depend on each other."""
+        x = np.asarray(x, np.float64)
+        if 1 - float(x @ self.m @ x) < 1e-10:
+            raise np.linalg.LinAlgError("columns depend on each other without the row")
+        gram, h = self.gram - np.outer(x, x), self.gram @ self.beta - x * y
+        m = inverse(gram)
+        beta = m @ h
+        yy = self.rss + float(self.beta @ self.gram @ self.beta) - y * y
+        return Fit(self.features, self.target, self.n - 1, gram, m, beta, float(max(yy - h @ beta, 0.0)))
+
 
 def fit(df: DataFrame, features: list[str], target: str) -> Fit:
     n, g = gram_matrix(df, [*features, target])
@@ -203,6 +215,24 @@ def smooth_leverage_bound(df: DataFrame, fit_: Fit, ell: float, b: float) -> Dat
     return own.select(F.greatest("own", near, F.lit(float(b) ** -steps)).alias("bound"))
 
 
+def gram_entries(g: np.ndarray) -> list[Column]:
+    """The upper triangle of a small matrix as structs i, j, value."""
+    return [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(float(g[i, j])).alias("value")) for i in range(len(g)) for j in range(i, len(g))]
+
+
+def row_of(df: DataFrame, key: str, value, columns: list[str]) -> np.ndarray:
+    """The values of one row by its key; KeyError if there is none."""
+    row = df.where(F.col(key) == value).select(*columns).first()
+    if row is None:
+        raise KeyError(value)
+    return np.array(row, np.float64)
+
+
+def kronecker_covariance(g: np.ndarray, r: int) -> np.ndarray:
+    """Covariance of all entries of r projections, column after column: one block G for each."""
+    return np.kron(np.eye(r), g)
+
+
 def neighbor_matrix(df: DataFrame, key: str, value, columns: list[str]) -> DataFrame:
     """The neighbour that has one row's columns zeroed."""
     return df.withColumns({c: F.when(F.col(key) == value, 0.0).otherwise(F.col(c)) for c in columns})

@@ -130,7 +130,29 @@ def labelled_samples(df: DataFrame, key_column: str, columns: list[str], left_ou
     for y, rows in ((1, df), (0, linear.neighbor_matrix(df, key_column, left_out, columns))):
         sums = project(rows, key_column, columns, r, draws, f"{key}.{y}", noise)
         parts.append(sums.groupBy("draw").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", F.array(*columns).alias("x")))), lambda s: s["x"])).alias("x")).withColumn("y", F.lit(float(y))))
-    rows = parts[0].unionByName(parts[1])
+    return _with_sentinels(union_sources(parts), eps, key)
+
+
+def _with_sentinels(rows: DataFrame, eps: float, key: str) -> DataFrame:
+    """sample_id, y, x of rows (draw, y, x), with sentinels in place of some samples of the table."""
     drop = (F.col("y") == 1) & (rng.uniform(key, "dummy", F.col("draw")) < 1 - math.exp(-eps))
     dummy: Column = F.transform("x", lambda _: F.lit(SENTINEL))
     return rows.select((F.col("draw") * 2 + F.col("y").cast("long")).alias("sample_id"), "y", F.when(drop, dummy).otherwise(F.col("x")).alias("x"))
+
+
+def labelled_least_squares(df: DataFrame, key_column: str, features: list[str], target: str, left_out, eps: float, draws: int, key: str, r: int) -> DataFrame:
+    """The same of coefficients by sketch and solve."""
+    parts = []
+    for y, rows in ((1, df), (0, linear.neighbor_matrix(df, key_column, left_out, [*features, target]))):
+        solved = sketch_least_squares(rows, key_column, features, target, r, draws, f"{key}.{y}")
+        parts.append(solved.select("draw", F.col("beta").alias("x"), F.lit(float(y)).alias("y")))
+    return _with_sentinels(union_sources(parts), eps, key)
+
+
+def labelled_asymptotic(df: DataFrame, fit: linear.Fit, other: linear.Fit, eps: float, draws: int, key: str, r: int) -> DataFrame:
+    """The same of draws from the limiting distributions of two fits, the second without a row."""
+    parts = []
+    for y, own in ((1, fit), (0, other)):
+        drawn = asymptotic_least_squares(df, own, r, draws, f"{key}.{y}")
+        parts.append(drawn.select("draw", F.array(*[f"beta_{i}" for i in range(own.d)]).alias("x"), F.lit(float(y)).alias("y")))
+    return _with_sentinels(union_sources(parts), eps, key)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .linear import total
@@ -33,11 +33,59 @@ def coerce(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.expr(f"try_cast(`{c}` AS DOUBLE)") for c in columns})
 
 
+#: Cells of one round of exact_median(), and rows that it may bring to the driver.
+CELLS, FEW = 4096, 10_000
+
+
+def exact_median(df: DataFrame, column: str) -> float | None:
+    """The median by rounds: counts by cell say in which cell the middle rank lies, whose range the next divides.
+
+    A round is one partial aggregate with at most CELLS rows; no task holds the column. Nulls
+    and NaN do not count.
+    """
+    x = df.select(F.col(column).cast("double").alias("x")).where("x is not null and not isnan(x)")
+    n, low, high = x.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    if not n:
+        return None
+
+    def at(rank: int, lo: float, hi: float) -> float:
+        while lo < hi:
+            cell = F.least(F.floor((F.col("x") - lo) / ((hi - lo) / CELLS)), F.lit(CELLS - 1))
+            cells = x.where(F.col("x").between(lo, hi)).groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+            for c in cells.orderBy("cell").collect():
+                if rank < c.n:
+                    lo, hi, size = c.lo, c.hi, c.n
+                    break
+                rank -= c.n
+            if size <= FEW:
+                return sorted(r.x for r in x.where(F.col("x").between(lo, hi)).collect())[rank]
+        return lo
+
+    middle = at((n - 1) // 2, low, high)
+    return middle if n % 2 else (middle + at(n // 2, low, high)) / 2
+
+
 def fill_median(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Nulls become the column's median: one aggregate for all columns, joined as a single row."""
-    medians = df.agg(*[F.median(c).alias(f"_median_{c}") for c in columns])
-    out = df.crossJoin(F.broadcast(medians))
-    return out.withColumns({c: F.coalesce(c, f"_median_{c}") for c in columns}).drop(*medians.columns)
+    """Nulls become the column's median; a column without any value stays null."""
+    found = {c: exact_median(df, c) for c in columns}
+    return df.withColumns({c: F.coalesce(c, F.lit(x)) for c, x in found.items() if x is not None})
+
+
+def numbered(df: DataFrame, key: str, name: str = "i", parts: int | None = None) -> DataFrame:
+    """df with the rows' numbers 0 .. n-1 in the order of a key, whatever its gaps.
+
+    Quantiles of the key, as literals, divide the rows into parts; a part's rows are numbered by
+    themselves, from the number of rows in the parts before.
+    """
+    parts = parts or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    shares = [i / parts for i in range(1, parts)]
+    bounds = sorted(set(df.agg(F.percentile_approx(key, shares, 10_000)).first()[0] or [])) if shares else []
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(key))) if bounds else F.lit(0)
+    rows = df.withColumn("_part", part)
+    sizes = dict(rows.groupBy("_part").count().collect())
+    starts = [sum(n for p, n in sizes.items() if p < i) for i in range(len(bounds) + 1)]
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    return rows.withColumn(name, own - 1 + F.element_at(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("_part") + 1)).drop("_part")
 
 
 def indicators(df: DataFrame, column: str, values: dict[str, str]) -> DataFrame:
@@ -54,6 +102,19 @@ def common_values(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.intersect(b).agg(F.count("*").alias("cardinality"))
 
 
+def county_features(parts: list[DataFrame], on: str, population: str, rate: str, trend: str, counts: list[str], others: list[str], target: str) -> DataFrame:
+    """The whole feature preparation: tables joined by their key, features and target of each complete county.
+
+    parts hold text or numbers. Rows whose target is `*` go; a missing rate becomes the median; a trend
+    of `*` counts as stable; counts also come per 100,000 of the population; `constant` is 1.
+    """
+    joined = join_chain(parts, on).where(F.col(target).cast("string") != "*")
+    joined = coerce(joined, [*others, population, rate, *counts, target])
+    joined = indicators(joined.withColumn(trend, F.when(F.col(trend) == "*", "stable").otherwise(F.col(trend))), trend, {"falling": "falling", "rising": "rising"})
+    joined = per_capita(fill_median(joined, [rate]), counts, population)
+    return joined.select(on, *[f"{c}_pc" for c in counts], *others, rate, population, "falling", "rising", *counts, F.lit(1.0).alias("constant"), target)
+
+
 def within_norm(df: DataFrame, column: str, threshold: float) -> DataFrame:
     """Rows whose array has no value of threshold or more, up or down."""
     return df.where(F.array_max(F.transform(column, F.abs)) < threshold)

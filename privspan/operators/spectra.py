@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,6 +67,42 @@ def two_variance_reverse(eps, sigma1, sigma2, mu=0.0) -> Column:
     return F.when(square > 0, found).otherwise(0.0)
 
 
+def two_gaussians(eps, sigma1, sigma2, mu=0.0) -> Column:
+    """N(0, sigma1^2) and N(mu, sigma2^2) in the worse direction, whichever is wider; equal widths shift only."""
+    s1, s2 = col(sigma1), col(sigma2)
+    wide, narrow = F.greatest(s1, s2), F.least(s1, s2)
+    apart = F.greatest(wide, narrow * (1 + 1e-12))
+    both = F.greatest(two_variance(eps, apart, narrow, mu), two_variance_reverse(eps, apart, narrow, mu))
+    return F.when(wide == narrow, mean_shift(eps, s1, F.abs(col(mu)))).otherwise(both)
+
+
+def mahalanobis(covariance: np.ndarray, shift, tol: float = 1e-12) -> float:
+    """Length of a shift in the measure of a covariance, infinite if it leaves the covariance's support."""
+    values, axes = np.linalg.eigh(np.asarray(covariance, np.float64))
+    along, kept = axes.T @ np.asarray(shift, np.float64), values > tol
+    if np.linalg.norm(along[~kept]) > tol:
+        return math.inf
+    return float(np.sqrt((along[kept] ** 2 / values[kept]).sum()))
+
+
+def same_covariance(eps, covariance: np.ndarray, shift, k=1.0, tol: float = 1e-12) -> Column:
+    """k releases of N(0, covariance) against N(shift, covariance)."""
+    length = mahalanobis(covariance, shift, tol)
+    if math.isinf(length):
+        return F.lit(1.0)
+    return mean_shift(eps, 1.0, length, k) if length else F.lit(0.0)
+
+
+def ratio_for_delta(delta, eps, r: int, low: float = 1 + 1e-6, high: float = 2.0, steps: int = 40) -> Column:
+    """Ratio of variances at which the spectrum of r projections reaches delta, for each row: a fixed number of halvings."""
+    start = F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        return let((s["lo"] + s["hi"]) / 2, lambda mid: F.when(projection_by_ratio(eps, mid, r) < col(delta), F.struct(mid.alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi"))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: (s["lo"] + s["hi"]) / 2)
+
+
 def zero_mean(eps, sigma1, sigma2, legacy_eps0: bool = False) -> Column:
     """legacy_eps0 gives 0 at eps = 0, where the true value is the total variation."""
     out = two_variance(eps, sigma1, sigma2)

@@ -13,7 +13,7 @@ from privspan.functions import gx2
 from privspan.operators import accuracy, blackbox, calibrate, kernels, linear, mechanisms, quadrature, relational, rng, spectra
 from privspan.sources.tables import complete_rows, keyed_counties, table
 
-from .registry import ALL, FEATURES, FIT, KEY, PR, QUERIES, SK, SQL, TARGET, TEST_KEY, M, erf_sql, fitted, matrix, nodes_sql, phi_sql, project_sql, q_sql, query, rounded, rounded_projection, scalars, u_sql, z_sql
+from .registry import ALL, BOUNDS, BOUNDS_SQL, FEATURES, FIT, KEY, PR, QUERIES, SK, SQL, TARGET, TEST_KEY, M, boot_sql, erf_sql, fitted, matrix, nodes_sql, phi_sql, project_sql, q_sql, query, rounded, rounded_projection, scalars, u_sql, z_sql
 
 # Sources, projections, joins.
 
@@ -403,26 +403,6 @@ def accuracy_to_delta(spark, d):
     return e.select("label", (F.round(spectra.accuracy_to_delta("acc", 0.01), 9) + 0.0).alias("delta"))
 
 
-@query()
-def minimal_c_rows(spark, d):
-    n = table(spark, d, "nation").select("n_nationkey", (0.1 + F.col("n_nationkey") / 10).alias("eps"))
-    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg((1 / (1000 * F.count("*"))).alias("delta"))
-    return rounded(n.join(c, "n_nationkey").select("n_nationkey", spectra.minimal_c("eps", "delta").alias("c")), 9, "c")
-
-
-@query()
-def quadratic_form_cdf(spark, d):
-    """P(form <= balance / 1000) of a fixed indefinite form of two normals, for every supplier."""
-    s = table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1000).alias("x"))
-
-    @F.pandas_udf("double")
-    def at(x: pd.Series) -> pd.Series:
-        found = gx2.parameters([0.5, -1.0], [[2.0, 0.3], [0.3, 1.0]], [[1.0, 0.2], [0.2, -1.5]])
-        return pd.Series(gx2.cdf(x.to_numpy(), *found))
-
-    return rounded(s.select("s_suppkey", at("x").alias("p")), 8, "p")
-
-
 # Quadrature: d = 3, so nu = 1 and Q(1, z) = e^-z.
 
 
@@ -466,27 +446,6 @@ def delta_pq_right_all_rows(spark, d):
     return rounded(f.rows(m).select(KEY, quadrature.right("p", "q", 3, 20, 0.01).alias("delta")), 7, "delta")
 
 
-@query()
-def delta_pq_all_rows(spark, d):
-    m, f = fitted(spark, d)
-    return rounded(f.rows(m).select(KEY, quadrature.worse("p", "q", 2, 300, 0.001).alias("delta")), 10, "delta")
-
-
-@query()
-def fprime_p(spark, d):
-    m, f = fitted(spark, d)
-    rows = f.rows(m).withColumn("share", F.col("q") - F.col("p"))
-    return rounded(rows.select(KEY, quadrature.left_slope("p", "share", 3, 20, 0.01).alias("slope")), 8, "slope")
-
-
-@query()
-def fprime_u(spark, d):
-    """The same derivative, integrated over probabilities."""
-    m, f = fitted(spark, d)
-    rows = f.rows(m).withColumn("share", F.col("q") - F.col("p"))
-    return rounded(rows.select(KEY, quadrature.left_slope("p", "share", 3, 20, 0.01, by_probability=True).alias("slope")), 6, "slope")
-
-
 # Samplers.
 
 
@@ -500,45 +459,6 @@ def rp_project_noise(spark, d):
     return rounded_projection(mechanisms.project(matrix(spark, d), KEY, ALL, 3, 2, TEST_KEY, 2.5))
 
 
-@query()
-def rp_optimal(spark, d):
-    """Noise for eps = 1, delta = 1e-6 only if the largest leverage needs it."""
-    m = matrix(spark, d)
-    _, g = linear.gram_matrix(m, ALL)
-    top = m.agg(F.max(linear.quadratic(ALL, linear.inverse(g))).alias("p"), F.max(linear.row_norm(ALL)).alias("l")).first()
-    sigma = 0.0 if calibrate.projection_delta(1.0, top.p, 10) <= 1e-6 else calibrate.projection_sigma(top.l, 1.0, 1e-6, 10)
-    return rounded_projection(mechanisms.project(m, KEY, ALL, 10, 1, TEST_KEY, sigma))
-
-
-@query()
-def rp_added_rows(spark, d):
-    m = matrix(spark, d)
-    c = linear.added_rows_constant(m, ALL, 5, 1.0, 1e-6).first().c
-    return rounded_projection(mechanisms.project(m, KEY, ALL, 5, 1, TEST_KEY, c))
-
-
-@query()
-def rp_information(spark, d):
-    m = matrix(spark, d)
-    sigma = mechanisms.information_noise(linear.least_column_rest(m, ALL).first().c, 5, 0.1)
-    return rounded_projection(mechanisms.project(m, KEY, ALL, 5, 1, TEST_KEY, sigma))
-
-
-@query()
-def rp_tested(spark, d):
-    """Propose, test, release with a public bound of 20 on rows."""
-    m = matrix(spark, d)
-    n, g = linear.gram_matrix(m, ALL)
-    unit = m.agg(F.count("*")).select(rng.laplace(TEST_KEY, "ptr", 1.0, F.lit(0))).first()[0]
-    sigma = calibrate.tested_projection_sigma(float(np.linalg.eigvalsh(g).min()), 20.0, 1.0, 1e-6, 10, unit)
-    return rounded_projection(mechanisms.project(m, KEY, ALL, 10, 1, TEST_KEY, sigma))
-
-
-@query()
-def rp_by_distribution(spark, d):
-    return rounded_projection(mechanisms.project_by_distribution(matrix(spark, d), ALL, 4, 3, TEST_KEY))
-
-
 @query(f"WITH {M}, {project_sql(8, 3)}, {SK} SELECT draw::INT AS draw, round((c*u-b*v)/(a*c-b*b), 7) + 0 AS b1, round((a*v-b*u)/(a*c-b*b), 7) + 0 AS b2 FROM sg")
 def sketch_ls(spark, d):
     solved = mechanisms.sketch_least_squares(matrix(spark, d), KEY, FEATURES, TARGET, 8, 3, TEST_KEY)
@@ -560,31 +480,6 @@ def gaussian_ls_draws(spark, d):
     return rounded(mechanisms.output_noise(m, f, 0.5, 100, TEST_KEY), 7, "beta_0", "beta_1")
 
 
-@query()
-def gaussian_ls_calibrated(spark, d):
-    m, f = fitted(spark, d)
-    s = linear.sensitivity(m, f, KEY).first().sensitivity
-    return rounded(mechanisms.output_noise(m, f, calibrate.gaussian_sigma(s, 1.0, 1e-6), 100, TEST_KEY), 7, "beta_0", "beta_1")
-
-
-@query()
-def optimal_ls_draws(spark, d):
-    """No noise if the largest leverages already satisfy eps = 1 at delta = 1e-6, else the least noise that does."""
-    m, f = fitted(spark, d)
-    top = f.rows(m).agg(F.max("p").alias("p"), F.max("q").alias("q"), F.max(linear.row_norm(ALL)).alias("l")).first()
-    private = calibrate.least_squares_delta(top.p, top.q, 2, 20, 1.0) <= 1e-6
-    sigma = 0.0 if private else calibrate.least_squares_sigma(top.l, 2, 20, 1.0, 1e-6)
-    return rounded(mechanisms.asymptotic_least_squares(m, f, 20, 100, TEST_KEY, sigma), 7, "beta_0", "beta_1")
-
-
-@query()
-def fixed_residual_ls_draws(spark, d):
-    m = linear.normalize_features(matrix(spark, d), ALL)
-    f = linear.fit(m, FEATURES, TARGET)
-    sigma = calibrate.fixed_residual_sigma(1.0, 10.0, 2, 20, 5.0, 1e-6)
-    return rounded(mechanisms.asymptotic_least_squares(m, f, 20, 100, TEST_KEY, sigma, 10.0), 7, "beta_0", "beta_1")
-
-
 # Accuracy.
 
 
@@ -601,33 +496,10 @@ def rp_dot_product_acc(spark, d):
     return rounded(accuracy.product_correlation(m, mechanisms.project(m, KEY, ALL, 6, 4, TEST_KEY), ALL, 6), 7, "correlation")
 
 
-@query()
-def ls_error_ratio(spark, d):
-    m, f = fitted(spark, d)
-    return rounded(accuracy.error_ratios(mechanisms.asymptotic_least_squares(m, f, 20, 100, TEST_KEY), f.beta), 7, "relative_error", "size_ratio")
-
-
-@query()
-def experimental_accuracy_by_r(spark, d):
-    m, f = fitted(spark, d)
-    parts = [accuracy.squared_errors(mechanisms.sketch_least_squares(m, KEY, FEATURES, TARGET, r, 4, TEST_KEY), f.beta).agg(F.avg("error").alias("error")).select(F.lit(r).alias("r"), "error") for r in (4, 8)]
-    return rounded(relational.union_sources(parts), 7, "error")
-
-
-_BOOT = f"""WITH v AS (SELECT c_custkey - 1 AS i, c_acctbal AS v FROM customer), n AS (SELECT count(*) AS n, avg(v) AS mid FROM v),
-w AS (SELECT rep, least(floor({u_sql('boot', 'rep', 'j')} * n)::BIGINT, n - 1) AS i FROM n, range(0,20) a(rep), range(0, (SELECT count(*) FROM customer)) b(j)),
-ms AS (SELECT list(m ORDER BY m) AS ms FROM (SELECT rep, avg(v) AS m FROM w JOIN v USING (i) GROUP BY rep))
-SELECT round(2*mid-ms[ceil(0.9*19)::INT+1], 6) AS lb_one_sided, round(2*mid-ms[ceil(0.95*19)::INT+1], 6) AS lb_two_sided,
-round(2*mid-ms[floor(0.1*19)::INT+1], 6) AS ub_one_sided, round(2*mid-ms[floor(0.05*19)::INT+1], 6) AS ub_two_sided FROM ms, n"""
-
-
-@query(_BOOT.replace("c_custkey - 1 AS i", "row_number() OVER (ORDER BY c_custkey) - 1 AS i"))
+@query(f"WITH vs AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS i, c_acctbal AS v FROM customer), {boot_sql('vs', 0.9, 20)} SELECT {BOUNDS_SQL} FROM bb")
 def bootstrap_bounds(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", "c_acctbal")
-    low = c.agg(F.min("c_custkey").alias("low"))
-    numbered = c.crossJoin(F.broadcast(low)).select((F.col("c_custkey") - F.col("low")).alias("i"), "c_acctbal")
-    out = accuracy.bootstrap_bounds(numbered, "i", "c_acctbal", 0.9, 20, TEST_KEY)
-    return rounded(out, 6, *out.columns)
+    numbered = relational.numbered(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_custkey")
+    return rounded(accuracy.bootstrap_bounds(numbered, "i", "c_acctbal", 0.9, 20, TEST_KEY), 6, *BOUNDS)
 
 
 # Black box.
@@ -669,43 +541,12 @@ def tight_bound(spark, d):
     return table(spark, d, "events").agg(F.count("*").alias("n"), F.round(F.max(F.lit(calibrate.tight_bound(0.01, n, n, 2, 1.0))), 7).alias("bound"))
 
 
-@query()
-def estimator_pipeline(spark, d):
-    """Labelled projections of the customers' balances and of the neighbour without customer 1, through nearest neighbours."""
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias(KEY), (F.col("c_acctbal") / 1000).alias("x1"))
-    samples = mechanisms.labelled_samples(c, KEY, ["x1"], 1, 0.1, 400, TEST_KEY)
-    return rounded(blackbox.estimate(samples.where("sample_id % 4 < 2"), samples.where("sample_id % 4 >= 2"), 0.1), 7, "estimated_delta", "accuracy", "low", "high")
-
-
-@query()
-def mlp_accuracy(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), (F.col("label") % 2).alias("y"))
-    return blackbox.network_accuracy(e.where("vec_id % 5 <> 0"), e.where("vec_id % 5 = 0"), 64)
-
-
 # Kernels and accounting.
 
-_PAIR = ["l_quantity", "l_extendedprice"]
-
-
-def _two_tables(spark, d):
-    li = table(spark, d, "lineitem").select("l_returnflag", (F.col("l_quantity") / 10).alias("l_quantity"), (F.col("l_extendedprice") / 1e4).alias("l_extendedprice"))
-    return li.where("l_returnflag = 'A'"), li.where("l_returnflag = 'R'")
-
-
-@query()
-def ndis_mc(spark, d):
-    a, b, c = kernels.between(*_two_tables(spark, d), _PAIR)
-    return rounded(kernels.monte_carlo(table(spark, d, "orders"), "o_orderkey", a, b, c + 0.001, TEST_KEY), 10, "delta", "stderr")
-
-
-@query()
-def ndis_lattice(spark, d):
-    a, b, c = kernels.between(*_two_tables(spark, d), _PAIR)
-    return rounded(kernels.lattice(table(spark, d, "orders"), "o_orderkey", a, b, c + 0.001, 4, TEST_KEY), 10, "delta", "stderr")
-
-
 @query("SELECT vec_id, (list_position(list_transform(embedding[1:8], lambda x: abs(x)), list_max(list_transform(embedding[1:8], lambda x: abs(x)))) - 1)::INT AS inner_index FROM embeddings")
 def innermost_index(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("a"), F.slice("embedding", 9, 8).alias("b"))
     return e.select("vec_id", kernels.innermost_column("a", "b").cast("int").alias("inner_index"))
+
+
+from . import calibrated, estimated  # noqa: E402, F401  they register their queries
