@@ -492,13 +492,13 @@ def neighbor_covariance(spark, d):
 _A = "0.5*(2*ln(1-w*w/((1-p)*rss))-ln(1-p)+20*w*w/(rss*(1-p)-w*w)-20*pow(w,4)*(1-p)/(w*w*rss*(1-p*p)-pow(w,4)-rss*rss*p*(1-p)*(1-p)))"
 
 
-@query(f"""WITH {FIT}, k AS (SELECT *, rss-w*w/(1-p) AS rest, 1/rest AS c1, (rest-rss)/(rss*rest) AS c2 FROM r) SELECT row_id, round({_A}, 5) + 0 AS a, round(c1*x1*x1+c2*g11, 8) + 0 AS q_0_0, round(c1*x1*x2+c2*g12, 8) + 0 AS q_0_1, round(c1*x2*x2+c2*g22, 8) + 0 AS q_1_1 FROM k, g""")
+@query(f"""WITH {FIT}, k AS (SELECT *, rss-w*w/(1-p) AS rest, 1/rest AS c1, (rest-rss)/(rss*rest) AS c2 FROM r) SELECT row_id, {mantissa_sql(_A)} AS a, round(c1*x1*x1+c2*g11, 8) + 0 AS q_0_0, round(c1*x1*x2+c2*g12, 8) + 0 AS q_0_1, round(c1*x2*x2+c2*g22, 8) + 0 AS q_1_1 FROM k, g""")
 def asymptotic_threshold(spark, d):
     """The constant and the quadratic form of the log ratio of outputs with and without each row, at r = 20."""
     m, f = fitted(spark, d)
     q = asymptotic.quadratic_form(f)
-    cells = {"a": asymptotic.threshold(f, 20), "q_0_0": q[0][0], "q_0_1": q[0][1], "q_1_1": q[1][1]}
-    return rounded(rounded(f.rows(m).select(KEY, *[v.alias(k) for k, v in cells.items()]), 8, *cells), 5, "a")
+    cells = {"q_0_0": q[0][0], "q_0_1": q[0][1], "q_1_1": q[1][1]}
+    return rounded(f.rows(m).select(KEY, mantissa(asymptotic.threshold(f, 20)).alias("a"), *[v.alias(k) for k, v in cells.items()]), 8, *cells)
 
 
 @query(f"""WITH {FIT}, k AS (SELECT *, rss/((rss-w*w/(1-p))-rss) AS c, i11*x1+i12*x2 AS v1, i12*x1+i22*x2 AS v2 FROM r WHERE abs(w) > 0.01)
