@@ -69,10 +69,9 @@ def held_out() -> F.Column:
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node of edges(a, b): root is the smallest node reachable.
 
-    Alternates large and small stars until nothing changes. Each star is one partial aggregate
-    per node, written to the shared folder, and one join with it, which AQE broadcasts or splits:
-    a node with very many links needs no task of its own. Loops and repeated edges are allowed;
-    no edges give no rows.
+    Alternates large and small stars until nothing changes. Each star is one partial aggregate per
+    node and one join, and every round is written to the shared folder. Loops and repeated edges
+    are allowed; no edges give no rows.
     """
     now = SharedTable(
         edges.where("a <> b and a is not null and b is not null")
@@ -83,17 +82,16 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     before = None
     while True:
         both = now.df.unionByName(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = SharedTable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
-        large = both.join(least.df, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = SharedTable(large.unionByName(least.df.where("m < u").select("u", F.col("m").alias("v"))).distinct(), name)
-        floor = SharedTable(large.df.groupBy("u").agg(F.min("v").alias("m")), name)
-        small = large.df.join(floor.df, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = SharedTable(small.unionByName(floor.df.select("u", F.col("m").alias("v"))).distinct(), name)
-        for old in (now, least, large, floor):
-            old.drop()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
+        floor = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(floor, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = SharedTable(small.unionByName(floor.select("u", F.col("m").alias("v"))).distinct(), name)
+        now.drop()
         now = after
         seen = now.df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if before == (seen.n, seen.h):
+        if not seen.n or before == (seen.n, seen.h):
             break
         before = (seen.n, seen.h)
     roots = now.df.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))

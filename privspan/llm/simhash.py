@@ -430,7 +430,8 @@ def _class_links(docs: DataFrame, classes: DataFrame, by: Keying, shingle: int,
     links = decided(hubs.unionByName(stars.withColumn("main", F.lit(True))).withColumn("root", F.col("same")), "star")
 
     roots = table(connected_components(links), "star-roots")
-    groups = table(connected_components(stars.select(F.col("grp").alias("a"), F.col("same").alias("b"))), "star-groups")
+    between = stars.join(hubs.select("same"), "same", "left_semi").select(F.col("grp").alias("a"), F.col("same").alias("b"))
+    groups = table(connected_components(between), "hub-groups")
     mates = mates.where("many").join(groups.select(F.col("node").alias("first"), F.col("root").alias("grp")), "first", "left")
     mates = table(mates.select(F.coalesce("grp", "first").alias("grp"), "same").distinct(), "group-mates")
     several = table(_rooted(mates, roots), "mates-roots")
