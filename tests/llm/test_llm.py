@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import itertools
 import random
+import re
 import time
 import zlib
 from html.parser import HTMLParser
@@ -787,7 +788,9 @@ def test_license_scan_equals_brute_force(spark):
         texts += [t, f"{noise(40)} {t.upper()} {noise(90)}", f"{noise(7)}\n{broken}", " ".join(w[: len(w) // 2])]
     texts += [None, "", "too few words", noise(2000)]
     of, shingler = licenses.classes(licenses.TEMPLATES), licenses.Shingler()
-    got = {(r.doc_id, r.license_id): (r.containment, r.first_word) for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    table = spark.createDataFrame(sorted(licenses.TEMPLATES.items()), "license_id string, text string")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("license_id", F.lit("own"))
+    got = {(r.doc_id, r.license_id): (r.containment, r.first_word) for r in licenses.scan_licenses(df, table).collect()}
     want = {}
     for i, t in enumerate(texts):
         s = shingler(t or "")
@@ -805,7 +808,45 @@ def test_license_scan_equals_brute_force(spark):
         licenses.classes({"short": "two words"})
 
 
+def test_found_templates_stand_together_in_the_text(spark, monkeypatch):
+    """Against shares over windows at every place, counted from words: what stands in a window of the template's length is
+    found, and what is found stands in a window of half as many words more."""
+    g = random.Random(13)
+    words = lambda t: re.findall(r"[^\W_]+", t.lower())
+    runs = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    names = ["ISC", "Zlib", "Apache-2.0-notice", "GPL-3.0-notice", "MIT-statement"]
+    texts = []
+    for name in names:
+        w = words(licenses.TEMPLATES[name])
+        for broken in (0, 2, 5, 12, 30):
+            copy = list(w)
+            for _ in range(broken * len(w) // 100):
+                copy[g.randrange(len(w))] = "changed"
+            texts.append(" ".join([g.choice(w) for _ in range(g.randrange(200))] + copy + [g.choice(w) for _ in range(g.randrange(100))]))
+    table = spark.createDataFrame([(n, licenses.TEMPLATES[n]) for n in names], "license_id string, text string")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.license_id): r.containment for r in licenses.scan_licenses(df, table).collect()}
+    for i, t in enumerate(texts):
+        own = runs(words(t))
+        for name in names:
+            template = set(runs(words(licenses.TEMPLATES[name])))
+            n = len(runs(words(licenses.TEMPLATES[name])))
+            share = lambda width: max(len(set(own[s : s + width]) & template) / len(template) for s in range(max(len(own) - width, 0) + 1))  # noqa: B023, E731
+            if share(n) >= 0.8:
+                assert got[i, name] >= share(n) - 1e-12
+            if (i, name) in got:
+                assert got[i, name] <= share(2 * n) + 1e-12
+    monkeypatch.setattr(licenses, "MOST_TEMPLATES", 2)
+    again = licenses.scan_licenses(df.unionByName(df.limit(3)), table)
+    assert {(r.doc_id, r.license_id): r.containment for r in again.collect()} == got
+    assert licenses.scan_licenses(df.where("false"), table).count() == 0 and licenses.scan_licenses(df, table.where("false")).count() == 0
+
+
 def test_shipped_statements_are_found(docs):
+    shipped = {r.license_id: r.text for r in licenses.shipped_templates(docs.sparkSession).collect()}
+    whole = [(i, f"before {t} after") for i, t in enumerate(shipped.values())]
+    rows = licenses.scan_licenses(docs.sparkSession.createDataFrame(whole, "doc_id long, text string")).collect()
+    assert {(i, n) for i, n in enumerate(shipped)} <= {(r.doc_id, r.license_id) for r in rows if r.containment == 1}
     got = {(r.doc_id, r.license_id) for r in licenses.scan_licenses(docs).collect()}
     for r in docs.collect():
         for name, t in licenses.TEMPLATES.items():
