@@ -63,7 +63,8 @@ def covariances(fit: Fit) -> tuple[list[list[Column]], list[list[Column]]]:
 
 
 def spectrum_1d(rows: DataFrame, fit: Fit, r: float, eps: str) -> DataFrame:
-    """rows with delta, for one feature: the set where the ratio passes e^eps is an interval; no interval gives 0."""
+    """rows with delta, for one feature. Where the ratio passes e^eps is an interval, or what is outside of one
+    if the form is negative; no such set gives 0."""
     if fit.d != 1:
         raise ValueError("one feature is needed")
     (own,), (other,) = means(fit, r)
@@ -72,6 +73,7 @@ def spectrum_1d(rows: DataFrame, fit: Fit, r: float, eps: str) -> DataFrame:
     point = F.try_divide(2 * (F.col("_a") - F.col(eps)), F.col("_q"))
     rows = rows.withColumn("_x", F.when(point > 0, F.sqrt(F.greatest(point, F.lit(0.0)))))
     inside = lambda m, s: normal_cdf((F.col("_x") - F.col(m)) / F.col(s)) - normal_cdf((-F.col("_x") - F.col(m)) / F.col(s))
-    value = inside("_m", "_s") - F.exp(eps) * inside("_n", "_t")
+    rows = rows.withColumns({"_i": inside("_m", "_s"), "_j": inside("_n", "_t")})
+    value = F.when(F.col("_q") > 0, F.col("_i") - F.exp(eps) * F.col("_j")).otherwise(1 - F.col("_i") - F.exp(eps) * (1 - F.col("_j")))
     delta = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)), F.lit(0.0))
-    return rows.withColumn("delta", delta).drop("_a", "_q", "_m", "_n", "_s", "_t", "_x")
+    return rows.withColumn("delta", delta).drop("_a", "_q", "_m", "_n", "_s", "_t", "_x", "_i", "_j")

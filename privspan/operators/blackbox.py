@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .calibrate import odd_neighbours, tight_bound
 from .relational import without_dummies
 
-#: Training points of one block.
+#: Training points of one block, and test points of one group on average.
 BLOCK = 4096
 
 
@@ -49,7 +49,8 @@ def nearest(train: DataFrame, test: DataFrame, k: int) -> DataFrame:
                 )
 
     blocks = train.select(F.col("train_id").cast("long"), "x", F.col("y").cast("double")).mapInArrow(pack, "ids binary, points binary, ys binary")
-    tests = test.groupBy(F.pmod(F.xxhash64("test_id"), F.lit(64)).alias("part"), (F.monotonically_increasing_id() % 1024).alias("slot")).agg(F.collect_list(F.struct("test_id", "x")).alias("tests"))
+    groups = max(math.ceil(test.count() / BLOCK), 1)
+    tests = test.groupBy(F.pmod(F.xxhash64("test_id"), F.lit(groups)).alias("part")).agg(F.collect_list(F.struct("test_id", "x")).alias("tests"))
 
     def meet(batches):
         for batch in batches:
@@ -78,13 +79,56 @@ def vote(found: DataFrame) -> DataFrame:
     return found.groupBy("test_id").agg(F.rint(F.avg("y")).alias("predicted"))
 
 
-def nearest_on_line(train: DataFrame, test: DataFrame, k: int) -> DataFrame:
+def nearest_on_line(train: DataFrame, test: DataFrame, k: int, rows_per_part: int = 200_000) -> DataFrame:
     """test_id, predicted, for points on a line (v): each one's k nearest lie among the k before and the k after it.
 
-    One sort of all points together; sums over k training points on either side come from ranks.
+    Quantiles of the training points, as literals, divide the line into parts; each part gets the k
+    last points before it and the k first after it, sorts once, and looks its test points up. Of
+    equal points only the k with the smallest train_id can count, and each value is looked up
+    once, so that no value makes a part large. Ties go by train_id; without training points there are no rows.
     """
-    points = train.select(F.array(F.col("v").cast("double")).alias("x"), "train_id", "y")
-    return vote(nearest(points, test.select("test_id", F.array(F.col("v").cast("double")).alias("x")), k))
+    own = train.select(F.col("v").cast("double").alias("v"), F.col("train_id").cast("long").alias("id"), F.col("y").cast("double").alias("y")).where("v is not null")
+    few = own.withColumn("_n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("_n") <= k).drop("_n")
+    n = few.count()
+    if not n:
+        return test.limit(0).select("test_id", F.lit(0.0).alias("predicted"))
+    parts = max(math.ceil(n / max(rows_per_part, k)), 1)
+    shares = [i / parts for i in range(1, parts)]
+    bounds = sorted(set(few.agg(F.percentile_approx("v", shares, 10_000)).first()[0])) if shares else []
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("v"))) if bounds else F.lit(0)
+    few = few.withColumn("part", part)
+    sizes = dict(few.groupBy("part").count().collect())
+    # For each part, the parts next to it that hold k points together on either side.
+    wanted = []
+    for p in range(len(bounds) + 1):
+        for step, last in ((-1, -1), (1, len(bounds) + 1)):
+            need, q = k, p + step
+            while need > 0 and q != last:
+                wanted.append((q, p, step))
+                need, q = need - sizes.get(q, 0), q + step
+    ends = [(1, F.asc("v")), (-1, F.desc("v"))]
+    halos = [few.withColumn("step", F.lit(step)).withColumn("_n", F.row_number().over(Window.partitionBy("part").orderBy(order, "id"))).where(F.col("_n") <= k).drop("_n") for step, order in ends]
+    pairs = train.sparkSession.createDataFrame(wanted or [(-1, -1, 0)], "part int, target int, step int")
+    near = halos[0].unionByName(halos[1]).join(F.broadcast(pairs), ["part", "step"]).select(F.col("target").alias("part"), "v", "id", "y")
+    asked = test.select(F.col("v").cast("double").alias("v")).where("v is not null").distinct().select(part.alias("part"), "v", F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("y"))
+
+    def look_up(table: pa.Table) -> pa.Table:
+        v, y = (table[c].to_numpy() for c in ("v", "y"))
+        is_test = table["id"].is_null().to_numpy()
+        ids = table["id"].fill_null(0).to_numpy()
+        at = np.nonzero(~is_test)[0]
+        before, after = at[np.lexsort((ids[at], -v[at]))], at[np.lexsort((ids[at], v[at]))]
+        values, predicted = v[is_test], np.empty(is_test.sum())
+        left, right = len(at) - np.searchsorted(v[after], values, "right"), np.searchsorted(v[after], values, "right")
+        for i, x in enumerate(values):
+            found = np.concatenate([before[left[i] : left[i] + k], after[right[i] : right[i] + k]])
+            order = np.lexsort((ids[found], np.abs(v[found] - x)))[:k]
+            predicted[i] = np.rint(y[found[order]].mean())
+        return pa.table({"v": values, "predicted": predicted})
+
+    rows = few.select("part", "v", "id", "y").unionByName(near).unionByName(asked)
+    found = rows.groupBy("part").applyInArrow(look_up, "v double, predicted double")
+    return test.select("test_id", F.col("v").cast("double").alias("v")).join(found, "v").select("test_id", "predicted")
 
 
 def accuracy_with_dummies(predicted: DataFrame, dropped: int) -> Column:

@@ -514,8 +514,9 @@ def asymptotic_means(spark, d):
 r AS (SELECT row_id, x1, y-b*x1 AS w, x1*x1/g AS p, rss, g FROM m, s),
 k AS (SELECT *, rss-w*w/(1-p) AS rest, rss/(rest-rss) AS c, x1*x1/rest+(rest-rss)/(rss*rest)*g AS qq, {_A.replace('2*ln', 'ln')} AS a FROM r WHERE abs(w) > 0.01),
 e AS (SELECT *, 2*(a-eps)/qq AS pt FROM k, (VALUES (0.0001::DOUBLE),(0.001),(0.01)) t(eps)),
-n AS (SELECT *, sqrt(greatest(pt,0)) AS pp, -sqrt(20)*w*c/(1+c*p)*x1/g AS mu, sqrt(rss/g) AS sg, -sqrt(20)*w*(1+c)/((1-p)*(1+c*p))*x1/g AS nu, sqrt(rest/(g-x1*x1)) AS ng FROM e)
-SELECT row_id, eps, round(CASE WHEN pt > 0 THEN least(1, greatest(0, {phi_sql('(pp-mu)/sg')}-{phi_sql('(-pp-mu)/sg')}-exp(eps)*({phi_sql('(pp-nu)/ng')}-{phi_sql('(-pp-nu)/ng')}))) ELSE 0 END, 7) + 0 AS delta FROM n""")
+n AS (SELECT *, sqrt(greatest(pt,0)) AS pp, -sqrt(20)*w*c/(1+c*p)*x1/g AS mu, sqrt(rss/g) AS sg, -sqrt(20)*w*(1+c)/((1-p)*(1+c*p))*x1/g AS nu, sqrt(rest/(g-x1*x1)) AS ng FROM e),
+ni AS (SELECT *, {phi_sql('(pp-mu)/sg')}-{phi_sql('(-pp-mu)/sg')} AS i1, {phi_sql('(pp-nu)/ng')}-{phi_sql('(-pp-nu)/ng')} AS i2 FROM n)
+SELECT row_id, eps, round(CASE WHEN pt > 0 THEN least(1, greatest(0, CASE WHEN qq > 0 THEN i1-exp(eps)*i2 ELSE 1-i1-exp(eps)*(1-i2) END)) ELSE 0 END, 7) + 0 AS delta FROM ni""")
 def ls_spectrum_1d(spark, d):
     """One feature: the least-squares spectrum in closed form over a grid of eps."""
     m = matrix(spark, d)
