@@ -11,6 +11,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from ._shared import materialize
 
@@ -37,7 +38,6 @@ def misra_gries(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
             {"digest": pa.array(list(kept), pa.string()), "low": pa.array(list(kept.values()), pa.int64())}
         )
 
-    # Equal digests of a task are counted first, so that a summary sees each one about once.
     return digests.select("digest", F.lit(1).cast("long").alias("n")).mapInArrow(summarise, "digest string, low long")
 
 
@@ -63,8 +63,8 @@ def exact_groups(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
     Texts are equal when identical after no change; null counts as empty. Of equal texts the row
     with the largest doc_id stays (a null id is the smallest). Rows that repeat a doc_id and its
-    text are all marked kept if that id stays; deduplicate() leaves one of them. An empty table
-    gives no rows; columns other than doc_id and text are not looked at.
+    text are all marked kept if that id stays; deduplicate() leaves one of them. Texts of any
+    length are compared by SHA-256. An empty table gives no rows; columns other than doc_id and text are not looked at.
     """
     rows, winners = heavy_split(docs, counters)
     marked = rows.join(F.broadcast(winners), "digest", "left")
@@ -78,7 +78,11 @@ def exact_groups(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """docs with one row of each text, that with the largest doc_id; all columns stay."""
+    """docs with one row of each text, that with the largest doc_id (null is the smallest); all columns stay.
+
+    Null counts as empty. Of rows with one id and text but other columns, that with the smallest
+    hash of all columns stays. Texts of any length are compared by SHA-256; an empty table gives none.
+    """
     rows, winners = heavy_split(docs, counters)
     heavy = F.broadcast(winners.select("digest", F.col("keep_id").alias("heavy_id"), F.lit(True).alias("heavy")))
     # The row travels as one column, so that no column of docs can clash with these.
@@ -86,7 +90,8 @@ def deduplicate(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     texts = texts.where(F.col("heavy").isNull() | F.col("doc_id").eqNullSafe(F.col("heavy_id")))
     light = rows.join(heavy, "digest", "left_anti").groupBy("digest").agg(F.max("doc_id").alias("light_id"))
     texts = texts.join(light, "digest", "left").where(F.col("doc_id").eqNullSafe(F.coalesce("heavy_id", "light_id")))
-    one = Window.partitionBy("digest").orderBy("digest")
+    hashed = [F.col("row")[f.name] for f in docs.schema.fields if not isinstance(f.dataType, MapType)]
+    one = Window.partitionBy("digest").orderBy(F.xxhash64(*hashed))
     return texts.withColumn("n", F.row_number().over(one)).where("n = 1").select("row.*")
 
 

@@ -174,7 +174,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLE
     """doc_id and score (0 to 1, higher: label 1 likelier) of each row of docs, in one pass without a shuffle.
 
     Whole texts are scored, null and empty ones too; doc_id, lang, source and the labels are no
-    inputs. Without usable labels every score is 0.5. Repeated rows stay and score alike.
+    inputs. Without usable labels every score is 0.5. Repeated rows stay and score alike. Of
+    neighbours equally near, which vote is up to their order in the sample, the same for every
+    document and run. Texts of any length are read whole; an empty table gives no rows.
     """
     return _scored(docs.select("doc_id", "text"), docs, labels, most)
 

@@ -225,7 +225,7 @@ def _compared(fragments: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, spans (lo, hi): the bytes of each document that repeated strings cover.
 
-    Spans can overlap and can go beyond the text's ends.
+    Spans can overlap and can go beyond the text's ends; copies with one id give each place once.
     """
     whole = [F.lit(-BEFORE).alias("lo"), F.lit(LENGTH).alias("hi")]
     seen = materialize(_occurrences(docs), "anchors")
@@ -273,7 +273,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     mixed = met.where("mixed").join(covers, ["anchor", "around"]).select("doc_id", "text_key", "place", "lo", "hi")
     every = met.where("not mixed").select("doc_id", "text_key", "place", *whole).unionByName(mixed)
     span = F.struct((F.col("place") + F.col("lo")).alias("lo"), (F.col("place") + F.col("hi")).alias("hi"))
-    return every.groupBy("doc_id", "text_key").agg(F.collect_list(span).alias("spans"))
+    return every.groupBy("doc_id", "text_key").agg(F.collect_set(span).alias("spans"))
 
 
 def _merged(lo: np.ndarray, hi: np.ndarray, n: int) -> tuple[list[int], list[int]]:
@@ -291,6 +291,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     may repeat within one. Strings are judged on the input, not on what is left. Texts of fewer
     than LENGTH bytes stay whole. Rows that repeat a doc_id and its text are each other's copies.
     A text of one repeated byte has an anchor at each byte, and goes through like any other.
+    An empty table gives no rows; columns other than doc_id and text are not looked at.
     """
     spans = materialize(repeated_spans(docs), "spans")
     spans = spans.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_key", "_key")
