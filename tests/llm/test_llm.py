@@ -885,6 +885,20 @@ def test_pipeline(spark, small, docs, labels):
     assert all(r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest() for r in out)
 
 
+def test_pipeline_of_odd_and_empty_tables(spark, small, odd, none):
+    """Nulls, blanks, repeated rows, long texts and clashing columns pass through all stages; no rows give no rows."""
+    now, before = odd, len(ODD)
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, small).cache()
+        n = now.count()
+        assert n <= (3 * before if "mixing" in name else before)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert now.columns == odd.columns
+        before = n
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, small).count() == 0
+
+
 def test_held_out_rule(spark):
     from privspan.llm._shared import held_out
 
