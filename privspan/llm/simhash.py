@@ -393,11 +393,12 @@ def _open_members(met: DataFrame, table) -> DataFrame:
 def _class_links(docs: DataFrame, classes: DataFrame, by: Keying, shingle: int, similarity: float, table) -> DataFrame:
     """(a, b): links among classes of equal shingle sets, enough to reach all that are found.
 
-    One member of each bucket, its first by a hash, is compared with its others, so that the copies
-    of a large group become one root. Then the mates of firsts that are near each other, from
-    whichever bucket, if they have several roots, name those whose signatures are near, and
-    these are compared by their sets, in blocks. Two that share a bucket so are compared in one
-    of the two ways, and mates of a group come once however many buckets they share.
+    Each bucket has a first member, by one hash for all buckets. A class is compared with the first
+    of the near firsts that it meets, so that the copies of a large group become one root. Then
+    the mates of the firsts of such a group, from whichever bucket, if they have several roots,
+    name those whose signatures are near, and these are compared by their sets, in blocks. Two
+    that share a bucket so are compared in one of the two ways, and mates of a group come once
+    however many buckets they share.
     """
     with scratch() as own:
         keys = _keyed(classes.where("n > 0"), by)
@@ -424,16 +425,19 @@ def _class_links(docs: DataFrame, classes: DataFrame, by: Keying, shingle: int,
 
     bits = lambda a, b: F.bit_count(a.bitwiseXOR(b))
     longs = lambda a, b: sum((bits(F.element_at(a, i), F.element_at(b, i)) for i in range(1, SIGNATURE + 1)), F.lit(0))
-    stars = near(mates, "element_at(sig, 1)", bits, TAG_BITS)
-    stars = table(near(stars, "sig", longs, int(LOOSE * 64 * SIGNATURE)).withColumnRenamed("first", "grp"), "stars")
+    near_firsts = near(near(mates, "element_at(sig, 1)", bits, TAG_BITS), "sig", longs, int(LOOSE * 64 * SIGNATURE))
+    near_firsts = table(near_firsts, "near-firsts")
+    stars = near_firsts.groupBy("same").agg(F.min_by("first", F.struct(F.xxhash64("first"), "first")).alias("grp"))
+    stars = table(stars.select("grp", "same"), "stars")
     hubs = stars.select("grp").distinct().select("grp", F.col("grp").alias("same"), F.lit(False).alias("main"))
     links = decided(hubs.unionByName(stars.withColumn("main", F.lit(True))).withColumn("root", F.col("same")), "star")
 
     roots = table(connected_components(links), "star-roots")
-    between = stars.join(hubs.select("same"), "same", "left_semi").select(F.col("grp").alias("a"), F.col("same").alias("b"))
-    groups = table(connected_components(between), "hub-groups")
-    mates = mates.where("many").join(groups.select(F.col("node").alias("first"), F.col("root").alias("grp")), "first", "left")
-    mates = table(mates.select(F.coalesce("grp", "first").alias("grp"), "same").distinct(), "group-mates")
+    groups = table(connected_components(stars.select(F.col("grp").alias("a"), F.col("same").alias("b"))), "star-groups")
+    left = near_firsts.join(stars.withColumnRenamed("grp", "first"), ["first", "same"], "left_anti")
+    left = left.unionByName(left.select("first", F.col("first").alias("same"))).unionByName(mates.where("many").select("first", "same"))
+    left = left.distinct().join(groups.select(F.col("node").alias("first"), F.col("root").alias("grp")), "first", "left")
+    mates = table(left.select(F.coalesce("grp", "first").alias("grp"), "same").distinct(), "group-mates")
     several = table(_rooted(mates, roots), "mates-roots")
     members = _open_members(several, table).join(classes.select("same", "sig"), "same").withColumn("bytes", F.lit(8 * SIGNATURE))
     near_ones = table(_linked(_blocks(table(members, "open"), "bytes", table), None), "near")
