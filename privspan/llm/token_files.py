@@ -39,7 +39,7 @@ LEVEL = 3
 #: The dictionary learns from this many windows of texts at most, each of so many characters.
 WINDOWS, WINDOW = 2000, 4000
 DICTIONARY_BYTES = 112_640
-#: A task begins another shard beyond either, so that what it holds of an index is bounded.
+#: A task begins another shard when one has grown to either, so that what it holds of an index is bounded.
 SHARD_BYTES, SHARD_DOCUMENTS = 1 << 28, 1 << 20
 #: Pieces of text whose ids a worker remembers, and rows that it encodes at once.
 REMEMBERED, AT_ONCE = 300_000, 256
@@ -184,8 +184,8 @@ class _ShardWriter:
             self.n_bytes.append(len(frame))
             self.at += len(frame)
 
-    def full(self) -> bool:
-        return self.at >= SHARD_BYTES or len(self.offset) >= SHARD_DOCUMENTS
+    def full(self, documents: int) -> bool:
+        return self.at >= SHARD_BYTES or len(self.offset) >= documents
 
     def close(self) -> tuple[str, int, int, int]:
         """name, documents, tokens, bytes."""
@@ -248,7 +248,7 @@ class Entry:
     start: int
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> list[Entry]:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, shard_documents: int = SHARD_DOCUMENTS) -> list[Entry]:
     """Writes the ids of every text of docs (doc_id, text) into a new folder that all executors reach; gives its shards.
 
     Documents come in ascending order of doc_id, null ids first, rows of one id by a hash of their
@@ -272,7 +272,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             if shard is None:
                 shard = _ShardWriter(folder, f"shard-{part:06d}-{len(done):04d}-{uuid.uuid4().hex}", dictionary, code.type.itemsize, batch.column(0).type)
             shard.add(batch.column(0), [zstd.compress(ids + end) for ids in encoded], [len(ids) // code.type.itemsize + 1 for ids in encoded])
-            if shard.full():
+            if shard.full(shard_documents):
                 done, shard = [*done, shard.close()], None
         if shard is not None:
             done.append(shard.close())

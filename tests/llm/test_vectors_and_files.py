@@ -181,10 +181,10 @@ def read_back(spark, folder):
     return sorted((r.start, r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in rows)
 
 
-def written(spark, rows, tmp_path, name="files"):
+def written(spark, rows, tmp_path, **options):
     docs = spark.createDataFrame([(k, t, *OWN[:4]) for k, t in rows], "doc_id long, text string, _h string, _row string, n_tokens string, start string")
-    folder = f"file://{tmp_path}/{name}"
-    return folder, token_files.write_token_files(docs.repartition(3), folder, JSON)
+    folder = f"file://{tmp_path}/files"
+    return folder, token_files.write_token_files(docs.repartition(3), folder, JSON, **options)
 
 
 def test_token_files_give_back_all_ids(spark, library, tmp_path):
@@ -200,11 +200,9 @@ def test_token_files_give_back_all_ids(spark, library, tmp_path):
     assert len(token_files.document_ids(folder, 77)) == 300 and token_files.document_ids(folder, 78) == []
 
 
-def test_shards_are_rolled_over_and_lost_ones_ignored(spark, library, tmp_path, monkeypatch):
-    monkeypatch.setattr(token_files, "AT_ONCE", 10)
-    monkeypatch.setattr(token_files._ShardWriter, "full", lambda self: len(self.offset) >= 20)
-    rows = [(i, f"document {i}") for i in range(100)]
-    folder, entries = written(spark, rows, tmp_path)
+def test_shards_are_rolled_over_and_lost_ones_ignored(spark, library, tmp_path):
+    rows = [(i, f"document {i}") for i in range(1200)]
+    folder, entries = written(spark, rows, tmp_path, shard_documents=100)
     (tmp_path / "files" / "shard-000000-0000-of-a-lost-task").write_bytes(b"half")
     got = read_back(spark, folder)
     assert len(entries) >= 5 and [(k, ids) for _, k, ids in got] == plain_files(library, rows)
