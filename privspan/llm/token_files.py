@@ -41,8 +41,8 @@ WINDOWS, WINDOW = 2000, 4000
 DICTIONARY_BYTES = 112_640
 #: A task begins another shard when one has grown to either, so that what it holds of an index is bounded.
 SHARD_BYTES, SHARD_DOCUMENTS = 1 << 28, 1 << 20
-#: Pieces of text whose ids a worker remembers, and rows that it encodes at once.
-REMEMBERED, AT_ONCE = 300_000, 256
+#: Pieces of text whose ids a worker remembers, twice over, and rows that it encodes at once.
+REMEMBERED, AT_ONCE = 400_000, 256
 
 
 def _place(folder: str) -> tuple[pa.fs.FileSystem, str]:
@@ -73,14 +73,20 @@ def _write_whole(folder: str, name: str, data: bytes) -> None:
 #: start or nothing else: texts may be cut there. Texts with any other blank or invisible character are not cut.
 _PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 _OTHER_BLANK = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
+#: Without these a text is cut before every space and new line.
+_RUN = re.compile(r"[ \t\n\r]{2}|\A[ \n]|[ \n]\Z|[\t\r\0]")
 _WORD = re.compile(r" [^ \t\n\r]+")
+#: A new line, a word of Latin letters and punctuation other than an apostrophe: a token run each, whatever stands around them.
+_PLAIN = re.compile(r"(\n?)( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class Encoder:
     """Ids of texts by the tokenizers library, packed little-endian; strings of special tokens are ordinary text.
 
-    A byte-level tokenizer without a normalizer sees each piece of text once: pieces that are not
-    remembered are encoded together, and the lengths of their tokens tell where each ends.
+    A byte-level tokenizer without a normalizer sees each piece of text once. Pieces that are not
+    remembered are encoded together, and the lengths of their tokens tell where each ends; a plain
+    word goes to the library's model as it is, since nothing can divide it before. The pieces seen
+    last stay when others are forgotten.
     """
 
     def __init__(self, path: str):
@@ -98,26 +104,52 @@ class Encoder:
         for token, i in self.library.get_vocab().items():
             self.length[i] = len(token)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        # The byte-level alphabet: printable Latin-1 stands for itself, other bytes for the characters from 256 on.
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.alphabet = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(printable))}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _run(self, piece: str) -> bytes:
+        """Ids of a piece that is one run of the tokenizer's pattern."""
+        found = self.known.get(piece) or self.older.get(piece)
+        if found is None:
+            run = piece.encode().decode("latin-1").translate(self.alphabet)
+            found = np.array([t.id for t in self.library.model.tokenize(run)], self.type).tobytes()
+        self.known[piece] = found
+        return found
+
     def _learn(self, pieces: set[str]) -> None:
-        words = [p for p in pieces if _WORD.fullmatch(p)]
+        words, rest = [], []
+        for p in pieces:
+            found = self.older.get(p)
+            if found is not None:
+                self.known[p] = found
+            elif plain := _PLAIN.fullmatch(p):
+                self.known[p] = b"".join([self._run(run) for run in plain.groups() if run])
+            else:
+                (words if _WORD.fullmatch(p) else rest).append(p)
         if words:
             ids = np.frombuffer(self._whole(["".join(words)])[0], self.type)
             ends = (np.searchsorted(np.cumsum(self.length[ids]), np.cumsum([len(w.encode()) for w in words])) + 1).tolist()
             self.known.update(zip(words, (ids[a:b].tobytes() for a, b in zip([0, *ends], ends))))
-        rest = [p for p in pieces if p not in self.known]
         self.known.update(zip(rest, self._whole(rest)))
 
+    @staticmethod
+    def _pieces(text: str) -> list[str]:
+        if _OTHER_BLANK.search(text):
+            return [text]
+        return _PIECE.findall(text) if _RUN.search(text) else text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_pieces:
             return self._whole(texts)
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        pieces = [_PIECE.findall(t) if not _OTHER_BLANK.search(t) else [t] for t in texts]
-        self._learn({p for own in pieces if len(own) != 1 for p in own}.difference(self.known))
+            self.known, self.older = {}, self.known
+        pieces = [self._pieces(t) for t in texts]
+        self._learn(set().union(*(own for own in pieces if len(own) != 1)).difference(self.known))
         single = iter(self._whole([own[0] for own in pieces if len(own) == 1]))
         return [next(single) if len(own) == 1 else b"".join(map(self.known.__getitem__, own)) for own in pieces]
 
