@@ -73,8 +73,8 @@ def _write_whole(folder: str, name: str, data: bytes) -> None:
 #: start or nothing else: texts may be cut there. Texts with any other blank or invisible character are not cut.
 _PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 _OTHER_BLANK = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
-#: Without these a text is cut before every space and new line.
-_RUN = re.compile(r"[ \t\n\r]{2}|\A[ \n]|[ \n]\Z|[\t\r\0]")
+#: A text without these, and with none of its blanks at an end, is cut before every space and new line.
+_RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\0")
 _WORD = re.compile(r" [^ \t\n\r]+")
 #: A new line, a word of Latin letters and punctuation other than an apostrophe: a token run each, whatever stands around them.
 _PLAIN = re.compile(r"(\n?)( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
@@ -103,6 +103,7 @@ class Encoder:
         self.length = np.zeros(self.library.get_vocab_size(), np.int64)
         for token, i in self.library.get_vocab().items():
             self.length[i] = len(token)
+        self.packed = [i.to_bytes(self.type.itemsize, "little") for i in range(len(self.length))]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         # The byte-level alphabet: printable Latin-1 stands for itself, other bytes for the characters from 256 on.
@@ -117,7 +118,7 @@ class Encoder:
         found = self.known.get(piece) or self.older.get(piece)
         if found is None:
             run = piece.encode().decode("latin-1").translate(self.alphabet)
-            found = np.array([t.id for t in self.library.model.tokenize(run)], self.type).tobytes()
+            found = b"".join([self.packed[t.id] for t in self.library.model.tokenize(run)])
         self.known[piece] = found
         return found
 
@@ -141,7 +142,9 @@ class Encoder:
     def _pieces(text: str) -> list[str]:
         if _OTHER_BLANK.search(text):
             return [text]
-        return _PIECE.findall(text) if _RUN.search(text) else text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+        if any(r in text for r in _RUNS) or text[:1] in " \n" or text[-1:] in " \n":
+            return _PIECE.findall(text)
+        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_pieces:
@@ -180,15 +183,16 @@ def trained_dictionary(docs: DataFrame, tokenizer: str, size: int = DICTIONARY_B
     Texts are chosen by the smallest hashes, and the place of a window by the hash too: the same
     table gives the same dictionary. It decides how small files get, never what they hold.
     """
-    h = F.xxhash64("text")
-    at = F.pmod(h, F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1).cast("int") + 1
-    windows = docs.where(F.length("text") > 0).select(h.alias("h"), F.substring("text", at, F.lit(WINDOW)).alias("w")).distinct().orderBy("h", "w").limit(WINDOWS)
+    rows = docs.select("text", F.xxhash64("text").alias("h")).where(F.length("text") > 0)
+    chosen = F.broadcast(rows.select("h").distinct().orderBy("h").limit(WINDOWS))
+    at = F.pmod("h", F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1).cast("int") + 1
+    windows = rows.join(chosen, "h").groupBy("h").agg(F.min(F.substring("text", at, F.lit(WINDOW))).alias("w"))
 
     def run(batches):
         for _, ids in _encoded(batches, 0, tokenizer):
             yield pa.RecordBatch.from_pydict({"ids": pa.array(ids, pa.binary())})
 
-    samples = sorted(bytes(r.ids) for r in windows.select(F.col("w").cast("binary")).mapInArrow(run, "ids binary").collect() if len(r.ids) >= 16)
+    samples = sorted(bytes(r.ids) for r in windows.select(F.col("w").cast("binary").alias("w")).mapInArrow(run, "ids binary").collect() if len(r.ids) >= 16)
     if len(samples) < 16 or sum(map(len, samples)) < 8 * 1024:
         return b""
     size = min(size, sum(map(len, samples)) // 8)
