@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,36 +35,78 @@ def coerce(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.expr(f"try_cast(`{c}` AS DOUBLE)") for c in columns})
 
 
-#: Cells of one round of exact_median(), and rows that it may bring to the driver.
-CELLS, FEW = 4096, 10_000
+#: Cells of one round of exact_median(), a power of two, and values that it may bring to the driver.
+CELLS, FEW = 1 << 13, 10_000
+
+
+def _ordered(x: np.ndarray) -> np.ndarray:
+    """64-bit words in the order of the doubles, both zeros being one."""
+    bits = (x + 0.0).view(np.uint64)
+    top = np.uint64(1 << 63)
+    return np.where(bits & top, ~bits, bits | top)
+
+
+def _unordered(word: int) -> float:
+    word = word ^ (1 << 63) if word >> 63 else ~word & (1 << 64) - 1
+    return float(np.array([word], np.uint64).view(np.float64)[0])
 
 
 def exact_median(df: DataFrame, column: str) -> float | None:
-    """The median by rounds: counts by cell say in which cell the middle rank lies, whose range the next divides.
+    """The median by rounds over the bits of the doubles, in their order, ROUND_BITS at a time.
 
-    A round is one partial aggregate with at most CELLS rows; no task holds the column. Nulls
-    and NaN do not count.
+    A round counts by the next bits the values that share the bits found before, for both middle
+    ranks at once; each task gives as many rows as there are such bits. There are five rounds at
+    most, whatever the values: infinities count as numbers, nulls and NaN not at all. As soon as
+    FEW values are left they are sorted. The middle of both infinities is NaN.
     """
-    x = df.select(F.col(column).cast("double").alias("x")).where("x is not null and not isnan(x)")
-    n, low, high = x.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    x, most = df.select(F.col(column).cast("double").alias("x")).where("x is not null and not isnan(x)"), CELLS.bit_length() - 1
+
+    def counts(known: dict[int, int], bits: int) -> dict[int, int]:
+        """Values by their first bits + most bits, of those whose first `bits` are known."""
+        shift, before = np.uint64(max(64 - bits - most, 0)), np.array(sorted(known), np.uint64)
+
+        def run(batches):
+            found: dict[int, int] = {}
+            for batch in batches:
+                word = _ordered(batch.column(0).to_numpy(zero_copy_only=False))
+                if bits:
+                    word = word[np.isin(word >> np.uint64(64 - bits), before)]
+                for cell, n in zip(*(a.tolist() for a in np.unique(word >> shift, return_counts=True))):
+                    found[cell] = found.get(cell, 0) + n
+            yield pa.RecordBatch.from_pydict({"cell": pa.array([str(c) for c in found], pa.string()), "n": pa.array(found.values(), pa.int64())})
+
+        return {int(c): n for c, n in x.mapInArrow(run, "cell string, n long").groupBy("cell").agg(F.sum("n")).collect()}
+
+    found = counts({}, 0)
+    n, bits, step = sum(found.values()), most, most
     if not n:
         return None
-
-    def at(rank: int, lo: float, hi: float) -> float:
-        while lo < hi:
-            cell = F.least(F.floor((F.col("x") - lo) / ((hi - lo) / CELLS)), F.lit(CELLS - 1))
-            cells = x.where(F.col("x").between(lo, hi)).groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-            for c in cells.orderBy("cell").collect():
-                if rank < c.n:
-                    lo, hi, size = c.lo, c.hi, c.n
+    below = {rank: rank for rank in {(n - 1) // 2, n // 2}}
+    cell = dict.fromkeys(below, 0)
+    while True:
+        for rank in below:  # the cell of each rank, and its rank within
+            for c in sorted(c for c in found if c >> step == cell[rank]):
+                if below[rank] < found[c]:
+                    cell[rank] = c
                     break
-                rank -= c.n
-            if size <= FEW:
-                return sorted(r.x for r in x.where(F.col("x").between(lo, hi)).collect())[rank]
-        return lo
-
-    middle = at((n - 1) // 2, low, high)
-    return middle if n % 2 else (middle + at(n // 2, low, high)) / 2
+                below[rank] -= found[c]
+        wanted = set(cell.values())
+        if bits >= 64:
+            values = {rank: _unordered(c) for rank, c in cell.items()}
+            break
+        if sum(found[c] for c in wanted) <= FEW:
+            ends = [(_unordered(c << 64 - bits), _unordered((c + 1 << 64 - bits) - 1)) for c in wanted]
+            values = {}
+            for c, (low, high) in zip(wanted, ends):
+                # The last words on either side are NaN, which never occur.
+                low, high = (-np.inf if np.isnan(low) else low), (np.inf if np.isnan(high) else high)
+                here = sorted(r.x + 0.0 for r in x.where(F.col("x").between(low, high)).collect())
+                values |= {rank: here[below[rank]] for rank in below if cell[rank] == c}
+            break
+        step = min(most, 64 - bits)
+        found, bits = counts(wanted, bits), bits + step
+    low, high = min(values.values()), max(values.values())
+    return low if low == high else low / 2 + high / 2
 
 
 def fill_median(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -36,7 +36,10 @@ def laplace(key: str, stream: str, scale: float, *counters: Column) -> Column:
     return -F.signum(u) * F.ln(1 - 2 * F.abs(u)) * scale
 
 
-# Draws for every row, draw and k at once, over numpy: a million normals take some 20 ms.
+# Draws for every row, draw and k at once, over numpy: a million normals take some 30 ms.
+
+#: Tells the hash of the angle from that of the radius.
+ANGLE = 0x9E3779B9
 
 
 def words(key: str, stream: str) -> list[int]:
@@ -62,14 +65,31 @@ def absorbed(start: int | np.ndarray, *parts: np.ndarray) -> np.ndarray:
         return now
 
 
+def cells(key: str, stream: str, draw: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 32-bit words of each pair of draw and k, by keys of their own: pairs agree in both with a probability of 2^-64."""
+    a, b = (absorbed(w, draw, k) for w in words(key, stream)[2:])
+    return a, b
+
+
+def row_words(key: str, stream: str, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of each row, a long."""
+    rows = np.asarray(rows, np.int64).view(np.uint64)
+    low, high = (rows & np.uint64(0xFFFFFFFF)).astype(np.uint32), (rows >> np.uint64(32)).astype(np.uint32)
+    a, b = (absorbed(w, low, high) for w in words(key, stream)[:2])
+    return a, b
+
+
 def grid_normals(key: str, stream: str, rows: np.ndarray, draw: np.ndarray, k: np.ndarray) -> np.ndarray:
     """A standard normal for each row (a long) and each pair of draw and k, by Box and Muller.
 
-    Two 32-bit hashes give radius and angle; two rows or counters agree in both with a probability
-    of 2^-64 only. They are for sketches, not for secrets: a private release needs a secret key.
+    Radius and angle are hashes of both words of the row and of the pair, so that two rows, or two
+    pairs, repeat each other only if 64 bits agree. The radius takes 52 bits: normals reach 8.5.
+    They are for sketches, not for secrets: a private release needs a secret key.
     """
-    rows = np.asarray(rows, np.int64).view(np.uint64)
-    low, high = (rows & np.uint64(0xFFFFFFFF)).astype(np.uint32), (rows >> np.uint64(32)).astype(np.uint32)
-    at = absorbed(draw, k)
-    u, v = (absorbed(absorbed(w, low, high)[:, None] ^ at[None]) for w in words(key, stream)[:2])
-    return np.sqrt(-2 * np.log((u + 0.5) / 2.0**32)) * np.cos((v + 0.5) / 2.0**32 * (2 * math.pi))
+    r, c = row_words(key, stream, rows), cells(key, stream, draw, k)
+    a, b = r[0][:, None] ^ c[0][None], r[1][:, None] ^ c[1][None]
+    with np.errstate(over="ignore"):
+        middle = mix32(a)
+        u, v = mix32(middle ^ b), mix32(mix32(b ^ np.uint32(ANGLE)) ^ a)
+    fine = u * float(1 << 20) + (middle & np.uint32((1 << 20) - 1))
+    return np.sqrt(-2 * np.log((fine + 0.5) / 2.0**52)) * np.cos((v + 0.5) / 2.0**32 * (2 * math.pi))

@@ -31,13 +31,17 @@ def gaussian_mechanism(eps, c) -> Column:
 
 
 def minimal_c(eps, delta, low: float = 1e-6, high: float = 1e2, steps: int = 40) -> Column:
-    """Sensitivity over noise at which the Gaussian mechanism reaches delta, for each row: a fixed number of halvings."""
+    """Sensitivity over noise at which the Gaussian mechanism reaches delta, for each row: a fixed number of halvings.
+
+    Null where delta is not reached between low and high.
+    """
     start = F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi"))
 
     def halve(s: Column, _: Column) -> Column:
         return let((s["lo"] + s["hi"]) / 2, lambda mid: F.when(gaussian_mechanism(eps, mid) < col(delta), F.struct(mid.alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi"))))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: (s["lo"] + s["hi"]) / 2)
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: (s["lo"] + s["hi"]) / 2)
+    return F.when((gaussian_mechanism(eps, F.lit(low)) < col(delta)) & (gaussian_mechanism(eps, F.lit(high)) >= col(delta)), found)
 
 
 def two_sided_tail(a, t) -> Column:
@@ -94,13 +98,17 @@ def same_covariance(eps, covariance: np.ndarray, shift, k=1.0, tol: float = 1e-1
 
 
 def ratio_for_delta(delta, eps, r: int, low: float = 1 + 1e-6, high: float = 2.0, steps: int = 40) -> Column:
-    """Ratio of variances at which the spectrum of r projections reaches delta, for each row: a fixed number of halvings."""
+    """Ratio of variances at which the spectrum of r projections reaches delta, for each row: a fixed number of halvings.
+
+    Null where delta is not reached between low and high: a noise level taken from an end would not be private.
+    """
     start = F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi"))
 
     def halve(s: Column, _: Column) -> Column:
         return let((s["lo"] + s["hi"]) / 2, lambda mid: F.when(projection_by_ratio(eps, mid, r) < col(delta), F.struct(mid.alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi"))))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: (s["lo"] + s["hi"]) / 2)
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: (s["lo"] + s["hi"]) / 2)
+    return F.when((projection_by_ratio(eps, F.lit(low), r) < col(delta)) & (projection_by_ratio(eps, F.lit(high), r) >= col(delta)), found)
 
 
 def zero_mean(eps, sigma1, sigma2, legacy_eps0: bool = False) -> Column:

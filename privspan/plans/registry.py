@@ -194,12 +194,17 @@ def mix_sql(start: str, *words: str, name: str) -> str:
 
 def grid_sql(draws: int, r: int, key: str, table: str = "m", row: str = "row_id", stream: str = "row", tag: str = "") -> str:
     """CTEs that end in el{tag}: rows of the table with draw, k and g, the normal of rng.grid_normals."""
-    u, v = (f"{w}::UBIGINT" for w in rng.words(key, stream)[:2])
+    u, v, a, b = (f"{w}::UBIGINT" for w in rng.words(key, stream))
     word = lambda x, shift: f"(({x})::BIGINT >> {shift}) & 4294967295"
     return f"""hr{tag} AS (SELECT *, {mix_sql(u, word(row, 0), word(row, 32), name='h1')}, {mix_sql(v, word(row, 0), word(row, 32), name='h2')} FROM {table}),
-hc{tag} AS (SELECT draw, k, {mix_sql('draw::UBIGINT', 'k', name='hd')} FROM range(0,{draws}) a(draw), range(0,{r}) b(k)),
-el{tag} AS (SELECT hr{tag}.* EXCLUDE (h1, h2), draw, k, {mix_sql('xor(h1, hd)', name='f1')}, {mix_sql('xor(h2, hd)', name='f2')},
-  sqrt(-2*ln((f1+0.5)/4294967296))*cos((f2+0.5)/4294967296*2*pi()) AS g FROM hr{tag}, hc{tag})"""
+hc{tag} AS (SELECT draw, k, {mix_sql(a, 'draw', 'k', name='d1')}, {mix_sql(b, 'draw', 'k', name='d2')} FROM range(0,{draws}) a(draw), range(0,{r}) b(k)),
+el{tag} AS (SELECT hr{tag}.* EXCLUDE (h1, h2), draw, k, {normal_sql('h1', 'h2', 'd1', 'd2')} AS g FROM hr{tag}, hc{tag})"""
+
+
+def normal_sql(h1: str, h2: str, d1: str, d2: str) -> str:
+    """Select items that end in rng.grid_normals of the words of a row and of a pair of draw and k; the caller names the last."""
+    items = f"xor({h1}, {d1}) AS ca, xor({h2}, {d2}) AS cb, {mix_sql('ca', 'cb', name='f1')}, {mix_sql(f'xor(cb, {rng.ANGLE}::UBIGINT)', 'ca', name='f2')}"
+    return f"{items}, sqrt(-2*ln(((f1*1048576+(f1_0d & 1048575))::DOUBLE+0.5)/4503599627370496.0::DOUBLE))*cos((f2::DOUBLE+0.5)/4294967296*2*pi())"
 
 
 def project_sql(r: int, draws: int, noise: float | str = 0.0, key: str = TEST_KEY, table: str = "m", columns=("x1", "x2", "y"), row: str = "row_id", tag: str = "") -> str:
