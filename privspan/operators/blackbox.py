@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .calibrate import odd_neighbours, tight_bound
-from .relational import without_dummies
+from .relational import SENTINEL_FROM, without_dummies
 
 #: Training points of one block, and test points of one group on average.
 BLOCK = 4096
@@ -154,6 +154,49 @@ def estimate(train: DataFrame, test: DataFrame, eps: float, gamma: float = 0.01)
     return out.select(delta.alias("estimated_delta"), "accuracy", F.greatest(F.lit(0.0), delta - radius).alias("low"), F.least(F.lit(1.0), delta + radius).alias("high"), F.lit(gamma).alias("gamma"), F.lit(n_train).alias("training_size"), F.lit(n_test).alias("validation_size"))
 
 
+#: Numbers of the table's own samples that estimate_each() hands to every task.
+MOST_SHARED = 1 << 22
+
+
+def estimate_each(table: DataFrame, neighbors: DataFrame, eps: float, gamma: float = 0.01) -> DataFrame:
+    """left_out and estimate()'s columns, for every neighbour in one job.
+
+    table: sample_id, y, x; neighbors: left_out, sample_id, y, x, as mechanisms.neighbor_samples
+    gives them. Samples 0 and 1 of every four are for training, 2 and 3 for testing. The table's samples
+    are handed to all tasks: MOST_SHARED numbers at most, or a ValueError. A task holds one neighbour's
+    samples, as many as there are draws.
+    """
+    shared = table.select("sample_id", "y", "x").limit(MOST_SHARED + 1).collect()
+    if sum(len(r.x) for r in shared) > MOST_SHARED:
+        raise ValueError(f"the table's samples hold over {MOST_SHARED} numbers; use estimate() for one neighbour at a time")
+    own = np.array([r.sample_id for r in shared], np.int64), np.array([r.y for r in shared], np.float64), np.array([r.x for r in shared], np.float64)
+
+    def one(group: pa.Table) -> pa.Table:
+        x = group["x"].combine_chunks()
+        x = x.flatten().to_numpy(zero_copy_only=False).reshape(len(group), -1)
+        ids, y, x = (np.concatenate(z) for z in zip(own, (group["sample_id"].to_numpy(), group["y"].to_numpy(), x))) if len(shared) else (group["sample_id"].to_numpy(), group["y"].to_numpy(), x)
+        order = np.argsort(ids, kind="stable")
+        ids, y, x = ids[order], y[order], x[order]
+        real, training = x[:, 0] < SENTINEL_FROM, ids % 4 < 2
+        n_train, n_test = int(training.sum()), int((~training).sum())
+        a, b = np.flatnonzero(training & real), np.flatnonzero(~training & real)
+        k, right = min(10 * odd_neighbours(len(a), 1), len(a)), 0
+        for at in range(0, len(b), max((1 << 20) // max(len(a), 1), 1)) if k else ():
+            q = b[at : at + max((1 << 20) // len(a), 1)]
+            d = np.zeros((len(q), len(a)))
+            for j in range(x.shape[1]):
+                d += (x[q, j, None] - x[None, a, j]) ** 2
+            near = np.argsort(d, axis=1, kind="stable")[:, :k]
+            right += int((np.rint(y[a][near].mean(1)) == y[q]).sum())
+        accuracy = (right + n_test - len(b)) / n_test if n_test else None
+        delta = None if accuracy is None else max(0.0, 1 - 2 * math.exp(eps) * (1 - accuracy))
+        radius = tight_bound(gamma, max(n_train, 1), max(n_test, 1), x.shape[1], eps)
+        low, high = (None, None) if delta is None else (max(0.0, delta - radius), min(1.0, delta + radius))
+        return pa.table({"left_out": group["left_out"][:1], "estimated_delta": pa.array([delta], pa.float64()), "accuracy": pa.array([accuracy], pa.float64()), "low": pa.array([low], pa.float64()), "high": pa.array([high], pa.float64()), "training_size": [n_train], "validation_size": [n_test]})
+
+    return neighbors.groupBy("left_out").applyInArrow(one, "left_out long, estimated_delta double, accuracy double, low double, high double, training_size long, validation_size long")
+
+
 def network_accuracy(train: DataFrame, test: DataFrame, d: int, epochs: int = 30, seed: int = 0) -> DataFrame:
     """One row: accuracy of a network of two hidden layers, trained by Spark's own distributed optimiser."""
     from pyspark.ml.classification import MultilayerPerceptronClassifier

@@ -140,6 +140,37 @@ def _with_sentinels(rows: DataFrame, eps: float, key: str) -> DataFrame:
     return rows.select((F.col("draw") * 2 + F.col("y").cast("long")).alias("sample_id"), "y", F.when(drop, dummy).otherwise(F.col("x")).alias("x"))
 
 
+def neighbor_samples(df: DataFrame, key_column: str, columns: list[str], left_out: Column, eps: float, draws: int, key: str, r: int = 1, noise: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """labelled_samples() for every neighbour at once: (sample_id, y, x) of the table, and (left_out, sample_id, y, x).
+
+    left_out is a condition: each key of its rows is one neighbour. The sketch of a neighbour is
+    that of the table less g(draw, k, row) x_row, so two passes over the table serve all of
+    them, and a neighbour costs r x draws normals. Rows of one key are left out together; null
+    keys are no neighbours. The table's samples are the same for all neighbours.
+    """
+    d = len(columns)
+    flat = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", F.array(*columns).alias("x")))), lambda s: s["x"]))
+    table, whole = (project(df, key_column, columns, r, draws, f"{key}.{y}", noise).groupBy("draw").agg(flat.alias("x")) for y in (1, 0))
+    named = [F.col(c).cast("double").alias(f"c{j}") for j, c in enumerate(columns)]
+    rows = df.where(left_out).where(F.col(key_column).isNotNull()).select(F.col(key_column).cast("long").alias("left_out"), *named)
+    rows = rows.groupBy("left_out").agg(*[F.coalesce(F.sum(f"c{j}"), F.lit(0.0)).alias(f"c{j}") for j in range(d)])
+
+    def run(batches):
+        draw, k = np.divmod(np.arange(draws * r), r)
+        step = max(BLOCK_NORMALS // (draws * r * d), 1)
+        for batch in batches:
+            keys, x = batch.column(0).to_numpy(), np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1)
+            for at in range(0, len(keys), step):
+                own = keys[at : at + step]
+                part = rng.grid_normals(f"{key}.0", "row", own, draw, k)[:, :, None] * x[at : at + step, None]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, r * d), pa.int32()), pa.array(part.ravel()))
+                yield pa.RecordBatch.from_pydict({"left_out": pa.array(np.repeat(own, draws)), "draw": pa.array(np.tile(np.arange(draws, dtype=np.int32), len(own))), "own": lists})
+
+    parts = rows.mapInArrow(run, "left_out long, draw int, own array<double>").join(whole, "draw")
+    parts = parts.select("left_out", (F.col("draw").cast("long") * 2).alias("sample_id"), F.lit(0.0).alias("y"), F.zip_with("x", "own", lambda a, b: a - b).alias("x"))
+    return _with_sentinels(table.withColumn("y", F.lit(1.0)), eps, key), parts
+
+
 def labelled_least_squares(df: DataFrame, key_column: str, features: list[str], target: str, left_out, eps: float, draws: int, key: str, r: int) -> DataFrame:
     """The same of coefficients by sketch and solve."""
     parts = []

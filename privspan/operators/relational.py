@@ -52,7 +52,7 @@ def _unordered(word: int) -> float:
 
 
 def exact_median(df: DataFrame, column: str) -> float | None:
-    """The median by rounds over the bits of the doubles, in their order, ROUND_BITS at a time.
+    """The median by rounds over the bits of the doubles, in their order, some at a time.
 
     A round counts by the next bits the values that share the bits found before, for both middle
     ranks at once; each task gives as many rows as there are such bits. There are five rounds at

@@ -138,6 +138,48 @@ def estimator_bounds(spark, d):
     return rounded(accuracy.bootstrap_bounds(values, "i", "accuracy", 0.9, 20, TEST_KEY), 6, *BOUNDS)
 
 
+# Every customer whose key is divisible by 50 as a neighbour, in one plan.
+
+
+def each_sql(columns: list[str], r: int, eps: float, draws: int, gamma: float = 0.01) -> str:
+    """CTEs after c that end in es (left_out and estimates): mechanisms.neighbor_samples and blackbox.estimate_each."""
+    d = r * len(columns)
+    own = ", ".join(f"p.{c}-e.g*e.{c}" for c in columns)
+    c = f"(pow(1+2/sqrt(2-sqrt(3)), {d})-1)"
+    return f"""{project_sql(r, draws, 0.0, f'{TEST_KEY}.1', 'c', columns, tag='1')}, {project_sql(r, draws, 0.0, f'{TEST_KEY}.0', 'c', columns, tag='0')},
+sm AS (SELECT o.row_id AS left_out, draw*2+1 AS sample_id, 1.0::DOUBLE AS y, x, dummy FROM (SELECT draw, flatten(list([{', '.join(columns)}] ORDER BY k)) AS x, {_dummy(eps)} AS dummy FROM pr1 GROUP BY draw), (SELECT row_id FROM c WHERE row_id % 50 = 0) o
+  UNION ALL SELECT e.row_id, e.draw*2, 0.0, flatten(list([{own}] ORDER BY e.k)), FALSE FROM el0 e JOIN pr0 p ON e.draw = p.draw AND e.k = p.k WHERE e.row_id % 50 = 0 GROUP BY e.row_id, e.draw),
+sz AS (SELECT left_out, count(*) FILTER (sample_id%4 < 2) AS n1, count(*) FILTER (sample_id%4 >= 2) AS n2, count(*) FILTER (sample_id%4 < 2 AND NOT dummy) AS k1, count(*) FILTER (sample_id%4 >= 2 AND NOT dummy) AS k2,
+  ceil(sqrt(k1))::BIGINT AS ro, least(10*(ro+CASE WHEN ro%2 = 0 THEN 1 ELSE 0 END), k1) AS kk FROM sm GROUP BY left_out),
+rk AS (SELECT a.left_out, a.sample_id, a.y AS own, b.y, row_number() OVER (PARTITION BY a.left_out, a.sample_id ORDER BY list_distance(a.x, b.x), b.sample_id) AS place
+  FROM sm a JOIN sm b ON a.left_out = b.left_out WHERE a.sample_id%4 >= 2 AND NOT a.dummy AND b.sample_id%4 < 2 AND NOT b.dummy),
+pd AS (SELECT left_out, sample_id, max(own) AS own, round_even(avg(y), 0) AS guess FROM rk JOIN sz USING (left_out) WHERE place <= kk GROUP BY left_out, sample_id),
+ac AS (SELECT left_out, (count(*) FILTER (own = guess)+max(n2-k2))/(count(*)+max(n2-k2)) AS accuracy, max(n1) AS n1, max(n2) AS n2 FROM pd JOIN sz USING (left_out) GROUP BY left_out),
+es AS (SELECT left_out, greatest(0, 1-2*exp({eps}::DOUBLE)*(1-accuracy)) AS estimated_delta, accuracy, 2*exp({eps}::DOUBLE)*(12*{c}*sqrt(ln(4/{gamma})/(2*n1))+sqrt(ln(4/{gamma})/(2*n2))) AS radius, n1, n2 FROM ac)"""
+
+
+_ALL_C = "c AS (SELECT c_custkey AS row_id, c_acctbal/1000 AS x1, 1.0::DOUBLE AS x2 FROM customer)"
+_EACH = """SELECT left_out, round(estimated_delta, 7) + 0 AS estimated_delta, round(accuracy, 7) AS accuracy, round(greatest(0, estimated_delta-radius), 7) + 0 AS low, round(least(1, estimated_delta+radius), 7) AS high,
+  n1::BIGINT AS training_size, n2::BIGINT AS validation_size FROM es"""
+
+
+def _each(spark, d, columns: list[str], r: int, draws: int):
+    table_samples, neighbors = mechanisms.neighbor_samples(customers(spark, d), KEY, columns, F.col(KEY) % 50 == 0, 0.1, draws, TEST_KEY, r)
+    return blackbox.estimate_each(table_samples, neighbors, 0.1)
+
+
+@query(f"WITH {_ALL_C}, {each_sql(['x1'], 1, 0.1, 100)} {_EACH}")
+def neighbor_report(spark, d):
+    """One estimate for each of the neighbours, from one sketch of the table and what each row adds to it."""
+    return rounded(_each(spark, d, ["x1"], 1, 100), 7, "estimated_delta", "accuracy", "low", "high")
+
+
+@query(f"WITH {_ALL_C}, {each_sql(['x1', 'x2'], 2, 0.1, 60)} {_EACH}")
+def neighbor_report_of_projections(spark, d):
+    """The same of two columns and two projections a sample."""
+    return rounded(_each(spark, d, ["x1", "x2"], 2, 60), 7, "estimated_delta", "accuracy", "low", "high")
+
+
 # The same of least squares. The row left out is that with the largest augmented leverage.
 
 _OUT = "o AS (SELECT row_id AS oid, x1 AS o1, x2 AS o2, y AS oy FROM r ORDER BY r.q DESC, row_id LIMIT 1), m0 AS (SELECT row_id, CASE WHEN row_id = oid THEN 0 ELSE x1 END AS x1, CASE WHEN row_id = oid THEN 0 ELSE x2 END AS x2, CASE WHEN row_id = oid THEN 0 ELSE y END AS y FROM m, o)"
