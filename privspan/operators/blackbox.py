@@ -10,12 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .calibrate import odd_neighbours, tight_bound
+from .neighbors import nearest
 from .relational import SENTINEL_FROM, without_dummies
 
-#: Training points of one block, and test points of one group on average.
-BLOCK = 4096
-
-
 def joint_histogram(df: DataFrame, y: str, x: str) -> DataFrame:
     """x, p0, p1: shares of all rows by outcome and label; the label is 0 or 1."""
     counts = df.groupBy(F.col(x).alias("x")).agg(F.sum(F.when(F.col(y) == 0, 1).otherwise(0)).alias("n0"), F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("n1"))
@@ -28,52 +25,6 @@ def histogram_accuracy(histogram: DataFrame) -> DataFrame:
     return histogram.agg(F.sum(F.greatest("p0", "p1")).alias("accuracy"))
 
 
-def nearest(train: DataFrame, test: DataFrame, k: int) -> DataFrame:
-    """test_id, train_id, y, distance: the k training points nearest to each test point, ties by train_id.
-
-    train: train_id, x (array), y. test: test_id, x. Training points are packed into blocks; each
-    meets every test point once, gives its own k nearest, and only those are ranked together.
-    """
-
-    def pack(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                x = np.array(part.column(1).to_pylist(), np.float64)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "ids": pa.array([part.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False).tobytes()], pa.binary()),
-                        "points": pa.array([x.tobytes()], pa.binary()),
-                        "ys": pa.array([np.array(part.column(2).to_pylist(), np.float64).tobytes()], pa.binary()),
-                    }
-                )
-
-    blocks = train.select(F.col("train_id").cast("long"), "x", F.col("y").cast("double")).mapInArrow(pack, "ids binary, points binary, ys binary")
-    groups = max(math.ceil(test.count() / BLOCK), 1)
-    tests = test.groupBy(F.pmod(F.xxhash64("test_id"), F.lit(groups)).alias("part")).agg(F.collect_list(F.struct("test_id", "x")).alias("tests"))
-
-    def meet(batches):
-        for batch in batches:
-            for tests, ids, points, ys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                q = np.array([t["x"] for t in tests], np.float64)
-                ids, ys = np.frombuffer(ids, np.int64), np.frombuffer(ys, np.float64)
-                p = np.frombuffer(points, np.float64).reshape(len(ids), -1)
-                d = ((q[:, None] - p[None]) ** 2).sum(2) if q.shape[1] <= 8 else np.maximum((q * q).sum(1)[:, None] - 2 * q @ p.T + (p * p).sum(1), 0)
-                order = np.argsort(ids, kind="stable")
-                near = order[np.argsort(d[:, order], axis=1, kind="stable")[:, :k]]
-                rows = np.repeat(np.arange(len(q)), near.shape[1])
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "test_id": pa.array([tests[i]["test_id"] for i in rows], pa.int64()), "train_id": pa.array(ids[near.ravel()]),
-                        "y": pa.array(ys[near.ravel()]), "distance": pa.array(np.sqrt(d[rows, near.ravel()])),
-                    }
-                )
-
-    met = tests.select("tests").crossJoin(blocks).mapInArrow(meet, "test_id long, train_id long, y double, distance double")
-    rank = Window.partitionBy("test_id").orderBy("distance", "train_id")
-    return met.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).drop("rank")
-
-
 def vote(found: DataFrame) -> DataFrame:
     """test_id, predicted: the rounded mean label, halves to even."""
     return found.groupBy("test_id").agg(F.rint(F.avg("y")).alias("predicted"))
