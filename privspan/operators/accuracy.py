@@ -6,29 +6,30 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import linear, mechanisms, rng
+from . import linear, mechanisms, resampling
 from .relational import union_sources
 
 
 def bootstrap_bounds(df: DataFrame, key_column: str, value: str, confidence: float, resamples: int, key: str) -> DataFrame:
     """One row: one- and two-sided empirical bootstrap bounds of the mean.
 
-    key_column numbers the rows 0 .. n-1 (relational.numbered does so). Each resample draws n row numbers by the counter
-    generator and meets the values by a join. Lower bounds take the percentile's next higher
-    value, upper bounds the next lower.
+    key_column numbers the rows 0 .. n-1 (relational.numbered does so; anything else is a ValueError).
+    How often each row comes in a resample is found where it lies (resampling.counts), so that
+    one pass with partial sums does. Lower bounds take the percentile's next higher value, upper
+    bounds the next lower. Null values don't count; without any, and for an empty table, there are no bounds.
     """
-    n = df.count()
-    draws = df.sparkSession.range(n * resamples).select((F.col("id") / n).cast("long").alias("rep"), (F.col("id") % n).alias("i"))
-    draws = draws.withColumn(key_column, F.least(F.floor(rng.uniform(key, "boot", F.col("rep"), F.col("i")) * n).cast("long"), F.lit(n - 1)))
-    means = draws.join(df.select(F.col(key_column).cast("long").alias(key_column), value), key_column).groupBy("rep").agg(F.avg(value).alias("m"))
-    center = df.agg(F.avg(value).alias("center"))
-    deltas = means.agg(F.sort_array(F.collect_list("m")).alias("ms")).crossJoin(center)
+    rows = df.select(F.col(key_column).cast("long").alias("i"), F.col(value).cast("double").alias("v"))
+    n, low, high, keys, center = rows.agg(F.count("*"), F.min("i"), F.max("i"), F.count("i"), F.avg("v")).first()
+    if n and (low, high, keys) != (0, n - 1, n):
+        raise ValueError(f"{key_column} does not number the rows from 0 to {n - 1}")
+    means = resampling.resampled_means(rows, "i", "v", n, resamples, key) if n else df.sparkSession.createDataFrame([], "m double")
+    deltas = means.agg(F.sort_array(F.collect_list("m")).alias("ms")).where(F.size("ms") > 0).withColumn("center", F.lit(center).cast("double"))
     ms, mid = F.col("ms"), F.col("center")
     alpha = 1 - confidence
 
     def at(q: float, higher: bool) -> Column:
         place = q * (resamples - 1)
-        return F.element_at(ms, int(np.ceil(round(place, 9)) if higher else np.floor(round(place, 9))) + 1) - mid
+        return F.try_element_at(ms, F.lit(int(np.ceil(round(place, 9)) if higher else np.floor(round(place, 9))) + 1)) - mid
 
     return deltas.select(
         (mid - at(confidence, True)).alias("lb_one_sided"), (mid - at(1 - alpha / 2, True)).alias("lb_two_sided"),

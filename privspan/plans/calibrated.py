@@ -301,7 +301,7 @@ def _both_bounds(values, names: list[str], confidence: float, resamples: int):
     return rounded(relational.union_sources(parts), 6, *BOUNDS)
 
 
-@query(f"""WITH {FIT}, {draws_sql(20, 100)}, {_RATIOS}, ev AS (SELECT draw AS i, relative_error AS v FROM er), sv AS (SELECT draw AS i, size_ratio AS v FROM er), {boot_sql('ev', 0.95, 50, 'eb')}, {boot_sql('sv', 0.95, 50, 'sb')}
+@query(f"""WITH RECURSIVE {FIT}, {draws_sql(20, 100)}, {_RATIOS}, ev AS (SELECT draw AS i, relative_error AS v FROM er), sv AS (SELECT draw AS i, size_ratio AS v FROM er), {boot_sql('ev', 0.95, 50, 'eb')}, {boot_sql('sv', 0.95, 50, 'sb')}
 SELECT 'relative_error' AS measure, {BOUNDS_SQL} FROM eb UNION ALL SELECT 'size_ratio', {BOUNDS_SQL} FROM sb""")
 def ls_accuracy_bounds(spark, d):
     """Error and length of private coefficients, with bootstrap bounds of their means."""
@@ -313,7 +313,7 @@ def ls_accuracy_bounds(spark, d):
 _DISTANCES = "t AS (SELECT sqrt(sum((x2-x1)*(x2-x1))) AS d10, sqrt(sum((y-x1)*(y-x1))) AS d20, sqrt(sum((y-x2)*(y-x2))) AS d21 FROM m), vs AS (SELECT draw AS i, (sqrt(sum((x2-x1)*(x2-x1))/6)/max(d10)+sqrt(sum((y-x1)*(y-x1))/6)/max(d20)+sqrt(sum((y-x2)*(y-x2))/6)/max(d21))/3 AS v FROM pr, t GROUP BY draw)"
 
 
-@query(f"WITH {M}, {project_sql(6, 40)}, {_DISTANCES}, {boot_sql('vs', 0.95, 30)} SELECT {BOUNDS_SQL} FROM bb")
+@query(f"WITH RECURSIVE {M}, {project_sql(6, 40)}, {_DISTANCES}, {boot_sql('vs', 0.95, 30)} SELECT {BOUNDS_SQL} FROM bb")
 def rp_distance_bounds(spark, d):
     m = matrix(spark, d)
     ratios = accuracy.distance_ratios(m, mechanisms.project(m, KEY, ALL, 6, 40, TEST_KEY), ALL, 6)
@@ -325,7 +325,7 @@ ap AS (SELECT draw, unnest([{', '.join(f'sum({a}*{b})/6' for a in ALL for b in A
 vs AS (SELECT draw AS i, covar_samp(x, z)/(stddev_pop(x)*stddev_pop(z)) AS v FROM ap JOIN ex USING (c) GROUP BY draw)"""
 
 
-@query(f"WITH {M}, {project_sql(6, 40)}, {_PRODUCTS}, {boot_sql('vs', 0.95, 30)} SELECT {BOUNDS_SQL} FROM bb")
+@query(f"WITH RECURSIVE {M}, {project_sql(6, 40)}, {_PRODUCTS}, {boot_sql('vs', 0.95, 30)} SELECT {BOUNDS_SQL} FROM bb")
 def rp_product_bounds(spark, d):
     m = matrix(spark, d)
     found = accuracy.product_correlation(m, mechanisms.project(m, KEY, ALL, 6, 40, TEST_KEY), ALL, 6)

@@ -496,7 +496,7 @@ def rp_dot_product_acc(spark, d):
     return rounded(accuracy.product_correlation(m, mechanisms.project(m, KEY, ALL, 6, 4, TEST_KEY), ALL, 6), 7, "correlation")
 
 
-@query(f"WITH vs AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS i, c_acctbal AS v FROM customer), {boot_sql('vs', 0.9, 20)} SELECT {BOUNDS_SQL} FROM bb")
+@query(f"WITH RECURSIVE vs AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS i, c_acctbal AS v FROM customer), {boot_sql('vs', 0.9, 20)} SELECT {BOUNDS_SQL} FROM bb")
 def bootstrap_bounds(spark, d):
     numbered = relational.numbered(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_custkey")
     return rounded(accuracy.bootstrap_bounds(numbered, "i", "c_acctbal", 0.9, 20, TEST_KEY), 6, *BOUNDS)

@@ -131,7 +131,7 @@ def estimator_report(spark, d):
     return rounded(_report(spark, d), 7, "estimated_delta", "accuracy")
 
 
-@query(f"WITH {_REPORT}, vs AS (SELECT left_out-1 AS i, accuracy AS v FROM ({_DELTAS})), {boot_sql('vs', 0.9, 20)} SELECT {BOUNDS_SQL} FROM bb")
+@query(f"WITH RECURSIVE {_REPORT}, vs AS (SELECT left_out-1 AS i, accuracy AS v FROM ({_DELTAS})), {boot_sql('vs', 0.9, 20)} SELECT {BOUNDS_SQL} FROM bb")
 def estimator_bounds(spark, d):
     """Bootstrap bounds of the accuracy over these neighbours."""
     values = _report(spark, d).select((F.col("left_out") - 1).alias("i"), "accuracy")
