@@ -238,15 +238,22 @@ def boot_sql(source: str, confidence: float, resamples: int, name: str = "bb", t
     at = lambda q, f: f"ms[{f}(round({q}*{resamples - 1}, 9))::INT+1]"
     alpha = 1 - confidence
     a, b = (f"{w}::UBIGINT" for w in rng.words(TEST_KEY, "boot")[:2])
-    words = ["rep", "level", "lo & 4294967295", "lo >> 32"]
+    # Word by word in selects of their own, as an alias that is used twice is planned twice.
+    node = f"(SELECT *, {mix_sql(a, 'rep', name='wa0')}, {mix_sql(b, 'rep', name='wb0')} FROM {name}t WHERE size > 1)"
+    for i, word in enumerate(["level", "lo & 4294967295", "lo >> 32"]):
+        both = ", ".join(mix_sql(f"xor({w}{i}, ({word})::UBIGINT)", name=f"{w}{i + 1}") for w in ("wa", "wb"))
+        node = f"(SELECT *, {both} FROM {node})"
     # The number of k whose distribution function is below u, as resampling.binomial.
-    one = "[exp(lgamma(m+1)-lgamma(k+1)-lgamma(m-k+1)+k*ln(p)+(m-k)*ln(1-p)), 0.0]::DOUBLE[]"
-    below = f"list_reduce(list_transform(range(0, m+1), lambda k: {one}), lambda acc, x: [acc[1]+x[1], acc[2]+CASE WHEN acc[1]+x[1] < u THEN 1 ELSE 0 END]::DOUBLE[], [0.0, 0.0]::DOUBLE[])[2]"
+    wide = "(12*sqrt(m*p*(1-p))+12)"
     return f"""{name}n AS (SELECT count(*) AS n, avg(v) AS mid FROM {source}),
 {name}t AS (SELECT rep, 0::BIGINT AS lo, n AS size, n AS m, 0::BIGINT AS level FROM {name}n, range(0,{resamples}) a(rep) UNION ALL
   SELECT rep, CASE WHEN side = 0 THEN lo ELSE lo+size//2 END, CASE WHEN side = 0 THEN size//2 ELSE size-size//2 END, CASE WHEN side = 0 THEN ml ELSE m-ml END, level+1
-  FROM (SELECT *, CASE WHEN m = 0 THEN 0 ELSE least(m, {below}::BIGINT) END AS ml FROM (SELECT *, (size//2)/size::DOUBLE AS p, {mix_sql(a, *words, name='wa')}, {mix_sql(b, *words, name='wb')},
-    ((wa*1048576+(wb & 1048575))::DOUBLE+0.5)/4503599627370496.0::DOUBLE AS u FROM {name}t WHERE size > 1)), range(0,2) s(side)),
+  FROM (SELECT rep, lo, size, m, level, least(m, min(k)+count(*) FILTER (WHERE cdf < u)) AS ml
+    FROM (SELECT *, sum(q) OVER (PARTITION BY rep, lo ORDER BY k) AS cdf
+      FROM (SELECT *, exp(lgamma(m+1)-lgamma(k+1)-lgamma(m-k+1)+k*ln(p)+(m-k)*ln(1-p)) AS q
+        FROM (SELECT *, unnest(range(greatest(0, floor(m*p-{wide})::BIGINT), least(m, ceil(m*p+{wide})::BIGINT)+1)) AS k
+          FROM (SELECT rep, lo, size, m, level, (size//2)/size::DOUBLE AS p, ((wa3*1048576+(wb3 & 1048575))::DOUBLE+0.5)/4503599627370496.0::DOUBLE AS u FROM {node}))))
+    GROUP BY rep, lo, size, m, level), range(0,2) s(side)),
 {name}s AS (SELECT list(m ORDER BY m) AS ms FROM (SELECT rep, sum(t.m*v)/sum(t.m) AS m FROM {name}t t JOIN {source} x ON t.lo = x.i WHERE t.size = 1 GROUP BY rep)),
 {name} AS (SELECT 2*mid-{at(confidence, 'ceil')} AS lb_one_sided, 2*mid-{at(1 - alpha / 2, 'ceil')} AS lb_two_sided,
   2*mid-{at(alpha, 'floor')} AS ub_one_sided, 2*mid-{at(alpha / 2, 'floor')} AS ub_two_sided FROM {name}s, {name}n)"""
