@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._shared import materialize
 
@@ -88,7 +89,7 @@ class Class:
     stride: int
     minima: list[dict[int, list[int]]]
     least: np.ndarray
-    templates: list[tuple[str, np.ndarray]]
+    templates: list[tuple[str | tuple[str, int], np.ndarray]]
 
 
 def shipped_templates(spark: SparkSession) -> DataFrame:
@@ -97,20 +98,23 @@ def shipped_templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted((TEMPLATES | whole).items()), "license_id string, text string")
 
 
-def _passes(templates: DataFrame) -> Iterator[dict[str, str]]:
-    """The templates in parts that may be broadcast; the driver holds one of them."""
+def _passes(templates: DataFrame) -> Iterator[dict[tuple[str, int], str]]:
+    """The templates in parts that may be broadcast, by id and number; the driver holds one of them."""
     held, words = {}, 0
-    for name, text in templates.select("license_id", "text").orderBy("license_id").toLocalIterator():
-        n = len(WORDS(text))
+    named = templates.select(F.col("license_id").cast("string"), "text").where("license_id is not null and text is not null")
+    for i, (name, text) in enumerate(named.orderBy("license_id", "text").toLocalIterator()):
+        n = len(WORDS(text.lower()))
+        if n < SHINGLE:
+            continue
         if held and (len(held) >= MOST_TEMPLATES or words + n > MOST_WORDS):
             yield held
             held, words = {}, 0
-        held[name] = text
+        held[name, i] = text
         words += n
     yield held
 
 
-def classes(templates: dict[str, str]) -> list[Class]:
+def classes(templates: dict[str, str] | dict[tuple[str, int], str]) -> list[Class]:
     shingler, by = Shingler(), {}
     for name in sorted(templates):
         s = shingler(templates[name])
@@ -160,9 +164,9 @@ def candidates(shingles: np.ndarray, of: Class) -> list[tuple[int, int]]:
     return out
 
 
-def scan(shingles: np.ndarray, of: list[Class]) -> dict[str, tuple[float, int]]:
+def scan(shingles: np.ndarray, of: list[Class]) -> dict:
     """By template: the largest containment and the first shingle of the first window that has it."""
-    best: dict[str, tuple[float, int]] = {}
+    best: dict = {}
     if not len(of) or not _among(shingles, np.sort(np.concatenate([c.least for c in of]))).any():
         return best
     for c in of:
@@ -182,7 +186,9 @@ def scan_licenses(docs: DataFrame, templates: DataFrame | None = None) -> DataFr
     starts, the first of equal ones. Whole texts are scanned without a shuffle, once for each
     part of the templates that may be broadcast. Texts that are null, empty or of fewer than
     SHINGLE words hold no template; repeated rows give repeated results; an empty table of
-    documents or templates gives no rows; other columns are not looked at.
+    documents or templates gives no rows; other columns are not looked at. Templates whose id or
+    text is null, or whose text has fewer than SHINGLE words, are left out. Templates are told
+    apart by row: two texts of one id are both looked for, and each that is found gives a row.
     """
     templates = shipped_templates(docs.sparkSession) if templates is None else templates
     found: list[DataFrame] = []
@@ -194,7 +200,7 @@ def scan_licenses(docs: DataFrame, templates: DataFrame | None = None) -> DataFr
     return reduce(DataFrame.unionByName, found)
 
 
-def _scan(docs: DataFrame, templates: dict[str, str]) -> DataFrame:
+def _scan(docs: DataFrame, templates: dict[tuple[str, int], str]) -> DataFrame:
     of = docs.sparkSession.sparkContext.broadcast(classes(templates))
 
     def run(batches):
@@ -202,7 +208,7 @@ def _scan(docs: DataFrame, templates: dict[str, str]) -> DataFrame:
         for batch in batches:
             rows, out = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                for name, (share, start) in sorted(scan(shingler(text or ""), of.value).items()):
+                for (name, _), (share, start) in sorted(scan(shingler(text or ""), of.value).items()):
                     rows.append(i)
                     out.append((name, share, start))
             name, share, start = zip(*out) if out else ((), (), ())

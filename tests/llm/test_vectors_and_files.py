@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from privspan.llm import lloyd, queries, token_files, whitening
+from privspan.llm import licenses, lloyd, queries, token_files, whitening
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 VECTORS = "vec_id long, embedding array<double>, x string, n string, uid string, cluster string, w string"
@@ -252,3 +252,16 @@ def test_op13_equals_the_library(spark, library, small):
     got = queries.QUERIES["op13_token_files"](spark, small)
     assert got.dtypes == [("doc_id", "bigint"), ("start", "bigint"), ("n_tokens", "bigint"), ("ids_crc32", "bigint")]
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+# Templates of licenses.
+
+
+def test_templates_of_one_id_and_odd_templates(spark):
+    one, two = (" ".join(f"{w}{i}" for i in range(40)) for w in ("alpha", "beta"))
+    rows = [("X", one), ("X", two), ("X", two), ("short", "two words"), ("none", None), (None, one), ("empty", "")]
+    templates = spark.createDataFrame(rows, "license_id string, text string")
+    docs = spark.createDataFrame([(1, f"before {one} after"), (2, two), (3, "nothing of them at all here"), (4, None)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.license_id, r.containment) for r in licenses.scan_licenses(docs, templates).collect())
+    assert got == [(1, "X", 1.0), (2, "X", 1.0), (2, "X", 1.0)]
+    assert licenses.scan_licenses(docs, templates.where("license_id <> 'X'")).count() == 0
