@@ -12,6 +12,7 @@ from privspan.functions import gx2
 from privspan.functions.special import INV_A, INV_B, INV_C, INV_D
 from privspan.operators import accuracy, blackbox, kernels, linear, mechanisms, quadrature, relational
 from privspan.sources.tables import read_matrix, read_range, table, write_batches, write_matrix
+from privspan.streaming.histogram import HistogramState, combined
 
 from .registry import (
     ALL, BOUNDS, BOUNDS_SQL, FEATURES, FIT, KEY, SK, TARGET, TEST_KEY, M, boot_sql, draws_sql, fitted, kernel_sql, matrix, nodes_sql, phi_sql, project_sql, query, rounded, u_sql, z_sql,
@@ -138,6 +139,24 @@ def estimator_bounds(spark, d):
     return rounded(accuracy.bootstrap_bounds(values, "i", "accuracy", 0.9, 20, TEST_KEY), 6, *BOUNDS)
 
 
+# A histogram from batches, one of which comes twice, and from two states that are put together.
+
+
+@query("WITH t AS (SELECT event_type AS x, (value > 100)::INT AS y FROM events) SELECT x, round(count(*) FILTER (y=0)/(SELECT count(*) FROM t), 9) AS p0, round(count(*) FILTER (y=1)/(SELECT count(*) FROM t), 9) AS p1 FROM t GROUP BY x")
+def ede_histogram_batches(spark, d):
+    """The joint histogram of all events from stored counts of four batches in two states; the second batch is delivered twice."""
+    e = table(spark, d, "events").select((F.col("value") > 100).cast("int").alias("y"), "event_type", F.pmod("event_id", F.lit(4)).alias("batch"))
+    states = [HistogramState(spark, _folder(spark)) for _ in range(2)]
+    for batch in (0, 1, 2, 3, 1):
+        states[batch // 2].update(e.where(F.col("batch") == batch), batch, "y", "event_type")
+    found = rounded(combined(states), 9, "p0", "p1")
+    if spark.sparkContext.getCheckpointDir():  # the result no longer needs the states then
+        found = found.checkpoint()
+        for s in states:
+            s.drop()
+    return found
+
+
 # Every customer whose key is divisible by 50 as a neighbour, in one plan.
 
 
