@@ -22,6 +22,8 @@ from .registry import (
 
 _C = "c AS (SELECT c_custkey AS row_id, c_acctbal/1000 AS x1, 1.0::DOUBLE AS x2 FROM customer), c0 AS (SELECT row_id, CASE WHEN row_id = {out} THEN 0 ELSE x1 END AS x1, CASE WHEN row_id = {out} THEN 0 ELSE x2 END AS x2 FROM c)"
 
+_ALL_C = "c AS (SELECT c_custkey AS row_id, c_acctbal/1000 AS x1, 1.0::DOUBLE AS x2 FROM customer)"
+
 
 def customers(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias(KEY), (F.col("c_acctbal") / 1000).alias("x1"), F.lit(1.0).alias("x2"))
@@ -139,6 +141,22 @@ def estimator_bounds(spark, d):
     return rounded(accuracy.bootstrap_bounds(values, "i", "accuracy", 0.9, 20, TEST_KEY), 6, *BOUNDS)
 
 
+# Sketches of many rows, and many draws.
+
+
+@query(f"WITH {_ALL_C}, {project_sql(1200, 2, columns=('x1', 'x2'), table='c')} SELECT draw::INT AS draw, k::INT AS k, round(x1, 6) + 0 AS x1, round(x2, 6) + 0 AS x2 FROM pr")
+def rp_project_wide(spark, d):
+    """1,200 projections of the customers, twice."""
+    return rounded(mechanisms.project(customers(spark, d), KEY, ["x1", "x2"], 1200, 2, TEST_KEY).select("draw", "k", "x1", "x2"), 6, "x1", "x2")
+
+
+@query(f"WITH s AS (SELECT s_suppkey AS row_id, s_acctbal/1000 AS x FROM supplier), {project_sql(1, 20000, columns=('x',), table='s')} SELECT draw::INT AS draw, k::INT AS k, round(x, 6) + 0 AS x FROM pr")
+def rlc_many_draws(spark, d):
+    """20,000 random linear combinations of the suppliers' balances."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias(KEY), (F.col("s_acctbal") / 1000).alias("x"))
+    return rounded(mechanisms.project(s, KEY, ["x"], 1, 20_000, TEST_KEY).select("draw", "k", "x"), 6, "x")
+
+
 # A histogram from batches, one of which comes twice, and from two states that are put together.
 
 
@@ -177,7 +195,6 @@ ac AS (SELECT left_out, (count(*) FILTER (own = guess)+max(n2-k2))/(count(*)+max
 es AS (SELECT left_out, greatest(0, 1-2*exp({eps}::DOUBLE)*(1-accuracy)) AS estimated_delta, accuracy, 2*exp({eps}::DOUBLE)*(12*{c}*sqrt(ln(4/{gamma})/(2*n1))+sqrt(ln(4/{gamma})/(2*n2))) AS radius, n1, n2 FROM ac)"""
 
 
-_ALL_C = "c AS (SELECT c_custkey AS row_id, c_acctbal/1000 AS x1, 1.0::DOUBLE AS x2 FROM customer)"
 _EACH = """SELECT left_out, round(estimated_delta, 7) + 0 AS estimated_delta, round(accuracy, 7) AS accuracy, round(greatest(0, estimated_delta-radius), 7) + 0 AS low, round(least(1, estimated_delta+radius), 7) AS high,
   n1::BIGINT AS training_size, n2::BIGINT AS validation_size FROM es"""
 
