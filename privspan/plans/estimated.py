@@ -145,7 +145,7 @@ def estimator_bounds(spark, d):
 
 
 @query(f"WITH {_ALL_C}, {project_sql(1200, 2, columns=('x1', 'x2'), table='c')} SELECT draw::INT AS draw, k::INT AS k, round(x1, 6) + 0 AS x1, round(x2, 6) + 0 AS x2 FROM pr")
-def rp_project_wide(spark, d):
+def rp_project_r1200(spark, d):
     """1,200 projections of the customers, twice."""
     return rounded(mechanisms.project(customers(spark, d), KEY, ["x1", "x2"], 1200, 2, TEST_KEY).select("draw", "k", "x1", "x2"), 6, "x1", "x2")
 
