@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from privspan.operators import composition
+from privspan.operators import composition, row_sets
 from privspan.sources.tables import table
 
-from .registry import phi_sql, query, rounded
+from .registry import M, nodes_sql, phi_sql, q_sql, query, rounded
 
 # Every customer of a nation releases once; the noise grows with the number of customers, the sensitivity with a name's length.
 
@@ -63,3 +63,29 @@ def composed_releases(spark, d):
     """Bounds of delta of all releases of each nation together, over a coarse grid that SQL can fold too."""
     out = composition.enclosure(composition.state(_releases(spark, d), "nation", "mu", _GRID), _GRID, _EPS)
     return rounded(out, 7, "low", "high")
+
+
+# All orders of a customer are a set. With two columns the two shares are the roots of a quadratic; a tail of two weighted chi
+# squares is an integral over the one of the smaller weight.
+
+_TAIL = f"""CASE WHEN t <= 0 THEN 1 WHEN w1 = 0 THEN 0 ELSE {q_sql(5, 'most/2')} END"""
+
+
+@query(f"""WITH {M.replace('SELECT o_orderkey', 'SELECT o_custkey, o_orderkey')}, {nodes_sql()},
+a AS (SELECT sum(x1*x1)+1 AS g11, sum(x1*y) AS g12, sum(y*y)+1 AS g22, g11*g22-g12*g12 AS det FROM m),
+s AS (SELECT o_custkey AS custkey, count(*) AS n, sum(x1*x1) AS s11, sum(x1*y) AS s12, sum(y*y) AS s22 FROM m GROUP BY 1),
+k AS (SELECT custkey, n, (g22*s11-2*g12*s12+g11*s22)/det AS tr, greatest(0, s11*s22-s12*s12)/det AS dt, tr/2+sqrt(greatest(0, tr*tr/4-dt)) AS k1, CASE WHEN k1 > 0 THEN dt/k1 ELSE 0 END AS k2, -5*(ln(1-k1)+ln(1-k2)) AS shift FROM s, a),
+v AS (SELECT custkey, unnest([0, 1, 2, 3]) AS tail FROM k),
+w AS (SELECT custkey, tail, CASE WHEN tail < 2 THEN 0.01 ELSE -0.01 END::DOUBLE+shift AS t, CASE WHEN tail%2 = 0 THEN k1/(1-k1)/2 ELSE k1/2 END AS w1, CASE WHEN tail%2 = 0 THEN k2/(1-k2)/2 ELSE k2/2 END AS w2,
+  CASE WHEN w2*100 <= t THEN 100 ELSE greatest(t, 0)/w2 END AS most FROM k JOIN v USING (custkey)),
+p AS (SELECT custkey, tail, t, w1, w2, most, (i+0.5+nx/2)*most/8 AS x, nw*most/16 AS part FROM w, nodes, range(0,8) r(i)),
+u AS (SELECT custkey, tail, {_TAIL}+sum(CASE WHEN t > 0 AND w1 > 0 THEN part*pow(x, 4)*exp(-x/2)/768*{q_sql(5, '(greatest(t-w2*x, 0)/(2*w1))')} ELSE 0 END) AS p FROM p GROUP BY custkey, tail, t, w1, most),
+d AS (SELECT custkey, max(p) FILTER (tail = 0) AS p0, max(p) FILTER (tail = 1) AS p1, max(p) FILTER (tail = 2) AS p2, max(p) FILTER (tail = 3) AS p3 FROM u GROUP BY custkey)
+SELECT custkey, n, round(k1, 10) AS share, round(-ln(1-k1)-ln(1-k2), 10) AS log_det, round(least(1, greatest(0, p0-exp(0.01::DOUBLE)*p1)), 8) + 0 AS delta, round(least(1, greatest(0, (1-p3)-exp(0.01::DOUBLE)*(1-p2))), 8) + 0 AS back FROM k JOIN d USING (custkey)""")
+def rp_spectrum_row_sets(spark, d):
+    """Ten projections of two columns, without all orders of any customer, both directions; one is added to both diagonals."""
+    orders, customer = table(spark, d, "orders"), table(spark, d, "customer")
+    joined = orders.join(customer, orders.o_custkey == customer.c_custkey)
+    rows = joined.select(F.col("o_custkey").alias("custkey"), (F.col("c_acctbal") / 1000).alias("x1"), (F.col("o_totalprice") / 100000).alias("y"))
+    out = row_sets.set_spectra(rows, "custkey", ["x1", "y"], 10, 0.01, 1.0, 1.0)
+    return rounded(out.select("custkey", "n", F.round(F.col("shares")[0], 10).alias("share"), F.round("log_det", 10).alias("log_det"), "delta", "back"), 8, "delta", "back")
