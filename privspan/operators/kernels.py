@@ -15,7 +15,7 @@ from privspan.functions.numeric import gamma_q, kernel_delta, kernel_deltas, ker
 from privspan.functions.numeric import normal_quantile as quantile
 from privspan.functions.special import normal_quantile
 
-from . import linear, rng
+from . import linear, rng, sobol
 
 
 def innermost(a: np.ndarray, b: np.ndarray) -> int:
@@ -55,6 +55,13 @@ def lattice(draws: DataFrame, counter: str, a, b, c: float, shifts: int, key: st
 
     counter numbers the rows. The innermost coordinate is integrated in closed form.
     """
+    us = lambda count: [F.pmod(F.col("i") * s + rng.uniform(key, "shift", F.col("shift"), F.lit(j)), F.lit(1.0)) for j, s in enumerate(_steps(max(count, 1))[:count])]
+    points = draws.select(F.col(counter).cast("long").alias("i")).withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(shifts - 1))))
+    return _nested(points, "shift", us(len(a) - 1), a, b, c)
+
+
+def _nested(points: DataFrame, repeat: str, us: list[Column], a, b, c: float) -> DataFrame:
+    """One row: delta and its standard error over repetitions, each the mean over its points; us are the outer coordinates, the one that counts most first."""
     a, b = np.asarray(a, float), np.asarray(b, float)
     inner = innermost(a, b)
     outer = [i for i in sorted(range(len(a)), key=lambda i: -abs(a[i])) if i != inner]
@@ -63,23 +70,32 @@ def lattice(draws: DataFrame, counter: str, a, b, c: float, shifts: int, key: st
     def inside(c: pd.Series) -> pd.Series:
         return pd.Series(kernel_deltas(float(a[inner]), float(b[inner]), c.to_numpy()))
 
-    points = draws.select(F.col(counter).cast("long").alias("i")).withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(shifts - 1))))
-    us = {f"_u{j}": F.pmod(F.col("i") * s + rng.uniform(key, "shift", F.col("shift"), F.lit(j)), F.lit(1.0)) for j, s in enumerate(_steps(max(len(outer), 1))[: len(outer)])}
-    points = points.withColumns(us) if us else points
+    points = points.withColumns({f"_u{j}": u for j, u in enumerate(us)}) if us else points
     zs = {f"_z{j}": normal_quantile(F.col(f"_u{j}")) for j in range(len(outer))}
     points = points.withColumns(zs) if zs else points
     at = _exponent(a[outer], b[outer], c, [F.col(z) for z in zs])
-    means = points.withColumn("value", inside(at)).groupBy("shift").agg(F.avg("value").alias("m"))
+    means = points.withColumn("value", inside(at)).groupBy(repeat).agg(F.avg("value").alias("m"))
     return means.agg(F.avg("m").alias("delta"), (F.stddev_samp("m") / F.sqrt(F.count("*"))).alias("stderr"))
 
 
+def sobol_points(spark, count: int, a, b, c: float, scrambles: int, key: str) -> DataFrame:
+    """The same over scrambled Sobol points, count of them (a power of two) for each scramble; one coordinate is integrated in closed form."""
+    points = sobol.points(spark, count, max(len(a) - 1, 1), scrambles, key)
+    return _nested(points, "scramble", [F.col(f"u{j}") for j in range(len(a) - 1)], a, b, c)
+
+
 def estimate(draws: DataFrame, counter: str, a, b, c: float, key: str, method: str = "lattice", shifts: int = 8) -> DataFrame:
-    """One row, delta and stderr: in closed form for one coordinate, else by `monte_carlo` or `lattice`."""
-    if method not in ("monte_carlo", "lattice"):
+    """One row, delta and stderr: in closed form for one coordinate, else by `monte_carlo`, `lattice` or `sobol`.
+
+    `sobol` takes the next power of two of the number of draws as its number of points for each of `shifts` scrambles.
+    """
+    if method not in ("monte_carlo", "lattice", "sobol"):
         raise ValueError(f"unknown method {method!r}")
     if len(a) == 1:
         value = kernel_delta(float(a[0]), float(b[0]), float(c))
         return draws.agg(F.max(F.lit(value)).alias("delta"), F.max(F.lit(0.0)).alias("stderr"))
+    if method == "sobol":
+        return sobol_points(draws.sparkSession, 1 << max(draws.count() - 1, 0).bit_length(), a, b, c, shifts, key)
     return monte_carlo(draws, counter, a, b, c, key) if method == "monte_carlo" else lattice(draws, counter, a, b, c, shifts, key)
 
 

@@ -48,16 +48,16 @@ def shares_of(sums: np.ndarray, gram: np.ndarray, first: float, second: float) -
 
 
 def projected_deltas(shares: np.ndarray, r: int, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """delta of the table against its neighbour, of the neighbour against the table, and a bound of either's error."""
+    """delta of the table against its neighbour, of the neighbour against the table, and an estimate of either's error."""
     out, back, error = np.ones(len(shares)), np.ones(len(shares)), np.zeros(len(shares))
     fine = np.nonzero((shares < WHOLE).all(1))[0]
     if len(fine):
         k = shares[fine]
         own, other, shift = k / (1 - k) / 2, k / 2, r / 2 * np.log1p(-k).sum(1)
-        (p, e1), (q, e2) = gx2.upper_tails(eps - shift, own, r), gx2.upper_tails(eps - shift, other, r)
-        (bp, e3), (bq, e4) = gx2.upper_tails(-eps - shift, own, r), gx2.upper_tails(-eps - shift, other, r)
+        (p, _, e1), (q, _, e2) = gx2.tails(eps - shift, own, r), gx2.tails(eps - shift, other, r)
+        (_, bp, e3), (_, bq, e4) = gx2.tails(-eps - shift, own, r), gx2.tails(-eps - shift, other, r)
         grown = np.exp(eps)
-        out[fine], back[fine] = np.clip(p - grown * q, 0, 1), np.clip((1 - bq) - grown * (1 - bp), 0, 1)
+        out[fine], back[fine] = np.clip(p - grown * q, 0, 1), np.clip(bq - grown * bp, 0, 1)
         error[fine] = np.maximum(e1 + grown * e2, e4 + grown * e3)
     return out, back, error
 

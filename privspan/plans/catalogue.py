@@ -1,6 +1,6 @@
 """Registered queries and their SQL: sources, linear algebra, spectra, quadrature, samplers, black box and kernels.
 
-Further ones are in calibrated.py, estimated.py and releases.py, which this module brings in.
+Further ones are in calibrated.py, estimated.py, forms.py and releases.py, which this module brings in.
 """
 
 from __future__ import annotations
@@ -549,4 +549,4 @@ def innermost_index(spark, d):
     return e.select("vec_id", kernels.innermost_column("a", "b").cast("int").alias("inner_index"))
 
 
-from . import calibrated, estimated, releases  # noqa: E402, F401  they register their queries
+from . import calibrated, estimated, forms, releases  # noqa: E402, F401  they register their queries

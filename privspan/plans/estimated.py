@@ -316,13 +316,15 @@ def quantile_sql(u: str, name: str) -> str:
   ({phi_sql(f'{name}_0')}-{u})*sqrt(2*pi())*exp({name}_0*{name}_0/2) AS {name}_e, {name}_0-{name}_e/(1+{name}_0*{name}_e/2) AS {name}"""
 
 
+#: Select items that end in v, the mean over the inner coordinate of weight a and slope b, from kz.
+INNER_SQL = f"""b*b-2*a*kz AS disc, sqrt(greatest(disc,0)) AS root, least((-b-root)/a, (-b+root)/a) AS lo, greatest((-b-root)/a, (-b+root)/a) AS hi, sqrt(1-a) AS sc, b/(1-a) AS md, exp(kz+b*b/(2*(1-a)))/sc AS front,
+  CASE WHEN disc > 0 THEN {phi_sql('hi')}-{phi_sql('lo')} ELSE 0 END AS inner1, CASE WHEN disc > 0 THEN {phi_sql('sc*(hi-md)')}-{phi_sql('sc*(lo-md)')} ELSE 0 END AS inner2, CASE WHEN a > 0 THEN inner1-front*inner2 ELSE (1-inner1)-front*(1-inner2) END AS v"""
 _SHIFT = "(i*" + repr(kernels._steps(1)[0]) + "::DOUBLE + " + u_sql("shift", "shift", "0") + ")"
 
 
 @query(f"""WITH {_KERNEL}, od AS (SELECT CASE WHEN abs(a0) >= abs(a1) THEN a0 ELSE a1 END AS a, CASE WHEN abs(a0) >= abs(a1) THEN b0 ELSE b1 END AS b, CASE WHEN abs(a0) >= abs(a1) THEN a1 ELSE a0 END AS oa, CASE WHEN abs(a0) >= abs(a1) THEN b1 ELSE b0 END AS ob, c FROM ke),
 us AS (SELECT shift, {_SHIFT} AS w, w-floor(w) AS u FROM (SELECT o_orderkey AS i FROM orders), range(0,4) t(shift)), zs AS (SELECT shift, {quantile_sql('u', 'z')} FROM us),
-kd AS (SELECT shift, a, b, oa*z*z/2+ob*z+c AS kz, b*b-2*a*kz AS disc, sqrt(greatest(disc,0)) AS root, least((-b-root)/a, (-b+root)/a) AS lo, greatest((-b-root)/a, (-b+root)/a) AS hi, sqrt(1-a) AS sc, b/(1-a) AS md, exp(kz+b*b/(2*(1-a)))/sc AS front,
-  CASE WHEN disc > 0 THEN {phi_sql('hi')}-{phi_sql('lo')} ELSE 0 END AS inner1, CASE WHEN disc > 0 THEN {phi_sql('sc*(hi-md)')}-{phi_sql('sc*(lo-md)')} ELSE 0 END AS inner2, CASE WHEN a > 0 THEN inner1-front*inner2 ELSE (1-inner1)-front*(1-inner2) END AS v FROM zs, od),
+kd AS (SELECT shift, a, b, oa*z*z/2+ob*z+c AS kz, {INNER_SQL} FROM zs, od),
 sm AS (SELECT shift, avg(least(1, greatest(0, v))) AS m FROM kd GROUP BY shift) SELECT round(avg(m), 9) AS delta, round(stddev_samp(m)/sqrt(count(*)), 9) AS stderr FROM sm""")
 def ndis_lattice(spark, d):
     a, b, c = kernels.between(*_two_tables(spark, d), _PAIR)
