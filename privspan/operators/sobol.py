@@ -8,7 +8,6 @@ numbers: a few thousand words for any number of points, which Spark computes row
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,15 +67,15 @@ def scrambled(numbers: list[int], key: str, scramble: int, dimension: int) -> tu
     return mixed, word(key, scramble, dimension, BITS)
 
 
-def coordinates(counter: Column, scramble: Column, bits: int, dimensions: int, scrambles: int, key: str) -> list[Column]:
-    """Coordinates in (0, 1) of the points counter < 2^bits of each scramble < scrambles."""
+def coordinates(counter: str, scramble: str, bits: int, dimensions: int, scrambles: int, key: str) -> list[Column]:
+    """Coordinates in (0, 1) of the points counter < 2^bits of each scramble < scrambles; both are names of columns."""
     out = []
     for j, numbers in enumerate(direction_numbers(dimensions)):
         mixed = [scrambled(numbers, key, s, j) for s in range(scrambles)]
-        one = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), scramble + 1)
-        terms = [one([m[0][k] for m in mixed]).bitwiseAND(-F.shiftright(counter, k).bitwiseAND(F.lit(1))) for k in range(bits)]
-        at = reduce(lambda x, y: x.bitwiseXOR(y), terms, one([m[1] for m in mixed]))
-        out.append((at.cast("double") + 0.5) / float(1 << BITS))
+        one = lambda values: "element_at(array(" + ", ".join(f"{v}L" for v in values) + f"), {scramble} + 1)"
+        terms = [f"({one([m[0][k] for m in mixed])} & -(shiftright({counter}, {k}) & 1))" for k in range(bits)]
+        # One text for each coordinate: thousands of literals would take seconds one by one.
+        out.append((F.expr(" ^ ".join([one([m[1] for m in mixed]), *terms])).cast("double") + 0.5) / float(1 << BITS))
     return out
 
 
@@ -88,5 +87,5 @@ def points(spark: SparkSession, count: int, dimensions: int, scrambles: int, key
     if count < 1 or count & (count - 1) or count > 1 << BITS:
         raise ValueError("the number of points must be a power of two, at most 2^32")
     rows = spark.range(count).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(scrambles - 1))).alias("scramble"))
-    us = coordinates(F.col("i"), F.col("scramble"), count.bit_length() - 1, dimensions, scrambles, key)
+    us = coordinates("i", "scramble", count.bit_length() - 1, dimensions, scrambles, key)
     return rows.select("scramble", "i", *[u.alias(f"u{j}") for j, u in enumerate(us)])

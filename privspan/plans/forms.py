@@ -18,7 +18,7 @@ def delta_pq_forms(spark, d):
     """Both least-squares spectra of every record as differences of distribution functions of quadratic forms."""
     m, f = fitted(spark, d)
     out = f.rows(m).select(KEY, quadratic_forms.least_squares("p", "q", 3, 20, 0.01).alias("s"))
-    return rounded(out.select(KEY, F.col("s.left").alias("delta_left"), F.col("s.right").alias("delta_right"), (F.col("s.error") < 1e-10).alias("close")), 7, "delta_left", "delta_right")
+    return rounded(out.select(KEY, F.col("s.left").alias("delta_left"), F.col("s.right").alias("delta_right"), (F.col("s.error") < 1e-7).alias("close")), 7, "delta_left", "delta_right")
 
 
 # Of v' form v <= 2 the second coordinate lies between two roots; the first is the sine of an angle.
