@@ -8,9 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from privspan.functions import gx2
 from privspan.functions.special import INV_A, INV_B, INV_C, INV_D
-from privspan.operators import accuracy, blackbox, kernels, linear, mechanisms, quadrature, relational
+from privspan.operators import accuracy, blackbox, kernels, linear, mechanisms, quadratic_forms, quadrature, relational
 from privspan.sources.tables import read_matrix, read_range, table, write_batches, write_matrix
 from privspan.streaming.histogram import HistogramState, combined
 
@@ -381,17 +380,19 @@ def radial_reduced(spark, d):
     return rounded(out, 9, "delta", "stderr")
 
 
-@query()
-def quadratic_form_cdf(spark, d):
-    """P(form <= balance / 1000) of a fixed indefinite form of two normals, for every supplier."""
-    s = table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1000).alias("x"))
+# The first coordinate by panels that are narrow where its square is near the branch point, the other between two roots.
 
-    @F.pandas_udf("double")
-    def at(x: pd.Series) -> pd.Series:
-        found = gx2.parameters([0.5, -1.0], [[2.0, 0.3], [0.3, 1.0]], [[1.0, 0.2], [0.2, -1.5]])
-        return pd.Series(gx2.cdf(x.to_numpy(), *found))
 
-    return rounded(s.select("s_suppkey", at("x").alias("p")), 8, "p")
+@query(f"""WITH {nodes_sql()}, sx AS (SELECT s_suppkey, s_acctbal/1000 AS x, greatest(0, 6*x/6.16) AS a2 FROM supplier),
+nd AS (SELECT *, (14*pow((i+1)/16.0::DOUBLE, 4)+14*pow(i/16.0::DOUBLE, 4))/2+(14*pow((i+1)/16.0::DOUBLE, 4)-14*pow(i/16.0::DOUBLE, 4))/2*nx AS t, (14*pow((i+1)/16.0::DOUBLE, 4)-14*pow(i/16.0::DOUBLE, 4))/2*nw AS part FROM nodes, range(0, 16) r(i)),
+ab AS (SELECT s_suppkey, sg*sqrt(a2+t*t) AS a, part*t/sqrt(a2+t*t)*exp(-(a-0.5)*(a-0.5)/4)/sqrt(4*pi()) AS f, sqrt(6.16*t*t+6*greatest(0, -x)) AS root, 0.15*(a-0.5)-1 AS mb, sqrt(0.955::DOUBLE) AS sb FROM sx, nd, (VALUES (1), (-1)) v(sg)),
+ou AS (SELECT s_suppkey, sum(f*(1-{phi_sql('(((0.4*a+root)/3-mb)/sb)')}+{phi_sql('(((0.4*a-root)/3-mb)/sb)')})) AS p FROM ab GROUP BY s_suppkey)
+SELECT s_suppkey, round(p+{phi_sql('((sqrt(a2)-0.5)/sqrt(2))')}-{phi_sql('((-sqrt(a2)-0.5)/sqrt(2))')}, 8) + 0 AS p FROM ou JOIN sx USING (s_suppkey)""")
+def quadratic_form_cdf(spark, d):
+    """P(form <= balance / 1000) of a fixed indefinite form of two normals, for every supplier."""
+    one = lambda *values: F.array(*[F.lit(v) for v in values])
+    s = table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1000).alias("x"), one(0.5, -1.0).alias("m"), one(2.0, 0.3, 0.3, 1.0).alias("c"), one(1.0, 0.2, 0.2, -1.5).alias("f"))
+    return rounded(s.select("s_suppkey", quadratic_forms.distribution("x", "m", "c", "f", 2)["below"].alias("p")), 8, "p")
 
 
 # Slopes of the left spectrum in p at a fixed share s = q - p, with derivatives of the kernel written out.
