@@ -2,8 +2,8 @@
 
 A set enters by its Gram sums S only. With G of the whole table, the shares are the eigenvalues of (G + first)^-1 (S + first -
 second); the neighbour's covariance has the ratios 1 - share to the table's, and the determinants differ by their product.
-r projections of all columns then have a loss that is a weighted sum of chi squares, whose tails come from the inversion
-integral of every set at once.
+r projections of all columns then have a loss that is a weighted sum of chi squares, whose tails come from contours of every
+set at once.
 """
 
 from __future__ import annotations
