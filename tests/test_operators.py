@@ -170,3 +170,31 @@ def test_streamed_gram_equals_the_table(spark, tmp_path, small):
     q.stop()
     a = {r.start: (r.n, round(r.g_0_0, 4)) for r in table.collect()}
     assert a == {r.start: (r.n, round(r.g_0_0, 4)) for r in spark.table("streamed_gram").collect()}
+
+
+def test_samples_are_made_once(spark):
+    """Whatever makes the samples runs once for each half that is given, or once for both, however many jobs read them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, float(i % 2), [float(i % 7), float(i % 2)]) for i in range(80)]
+    s = spark.createDataFrame(rows, "sample_id long, y double, x array<double>").mapInArrow(counted, "sample_id long, y double, x array<double>")
+    want = blackbox.estimate(s.where("sample_id % 4 < 2"), s.where("sample_id % 4 >= 2"), 0.1).first()
+    assert seen.value == 2 * len(rows)
+    assert blackbox.estimate_halves(s, 0.1).first() == want
+    assert seen.value == 3 * len(rows)
+    both = s.select(F.lit(5).alias("g"), "*").unionByName(s.select(F.lit(6).alias("g"), "*"))
+    assert [(r.g, r[1:]) for r in blackbox.estimate_halves_of(both, "g", [5, 6], 0.1).orderBy("g").collect()] == [(5, tuple(want)), (6, tuple(want))]
+    assert seen.value == 5 * len(rows)
+
+
+def test_rows_of_one_file_are_dealt_to_all_cores(spark):
+    """Sums of a sketch come from as many tasks as there are cores, though the table is one partition."""
+    df = spark.range(400).select("id", (F.col("id") / 10).alias("x")).coalesce(1)
+    assert mechanisms._partial_sums(df, "id", ["x"], 2, 0, 40, "k").count() == spark.sparkContext.defaultParallelism * 80
+    got, one = ({(r.draw, r.k): r.x for r in mechanisms.project(d, "id", ["x"], 2, n, "k").collect()} for d, n in ((df, 40), (df.repartition(3), 40)))
+    assert got.keys() == one.keys() and all(abs(got[c] - one[c]) < 1e-9 for c in got)
