@@ -79,3 +79,28 @@ def test_spectra_outside_of_their_bounds_are_null(spark):
     found = [r.s for r in df.select(quadratic_forms.least_squares("p", "q", 3, 20, F.lit(0.01)).alias("s")).collect()]
     assert 0 < found[0].left < 1 and 0 < found[0].right < 1
     assert all(s is None or (s.left is None and s.right is None) for s in found[1:])
+
+
+def test_tails_below_the_smallest_double_need_no_contour(monkeypatch):
+    """exp(-x / 2) at x = 1,480 is still a number; at 2,000 it is none and Chernoff's bound says so."""
+    above, below, error = gx2.tails(np.array([1400.0, 1480.0]), np.ones((2, 1)), 2)
+    assert above == pytest.approx(np.exp([-700.0, -740.0]), rel=1e-3, abs=0) and (below == 1).all() and (error < 1e-300).all()
+    monkeypatch.setattr(gx2, "_along", None)
+    above, below, error = gx2.tails(np.array([2000.0, 1e7]), np.array([[1.0, 0.5], [1.0, -2.0]]), np.array([2.0, 3.0]))
+    assert (above == 0).all() and (below == 1).all() and (error == 0).all()
+
+
+def test_half_the_points_do_where_they_are_close(monkeypatch):
+    """Points between are added only where two spacings differ, and give the same values."""
+    g = np.random.default_rng(11)
+    x, w = g.normal(size=300) * 4, g.normal(size=(300, 3))
+    few = gx2.tails(x, w, 2)
+    monkeypatch.setattr(gx2, "LOST", -1.0)
+    whole, logs = np.log, []
+    monkeypatch.setattr(gx2.np, "log", lambda v: logs.append(np.size(v) if np.iscomplexobj(v) else 0) or whole(v))
+    assert gx2.tails(x, w, 2)[0] == pytest.approx(few[0], abs=1e-13)
+    every = sum(logs)
+    monkeypatch.setattr(gx2, "LOST", 1e-19)
+    logs.clear()
+    gx2.tails(x, w, 2)
+    assert sum(logs) < every and sum(logs) < 0.8 * 300 * 3 * gx2.CONTOUR
