@@ -198,3 +198,16 @@ def test_rows_of_one_file_are_dealt_to_all_cores(spark):
     assert mechanisms._partial_sums(df, "id", ["x"], 2, 0, 40, "k").count() == spark.sparkContext.defaultParallelism * 80
     got, one = ({(r.draw, r.k): r.x for r in mechanisms.project(d, "id", ["x"], 2, n, "k").collect()} for d, n in ((df, 40), (df.repartition(3), 40)))
     assert got.keys() == one.keys() and all(abs(got[c] - one[c]) < 1e-9 for c in got)
+
+
+def test_many_batches_share_folders(spark, tmp_path):
+    """1,500 batches, some of negative keys, in few files: a range opens the folders that hold it, and finds its rows."""
+    df = spark.range(-500, 14_500).select("id", (F.col("id") % 2).cast("int").alias("even"), (F.col("id") * 3).alias("v")).repartition(7)
+    tables.write_batches(df, f"{tmp_path}/b", "id", 10, "even")
+    back = spark.read.parquet(f"{tmp_path}/b")
+    assert len(back.inputFiles()) <= 3 * (tables.MOST_FOLDERS + 2)
+    assert back.count() == 15_000 and back.where("batch_id <> id div 10 or batch_id not between batch_from and batch_to or v <> 3 * id").count() == 0
+    part = tables.read_range(back, "id", 10, 1234, 3000)
+    assert sorted(r.id for r in part.collect()) == list(range(1234, 4234)) and sorted(part.columns) == ["batch_id", "even", "id", "v"]
+    plan = part._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(batch_from" in plan and "GreaterThanOrEqual(batch_id,123)" in plan
