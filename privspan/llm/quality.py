@@ -84,6 +84,10 @@ def _damped(counts: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Rows that fit() projects at once.
+FITTED = 512
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -117,10 +121,12 @@ def fit(counts: np.ndarray, labels: np.ndarray) -> Model:
     weights[PAIRS:] = LAYOUT_WEIGHT
     weights[:PAIRS] = np.log((1 + len(x)) / (1 + seen)) + 1
     x *= weights
-    values, axes = np.linalg.eigh((x.T @ x).astype(np.float64))
+    gram = (x.T @ x).astype(np.float64)
+    del x  # the driver holds the counts already
+    values, axes = np.linalg.eigh(gram)
     keep = axes[:, np.argsort(-values)[:DIMENSIONS]].astype(np.float32)
     model = Model(weights, keep, np.zeros((0, keep.shape[1]), np.float32), labels.astype(np.float64), float(labels.mean()))
-    model.vectors = model.project(counts)
+    model.vectors = np.concatenate([model.project(counts[at : at + FITTED]) for at in range(0, len(counts), FITTED)])
     return model
 
 
@@ -150,10 +156,17 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tup
     # An id that repeats brings one row.
     found = found.groupBy(F.xxhash64("doc_id").alias("key")).agg(F.min(F.struct(F.col("_label").alias("label"), "text")).alias("row"))
     rows = found.select("key", "row.label", "row.text").mapInArrow(count, "key long, label int, counts binary").toArrow()
-    rows = rows.sort_by("key")
-    counts = [np.frombuffer(c, np.float32) for c in rows["counts"].to_pylist()]
-    x = np.stack(counts) if counts else np.zeros((0, FEATURES), np.float32)
-    return x, np.asarray(rows["label"].to_pylist(), dtype=np.int64)
+    # The counts are read where they lie and copied once, into their places in the order of the keys.
+    keys = rows["key"].to_numpy()
+    place, at = np.empty(len(keys), np.int64), 0
+    order = np.argsort(keys, kind="stable")
+    place[order] = np.arange(len(keys))
+    x = np.zeros((len(keys), FEATURES), np.float32)
+    for chunk in rows["counts"].chunks:  # to_pylist() would hold them all again
+        for value in chunk:
+            x[place[at]] = np.frombuffer(value.as_buffer(), np.float32)
+            at += 1
+    return x, rows["label"].to_numpy()[order].astype(np.int64)
 
 
 def _scored(rows: DataFrame, docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:

@@ -904,3 +904,15 @@ def test_held_out_rule(spark):
 
     rows = spark.range(200).select(F.col("id").alias("doc_id")).withColumn("h", held_out()).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+
+
+def test_quality_is_learned_in_little_memory():
+    """The driver holds the sample's counts, and never twice more."""
+    import tracemalloc
+
+    counts = np.random.default_rng(8).integers(0, 9, (quality.MOST_LABELLED, quality.FEATURES)).astype(np.float32)
+    tracemalloc.start()
+    quality.fit(counts, np.arange(len(counts)) % 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * counts.nbytes
