@@ -10,6 +10,7 @@ nearest neighbours vote with weights that grow with similarity.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -115,18 +116,23 @@ def fit(counts: np.ndarray, labels: np.ndarray) -> Model:
     """Latent axes and vectors of the sample; with no rows every score is 0.5."""
     if not len(labels):
         return Model(np.ones(FEATURES, np.float32), np.zeros((FEATURES, 1), np.float32), np.zeros((0, 1), np.float32), labels, 0.5)
-    x = _damped(counts)
-    seen = (x[:, :PAIRS] > 0).sum(0)
+    blocks = [counts[at : at + FITTED] for at in range(0, len(counts), FITTED)]
+    seen = sum((b[:, :PAIRS] > 0).sum(0) for b in blocks)
     weights = np.ones(FEATURES, np.float32)
     weights[PAIRS:] = LAYOUT_WEIGHT
-    weights[:PAIRS] = np.log((1 + len(x)) / (1 + seen)) + 1
-    x *= weights
-    gram = (x.T @ x).astype(np.float64)
-    del x  # the driver holds the counts already
+    weights[:PAIRS] = np.log((1 + len(counts)) / (1 + seen)) + 1
+    # The driver holds the counts already: no second copy, and no rows of the Gram matrix for pairs that no text has.
+    used = np.nonzero(np.concatenate([seen > 0, np.ones(LAYOUT, bool)]))[0]
+    gram = np.zeros((len(used), len(used)))
+    for b in blocks:
+        x = (_damped(b) * weights)[:, used]
+        gram += x.T @ x
     values, axes = np.linalg.eigh(gram)
-    keep = axes[:, np.argsort(-values)[:DIMENSIONS]].astype(np.float32)
+    best = np.argsort(-values)[:DIMENSIONS]
+    keep = np.zeros((FEATURES, len(best)), np.float32)
+    keep[used] = axes[:, best]
     model = Model(weights, keep, np.zeros((0, keep.shape[1]), np.float32), labels.astype(np.float64), float(labels.mean()))
-    model.vectors = np.concatenate([model.project(counts[at : at + FITTED]) for at in range(0, len(counts), FITTED)])
+    model.vectors = np.concatenate([model.project(b) for b in blocks])
     return model
 
 
@@ -147,7 +153,7 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tup
     def count(batches):
         for batch in batches:
             x = count_features(_texts(batch.column(2))).astype(np.float32)
-            rows = [r.tobytes() for r in x]
+            rows = [zlib.compress(r.tobytes(), 1) for r in x]  # nearly all are zeros
             yield pa.RecordBatch.from_pydict(
                 {"key": batch.column(0), "label": batch.column(1), "counts": pa.array(rows, pa.binary())}
             )
@@ -164,7 +170,7 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tup
     x = np.zeros((len(keys), FEATURES), np.float32)
     for chunk in rows["counts"].chunks:  # to_pylist() would hold them all again
         for value in chunk:
-            x[place[at]] = np.frombuffer(value.as_buffer(), np.float32)
+            x[place[at]] = np.frombuffer(zlib.decompress(value.as_buffer()), np.float32)
             at += 1
     return x, rows["label"].to_numpy()[order].astype(np.int64)
 

@@ -394,19 +394,17 @@ def _class_links(docs: DataFrame, classes: DataFrame, by: Keying, shingle: int,
     """(a, b): links among classes of equal shingle sets, enough to reach all that are found.
 
     Each bucket has a first member, by one hash for all buckets. A class is compared with the first
-    of the near firsts that it meets, so that the copies of a large group become one root. Then
-    the mates of the firsts of such a group, from whichever bucket, if they have several roots,
+    that it meets most often, if that is near, so that the copies of a large group become one root. Buckets
+    of one root are done with. In the others, a class whose root is not the first's is held against the first,
+    and the mates of the firsts of one star, from whichever bucket, if they have several roots,
     name those whose signatures are near, and these are compared by their sets, in blocks. Two
-    that share a bucket so are compared in one of the two ways, and mates of a group come once
-    however many buckets they share.
+    that share a bucket so have one root already or are compared, and mates of a group come once
+    however many buckets they share. Pairs of a first and a mate are at most as many as a class has keys.
     """
-    with scratch() as own:
-        keys = _keyed(classes.where("n > 0"), by)
-        shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-        met = own(keys.join(shared, "key"), "met")
-        firsts = own(met.groupBy("key").agg(F.min_by("same", F.struct(F.xxhash64("same"), "same")).alias("first")), "firsts")
-        mates = met.join(firsts, "key").where("same <> first").groupBy("first", "same").agg(F.max(F.col("size") > 2).alias("many"))
-        mates = table(mates, "mates")
+    keys = _keyed(classes.where("n > 0"), by)
+    # A class is named by a hash, so the least of a bucket is chosen by one hash for all buckets.
+    shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("same").alias("first")).where("size > 1")
+    met = table(keys.join(shared, "key"), "met")
     classes = classes.select("same", "id", "text_hash", "sig", (F.col("n") * 8).alias("bytes"))
 
     def decided(members: DataFrame, name: str) -> DataFrame:
@@ -425,18 +423,28 @@ def _class_links(docs: DataFrame, classes: DataFrame, by: Keying, shingle: int,
 
     bits = lambda a, b: F.bit_count(a.bitwiseXOR(b))
     longs = lambda a, b: sum((bits(F.element_at(a, i), F.element_at(b, i)) for i in range(1, SIGNATURE + 1)), F.lit(0))
-    near_firsts = near(near(mates, "element_at(sig, 1)", bits, TAG_BITS), "sig", longs, int(LOOSE * 64 * SIGNATURE))
-    near_firsts = table(near_firsts, "near-firsts")
-    stars = near_firsts.groupBy("same").agg(F.min_by("first", F.struct(F.xxhash64("first"), "first")).alias("grp"))
-    stars = table(stars.select("grp", "same"), "stars")
+    most = int(LOOSE * 64 * SIGNATURE)
+    often = met.where("same <> first").groupBy("first", "same").agg(F.count("*").alias("n"))
+    often = often.groupBy("same").agg(F.max_by("first", F.struct("n", F.bitwise_not("first"))).alias("first"))
+    stars = table(near(often, "sig", longs, most).select(F.col("first").alias("grp"), "same"), "stars")
     hubs = stars.select("grp").distinct().select("grp", F.col("grp").alias("same"), F.lit(False).alias("main"))
     links = decided(hubs.unionByName(stars.withColumn("main", F.lit(True))).withColumn("root", F.col("same")), "star")
 
     roots = table(connected_components(links), "star-roots")
-    groups = table(connected_components(stars.select(F.col("grp").alias("a"), F.col("same").alias("b"))), "star-groups")
-    left = near_firsts.join(stars.withColumnRenamed("grp", "first"), ["first", "same"], "left_anti")
+    with scratch() as own:
+        met = own(_rooted(met, roots), "met-roots")
+        first_root = F.max(F.when(F.col("same") == F.col("first"), F.col("root"))).alias("first_root")
+        several = met.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("greatest"), first_root).where("least <> greatest")
+        mates = met.where("same <> first").join(own(several.select("key", "first_root"), "several"), "key")
+        mates = mates.groupBy("first", "same").agg(F.max(F.col("size") > 2).alias("many"), F.max(F.col("root") != F.col("first_root")).alias("apart"))
+        mates = table(mates, "mates")
+    left = near(near(mates.where("apart").select("first", "same"), "element_at(sig, 1)", bits, TAG_BITS), "sig", longs, most)
+    left = table(left, "near-firsts")
     left = left.unionByName(left.select("first", F.col("first").alias("same"))).unionByName(mates.where("many").select("first", "same"))
-    left = left.distinct().join(groups.select(F.col("node").alias("first"), F.col("root").alias("grp")), "first", "left")
+    # A first goes to the root of its star, or its own; any choice will do, as all mates of a first come to one group.
+    starred = _rooted(stars.select(F.col("grp").alias("same"), F.col("same").alias("first")), roots).select("first", F.col("root").alias("grp"))
+    groups = starred.unionByName(roots.select(F.col("node").alias("first"), F.col("root").alias("grp"))).groupBy("first").agg(F.min("grp").alias("grp"))
+    left = left.distinct().join(groups, "first", "left")
     mates = table(left.select(F.coalesce("grp", "first").alias("grp"), "same").distinct(), "group-mates")
     several = table(_rooted(mates, roots), "mates-roots")
     members = _open_members(several, table).join(classes.select("same", "sig"), "same").withColumn("bytes", F.lit(8 * SIGNATURE))
