@@ -38,8 +38,6 @@ SKETCH, CORPUS, KEYS, EXTRA_BITS = 2048, 1 << 18, 266, 11
 #: Longs of the fingerprint that bucket-mates compare, and the share of their bits that may differ
 #: before shingles are compared; at a similarity of 0.8 it is 0.15.
 SIGNATURE, LOOSE = 16, 0.2
-#: Of the first 64 bits so many may differ before the others are looked at; at 0.8 more do in one pair of 3000.
-TAG_BITS = 21
 #: Most rows of one side of a block of comparisons, and most bytes of its shingles (but for one text's).
 BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20
 
@@ -394,8 +392,8 @@ def _class_links(docs: DataFrame, classes: DataFrame, by: Keying, shingle: int,
     """(a, b): links among classes of equal shingle sets, enough to reach all that are found.
 
     Each bucket has a first member, by one hash for all buckets. A class is compared with the first
-    that it meets most often, if that is near, so that the copies of a large group become one root. Buckets
-    of one root are done with. In the others, a class whose root is not the first's is held against the first,
+    that it meets most often, if that is near, so that the copies of a large group become one root. Firsts
+    whose mates all have their root are done with. Of the others, a class whose root is not the first's is held against the first,
     and the mates of the firsts of one star, from whichever bucket, if they have several roots,
     name those whose signatures are near, and these are compared by their sets, in blocks. Two
     that share a bucket so have one root already or are compared, and mates of a group come once
@@ -415,11 +413,11 @@ def _class_links(docs: DataFrame, classes: DataFrame, by: Keying, shingle: int,
             sets = own(_shingles(docs, wanted, shingle), f"{name}-shingles")
             return table(_linked(_blocks(members, "bytes", own, sets), similarity), f"{name}-links")
 
-    def near(pairs: DataFrame, value: str, differ, most: int) -> DataFrame:
+    def near(pairs: DataFrame, value: str, differ, most: int, *more: str) -> DataFrame:
         """Pairs (first, same) whose values differ in at most so many bits."""
         values = classes.select("same", F.expr(value).alias("value"))
         pairs = pairs.join(values, "same").join(values.select(F.col("same").alias("first"), F.col("value").alias("first_value")), "first")
-        return pairs.where(differ(F.col("value"), F.col("first_value")) <= most).select("first", "same")
+        return pairs.where(differ(F.col("value"), F.col("first_value")) <= most).select("first", "same", *more)
 
     bits = lambda a, b: F.bit_count(a.bitwiseXOR(b))
     longs = lambda a, b: sum((bits(F.element_at(a, i), F.element_at(b, i)) for i in range(1, SIGNATURE + 1)), F.lit(0))
@@ -431,21 +429,20 @@ def _class_links(docs: DataFrame, classes: DataFrame, by: Keying, shingle: int,
     links = decided(hubs.unionByName(stars.withColumn("main", F.lit(True))).withColumn("root", F.col("same")), "star")
 
     roots = table(connected_components(links), "star-roots")
-    with scratch() as own:
-        met = own(_rooted(met, roots), "met-roots")
-        first_root = F.max(F.when(F.col("same") == F.col("first"), F.col("root"))).alias("first_root")
-        several = met.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("greatest"), first_root).where("least <> greatest")
-        mates = met.where("same <> first").join(own(several.select("key", "first_root"), "several"), "key")
-        mates = mates.groupBy("first", "same").agg(F.max(F.col("size") > 2).alias("many"), F.max(F.col("root") != F.col("first_root")).alias("apart"))
-        mates = table(mates, "mates")
-    left = near(near(mates.where("apart").select("first", "same"), "element_at(sig, 1)", bits, TAG_BITS), "sig", longs, most)
-    left = table(left, "near-firsts")
-    left = left.unionByName(left.select("first", F.col("first").alias("same"))).unionByName(mates.where("many").select("first", "same"))
     # A first goes to the root of its star, or its own; any choice will do, as all mates of a first come to one group.
     starred = _rooted(stars.select(F.col("grp").alias("same"), F.col("same").alias("first")), roots).select("first", F.col("root").alias("grp"))
     groups = starred.unionByName(roots.select(F.col("node").alias("first"), F.col("root").alias("grp"))).groupBy("first").agg(F.min("grp").alias("grp"))
-    left = left.distinct().join(groups, "first", "left")
-    mates = table(left.select(F.coalesce("grp", "first").alias("grp"), "same").distinct(), "group-mates")
+    with scratch() as own:
+        met = own(_rooted(met, roots).groupBy("first", "same").agg(F.max(F.col("size") > 2).alias("many"), F.max("root").alias("root")), "met-roots")
+        own_root = F.max(F.when(F.col("same") == F.col("first"), F.col("root"))).alias("first_root")
+        several = met.groupBy("first").agg(F.min("root").alias("least"), F.max("root").alias("greatest"), own_root).where("least <> greatest")
+        several = own(several.join(groups, "first", "left").select("first", "first_root", F.coalesce("grp", "first").alias("grp")), "several")
+        apart = F.col("root") != F.col("first_root")
+        mates = met.where("same <> first").join(several, "first").where(F.col("many") | apart)
+        mates = table(mates.select("first", "same", "grp", "many", apart.alias("apart")), "mates")
+    held = table(near(mates.where("apart"), "sig", longs, most, "grp"), "near-firsts")
+    held = held.select("grp", "same").unionByName(held.select("grp", F.col("first").alias("same")))
+    mates = table(held.unionByName(mates.where("many").select("grp", "same")).distinct(), "group-mates")
     several = table(_rooted(mates, roots), "mates-roots")
     members = _open_members(several, table).join(classes.select("same", "sig"), "same").withColumn("bytes", F.lit(8 * SIGNATURE))
     near_ones = table(_linked(_blocks(table(members, "open"), "bytes", table), None), "near")
