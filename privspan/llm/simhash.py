@@ -38,6 +38,8 @@ SKETCH, CORPUS, KEYS, EXTRA_BITS = 2048, 1 << 18, 266, 11
 #: Longs of the fingerprint that bucket-mates compare, and the share of their bits that may differ
 #: before shingles are compared; at a similarity of 0.8 it is 0.15.
 SIGNATURE, LOOSE = 16, 0.2
+#: One in so many keys tells families, whose members' signatures differ from their first's in up to this share of the bits.
+FEW, KIN = 6, 0.3
 #: Most rows of one side of a block of comparisons, and most bytes of its shingles (but for one text's).
 BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20
 
@@ -263,19 +265,20 @@ def _sketches(docs: DataFrame, shingle: int, by: Keying) -> DataFrame:
     return columns.mapInArrow(run, "id long, text_hash long, same long, n long, bits binary, sig array<long>")
 
 
-def _keyed(classes: DataFrame, by: Keying) -> DataFrame:
-    """key, same: by.keys rows for each class."""
+def _keyed(classes: DataFrame, by: Keying, *more: str) -> DataFrame:
+    """key, same and more columns (long): by.keys rows for each class."""
+    names = ["same", *more]
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                packed = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                keys = _similarity_keys(packed, part.column(1).to_numpy(zero_copy_only=False), by)
-                same = part.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys.ravel()), "same": pa.array(np.repeat(same, by.keys))})
+                packed = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                keys = _similarity_keys(packed, part.column(0).to_numpy(zero_copy_only=False), by)
+                of = {x: pa.array(np.repeat(part.column(x).to_numpy(zero_copy_only=False), by.keys)) for x in names}
+                yield pa.RecordBatch.from_pydict({"key": pa.array(keys.ravel()), **of})
 
-    return classes.select("same", "n", "bits").mapInArrow(run, "key long, same long")
+    return classes.select("n", "bits", *names).mapInArrow(run, ", ".join(f"{x} long" for x in ["key", *names]))
 
 
 def _shingles(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -391,18 +394,20 @@ def _open_members(met: DataFrame, table) -> DataFrame:
 def _class_links(docs: DataFrame, classes: DataFrame, by: Keying, shingle: int, similarity: float, table) -> DataFrame:
     """(a, b): links among classes of equal shingle sets, enough to reach all that are found.
 
-    Each bucket has a first member, by one hash for all buckets. A class is compared with the first
-    that it meets most often, if that is near, so that the copies of a large group become one root. Firsts
-    whose mates all have their root are done with. Of the others, a class whose root is not the first's is held against the first,
-    and the mates of the firsts of one star, from whichever bucket, if they have several roots,
-    name those whose signatures are near, and these are compared by their sets, in blocks. Two
-    that share a bucket so have one root already or are compared, and mates of a group come once
-    however many buckets they share. Pairs of a first and a mate are at most as many as a class has keys.
+    First, buckets of a few keys have a first member each, by one hash for all buckets. A class is
+    compared with the first that it meets most often, if that is near, so that the copies of a large
+    group become one root; if it is only somewhat near, both are of one family. All classes of a family
+    make a group. Then, of the buckets of all keys, those within one family are done with. In the others,
+    the classes of other families join the group of the largest one. If a group has several roots, its
+    members name those whose signatures are near, and these are compared by their sets, in
+    blocks. Two that share a bucket so have one root already or are compared, and a class is in a
+    group once however many buckets it shares with it.
     """
-    keys = _keyed(classes.where("n > 0"), by)
+    filled = classes.where("n > 0").select("same", "n", "bits")
+    some = _keyed(filled, Keying(math.ceil(by.keys / FEW), by.extra, by.transforms))
     # A class is named by a hash, so the least of a bucket is chosen by one hash for all buckets.
-    shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("same").alias("first")).where("size > 1")
-    met = table(keys.join(shared, "key"), "met")
+    shared = some.groupBy("key").agg(F.count("*").alias("size"), F.min("same").alias("first")).where("size > 1")
+    met = table(some.join(shared.select("key", "first"), "key").select("first", "same"), "met")
     classes = classes.select("same", "id", "text_hash", "sig", (F.col("n") * 8).alias("bytes"))
 
     def decided(members: DataFrame, name: str) -> DataFrame:
@@ -413,36 +418,29 @@ def _class_links(docs: DataFrame, classes: DataFrame, by: Keying, shingle: int,
             sets = own(_shingles(docs, wanted, shingle), f"{name}-shingles")
             return table(_linked(_blocks(members, "bytes", own, sets), similarity), f"{name}-links")
 
-    def near(pairs: DataFrame, value: str, differ, most: int, *more: str) -> DataFrame:
-        """Pairs (first, same) whose values differ in at most so many bits."""
-        values = classes.select("same", F.expr(value).alias("value"))
-        pairs = pairs.join(values, "same").join(values.select(F.col("same").alias("first"), F.col("value").alias("first_value")), "first")
-        return pairs.where(differ(F.col("value"), F.col("first_value")) <= most).select("first", "same", *more)
-
-    bits = lambda a, b: F.bit_count(a.bitwiseXOR(b))
-    longs = lambda a, b: sum((bits(F.element_at(a, i), F.element_at(b, i)) for i in range(1, SIGNATURE + 1)), F.lit(0))
-    most = int(LOOSE * 64 * SIGNATURE)
     often = met.where("same <> first").groupBy("first", "same").agg(F.count("*").alias("n"))
     often = often.groupBy("same").agg(F.max_by("first", F.struct("n", F.bitwise_not("first"))).alias("first"))
-    stars = table(near(often, "sig", longs, most).select(F.col("first").alias("grp"), "same"), "stars")
+    sigs = classes.select("same", "sig")
+    often = often.join(sigs, "same").join(sigs.select(F.col("same").alias("first"), F.col("sig").alias("first_sig")), "first")
+    differ = sum((F.bit_count(F.element_at("sig", i).bitwiseXOR(F.element_at("first_sig", i))) for i in range(1, SIGNATURE + 1)), F.lit(0))
+    often = table(often.select("first", "same", differ.alias("differ")).where(F.col("differ") <= int(KIN * 64 * SIGNATURE)), "near-firsts")
+    stars = often.where(F.col("differ") <= int(LOOSE * 64 * SIGNATURE)).select(F.col("first").alias("grp"), "same")
     hubs = stars.select("grp").distinct().select("grp", F.col("grp").alias("same"), F.lit(False).alias("main"))
     links = decided(hubs.unionByName(stars.withColumn("main", F.lit(True))).withColumn("root", F.col("same")), "star")
-
     roots = table(connected_components(links), "star-roots")
-    # A first goes to the root of its star, or its own; any choice will do, as all mates of a first come to one group.
-    starred = _rooted(stars.select(F.col("grp").alias("same"), F.col("same").alias("first")), roots).select("first", F.col("root").alias("grp"))
-    groups = starred.unionByName(roots.select(F.col("node").alias("first"), F.col("root").alias("grp"))).groupBy("first").agg(F.min("grp").alias("grp"))
-    with scratch() as own:
-        met = own(_rooted(met, roots).groupBy("first", "same").agg(F.max(F.col("size") > 2).alias("many"), F.max("root").alias("root")), "met-roots")
-        own_root = F.max(F.when(F.col("same") == F.col("first"), F.col("root"))).alias("first_root")
-        several = met.groupBy("first").agg(F.min("root").alias("least"), F.max("root").alias("greatest"), own_root).where("least <> greatest")
-        several = own(several.join(groups, "first", "left").select("first", "first_root", F.coalesce("grp", "first").alias("grp")), "several")
-        apart = F.col("root") != F.col("first_root")
-        mates = met.where("same <> first").join(several, "first").where(F.col("many") | apart)
-        mates = table(mates.select("first", "same", "grp", "many", apart.alias("apart")), "mates")
-    held = table(near(mates.where("apart"), "sig", longs, most, "grp"), "near-firsts")
-    held = held.select("grp", "same").unionByName(held.select("grp", F.col("first").alias("same")))
-    mates = table(held.unionByName(mates.where("many").select("grp", "same")).distinct(), "group-mates")
+
+    # A family is numbered so that the largest has the least number; two of one number make one group, which is as good.
+    kin = table(connected_components(often.select(F.col("first").alias("a"), F.col("same").alias("b"))), "kin")
+    number = -(F.shiftleft(F.count("*"), 32) + F.pmod("root", F.lit(1 << 32)))
+    numbers = table(kin.groupBy("root").agg(number.alias("family")), "numbers")
+    families = table(kin.join(numbers, "root").select(F.col("node").alias("same"), "family"), "families")
+    alone = F.shiftrightunsigned("same", 1)
+    keys = _keyed(filled.join(families, "same", "left").withColumn("family", F.coalesce("family", alone)), by, "family")
+    several = keys.groupBy("key").agg(F.min("family").alias("grp"), F.max("family").alias("last")).where("grp < last").select("key", "grp")
+    joined = table(keys.join(several, "key").where("family <> grp").select("grp", "same").distinct(), "joined")
+    single = filled.select(alone.alias("grp"), "same").join(table(joined.where("grp >= 0").select("grp").distinct(), "singles"), "grp", "left_semi")
+    mates = joined.unionByName(single).unionByName(families.select(F.col("family").alias("grp"), "same"))
+    mates = table(mates.distinct(), "mates")
     several = table(_rooted(mates, roots), "mates-roots")
     members = _open_members(several, table).join(classes.select("same", "sig"), "same").withColumn("bytes", F.lit(8 * SIGNATURE))
     near_ones = table(_linked(_blocks(table(members, "open"), "bytes", table), None), "near")

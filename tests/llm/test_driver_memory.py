@@ -40,6 +40,30 @@ def test_near_copies_meet_few_firsts_once_linked(spark, monkeypatch):
     assert sizes["mates"] <= 2 * len(rows) and sizes["near-firsts"] <= len(rows)
 
 
+def test_unlinked_near_copies_are_one_family(spark, monkeypatch):
+    """Near copies below the threshold share many buckets; they meet in one group, not once for each first of a bucket."""
+    g = random.Random(17)
+    words = [f"w{i}" for i in range(5000)]
+    base, rows = [g.choice(words) for _ in range(400)], []
+    for i in range(100):
+        copy = list(base)
+        for _ in range(9):
+            copy[g.randrange(400)] = g.choice(words)
+        rows.append((i, " ".join(copy)))
+    sizes, kept = {}, _shared.SharedTable.__init__
+
+    def counted(self, df, name):
+        kept(self, df, name)
+        sizes[name] = self.df.count()
+
+    monkeypatch.setattr(_shared.SharedTable, "__init__", counted)
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sets = [set(simhash.shingle_hashes(t.encode(), 5)) for _, t in rows]
+    assert all(len(a & b) < 0.8 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, i) for i, _ in rows}
+    assert sizes["mates"] <= 3 * len(rows)
+
+
 def test_counts_reach_the_driver_packed(spark, monkeypatch):
     """What the quality model's driver gets of a text is a small part of its counts, which arrive unchanged."""
     texts = [f"word {i} and another, " * (1 + i % 5) for i in range(200)]
